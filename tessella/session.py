@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +41,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def parallelism(df: DataFrame) -> int:
     """Shuffle width of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once per application: they needn't have it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tessella_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tessella-"), "tessella.zip")  # on the driver, read by Spark's file server
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join("tessella", os.path.relpath(path, root)))
+    sc.addPyFile(target)
+    sc._tessella_shipped = True
