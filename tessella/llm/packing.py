@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tessella.llm.tokens import DEFAULT, with_sizes
+from tessella.functions.tokens import DEFAULT, with_sizes
 from tessella.session import ensure_checkpoint_dir
 
 
