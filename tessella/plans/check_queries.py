@@ -98,7 +98,7 @@ def flatten_cap(spark, d):
     return p.groupBy("lane").agg(F.slice(F.array_sort(F.flatten(F.collect_list("l"))), 1, 12).alias("ids"))
 
 
-@book("SELECT vec_id, i, j, round(embedding[i + 1]::DOUBLE * embedding[j + 5]::DOUBLE, 6) AS v FROM embeddings, range(4) a(i), range(4) b(j)")
+@book("SELECT vec_id, i, j, round(embedding[i + 1]::DOUBLE * embedding[j + 5]::DOUBLE, 6) + 0.0 AS v FROM embeddings, range(4) a(i), range(4) b(j)")
 def outer_features(spark, d):
     """Products of two parts of a vector, all with all."""
     e = table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice(F.col("embedding").cast("array<double>"), 1, 4)).alias("i", "a"), "embedding")

@@ -23,14 +23,14 @@ def cache_schemes(spark, d):
     return x.select("len", F.explode(F.create_map(*[y for k, v in s.items() for y in (F.lit(k), v.cast("double"))])).alias("scheme", "bytes"))
 
 
-@book("SELECT p AS pos, i, round(CASE WHEN i % 2 = 0 THEN sin(p / 10000 ** (2.0 * (i // 2) / 16)) ELSE cos(p / 10000 ** (2.0 * (i // 2) / 16)) END, 6) AS v FROM range(64) a(p), range(16) b(i)")
+@book("SELECT p AS pos, i, round(CASE WHEN i % 2 = 0 THEN sin(p / 10000 ** (2.0 * (i // 2) / 16)) ELSE cos(p / 10000 ** (2.0 * (i // 2) / 16)) END, 6) + 0.0 AS v FROM range(64) a(p), range(16) b(i)")
 def sinusoidal(spark, d):
     x = spark.range(64).withColumnRenamed("id", "pos").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
     a = F.col("pos") / F.pow(F.lit(10000.0), 2.0 * F.floor(F.col("i") / 2) / 16)
     return x.select("pos", "i", F.round(F.when(F.col("i") % 2 == 0, F.sin(a)).otherwise(F.cos(a)), 6).alias("v"))
 
 
-@book("SELECT m, n, round(cos((m - n) * 0.3) * (1 * 0.5 + 2 * 1.5) + sin((m - n) * 0.3) * (1 * 1.5 - 2 * 0.5), 6) AS score FROM range(12) a(m), range(12) b(n)")
+@book("SELECT m, n, round(cos((m - n) * 0.3) * (1 * 0.5 + 2 * 1.5) + sin((m - n) * 0.3) * (1 * 1.5 - 2 * 0.5), 6) + 0.0 AS score FROM range(12) a(m), range(12) b(n)")
 def rope_scores(spark, d):
     """Rotated scores depend on the distance only: both vectors are turned here, one closed form there."""
     x = spark.range(12).withColumnRenamed("id", "m").withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))))
@@ -193,7 +193,7 @@ def attention_softmax(spark, d):
 
 
 @book("""WITH x AS (SELECT vec_id % 8 AS i, j, avg(x) AS v FROM (SELECT vec_id, unnest(range(64)) AS j, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY 1, 2), s AS (SELECT a.i, b.i AS j, sum(a.v * b.v) / 8 AS s FROM x a JOIN x b ON a.j = b.j WHERE b.i <= a.i GROUP BY 1, 2), e AS (SELECT i, j, exp(s - max(s) OVER (PARTITION BY i)) AS e FROM s), p AS (SELECT i, j, e / sum(e) OVER (PARTITION BY i) AS p FROM e)
-    SELECT p.i, x.j, round(sum(p.p * x.v), 6) AS v FROM p JOIN x ON x.i = p.j GROUP BY 1, 2""")
+    SELECT p.i, x.j, round(sum(p.p * x.v), 6) + 0.0 AS v FROM p JOIN x ON x.i = p.j GROUP BY 1, 2""")
 def attention_output(spark, d):
     """Scores, mask, softmax and output of eight positions, as joins and aggregates over long matrices."""
     e = table(spark, d, "embeddings").select((F.col("vec_id") % 8).alias("i"), F.posexplode(F.col("embedding").cast("array<double>")).alias("j", "x"))
@@ -217,7 +217,7 @@ def byte_positions(spark, d):
     return N.byte_positions(table(spark, d, "part").select(F.col("p_brand").alias("token")).distinct(), "token")
 
 
-@book(r"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9.]+')) AS token FROM documents WHERE doc_id < 1000000), n AS (SELECT token, try_cast(token AS DOUBLE) AS n FROM t WHERE NOT regexp_matches(token, '[A-Za-z]')) SELECT token, sign(coalesce(n, 0))::DOUBLE AS sign, round(CASE WHEN n IS NULL THEN 0 ELSE ln(abs(n) + 1e-6) END, 6) AS log, round(coalesce(n / 1000, 0), 6) AS lin FROM n""")
+@book(r"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9.]+')) AS token FROM documents WHERE doc_id < 1000000), n AS (SELECT token, try_cast(token AS DOUBLE) AS n FROM t WHERE NOT regexp_matches(token, '[A-Za-z]')) SELECT token, sign(coalesce(n, 0))::DOUBLE AS sign, round(CASE WHEN n IS NULL THEN 0 ELSE ln(abs(n) + 1e-6) END, 6) + 0.0 AS log, round(coalesce(n / 1000, 0), 6) + 0.0 AS lin FROM n""")
 def numeral_codes(spark, d):
     """Tokens that spell numbers, with sign, log size and scaled value."""
     t = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9.]+"), F.lit(0))).alias("token")).distinct().where(~F.col("token").rlike("[A-Za-z]"))
@@ -234,7 +234,7 @@ def meaning_algebra(spark, d):
     return y.select("a", "b", F.round(o["sum"], 4).alias("sum"), F.round(o["difference"], 4).alias("difference"), F.round(o["product"], 4).alias("product"), F.round(o["quotient"], 6).alias("quotient"))
 
 
-@book("SELECT p_partkey, round((p_retailprice - avg(p_retailprice) OVER ()) / greatest(stddev_samp(p_retailprice) OVER (), 1e-6), 6) AS z FROM part")
+@book("SELECT p_partkey, round((p_retailprice - avg(p_retailprice) OVER ()) / greatest(stddev_samp(p_retailprice) OVER (), 1e-6), 6) + 0.0 AS z FROM part")
 def z_normalise(spark, d):
     """Columns less their mean over their sample deviation; the two numbers are a row that is broadcast."""
     p = table(spark, d, "part").select("p_partkey", "p_retailprice")

@@ -104,7 +104,7 @@ def nearest_by_tokens(spark, d):
     return out.select("run_id", "t", "r_tokens", F.round("r_loss", 6).alias("r_loss"))
 
 
-@book(f"""WITH r AS (SELECT run_id, step, min(loss) AS loss FROM {RUNS} GROUP BY 1, 2) SELECT b.run_id, count(*) AS n_steps, round(avg(a.loss - b.loss), 5) AS mean_gap FROM r a JOIN r b ON a.step = b.step WHERE a.run_id = 'main_midpoint_rev' AND b.run_id <> 'main_midpoint_rev' GROUP BY 1""")
+@book(f"""WITH r AS (SELECT run_id, step, min(loss) AS loss FROM {RUNS} GROUP BY 1, 2) SELECT b.run_id, count(*) AS n_steps, round(avg(a.loss - b.loss), 5) + 0.0 AS mean_gap FROM r a JOIN r b ON a.step = b.step WHERE a.run_id = 'main_midpoint_rev' AND b.run_id <> 'main_midpoint_rev' GROUP BY 1""")
 def run_gap(spark, d):
     """Loss of one run against each other at the same steps."""
     r = runs(spark, d).groupBy("run_id", "step").agg(F.min("loss").alias("loss"))
@@ -186,7 +186,7 @@ def extremes(spark, d):
     return runs(spark, d).groupBy("run_id").agg(F.max("loss").alias("most"), F.max_by(k, F.struct(F.col("loss"), -k)).alias("at_most"), F.min("loss").alias("least"), F.min_by(k, F.struct(F.col("loss"), k)).alias("at_least"))
 
 
-@book(f"SELECT run_id, round(regr_slope(ln(loss), ln(step)), 5) AS slope, round(regr_intercept(ln(loss), ln(step)), 4) AS intercept, round(regr_r2(ln(loss), ln(step)), 5) AS r2 FROM {RUNS} GROUP BY 1")
+@book(f"SELECT run_id, round(regr_slope(ln(loss), ln(step)), 5) + 0.0 AS slope, round(regr_intercept(ln(loss), ln(step)), 4) + 0.0 AS intercept, round(regr_r2(ln(loss), ln(step)), 5) AS r2 FROM {RUNS} GROUP BY 1")
 def power_law(spark, d):
     """Log-log regression of loss on step, per run."""
     y, x = F.log("loss"), F.log(F.col("step").cast("double"))
@@ -201,13 +201,13 @@ def group_norms(spark, d):
 
 
 @book("""WITH u AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings)
-    SELECT a.label, (SELECT count(*) FROM u b WHERE b.label = a.label) AS n, round(avg(list_dot_product(a.u, b.u)), 5) AS mean_cosine FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1""")
+    SELECT a.label, (SELECT count(*) FROM u b WHERE b.label = a.label) AS n, round(avg(list_dot_product(a.u, b.u)), 5) + 0.0 AS mean_cosine FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY 1""")
 def mean_pairwise_cosine(spark, d):
     return stats.mean_pairwise_cosine(table(spark, d, "embeddings"), ["label"], "embedding")
 
 
 @book("""WITH g AS (SELECT list(s ORDER BY i) AS v FROM (SELECT i, avg(x) AS s FROM (SELECT unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS i FROM embeddings WHERE label = 0) GROUP BY i))
-    SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 5) AS cosine FROM embeddings, g""")
+    SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 5) + 0.0 AS cosine FROM embeddings, g""")
 def golden_cosine(spark, d):
     """Cosine of every vector to the mean vector of a label; the mean is one row of fixed width."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
@@ -217,7 +217,7 @@ def golden_cosine(spark, d):
     return x.select("vec_id", F.round(dot("v", "g") / F.sqrt(dot("v", "v") * dot("g", "g")), 5).alias("cosine"))
 
 
-@book("SELECT vec_id, i, score, rank FROM (SELECT vec_id, i, round(x, 6) AS score, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS rank FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings)) WHERE rank <= 2")
+@book("SELECT vec_id, i, score, rank FROM (SELECT vec_id, i, round(x, 6) + 0.0 AS score, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS rank FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings)) WHERE rank <= 2")
 def top_experts(spark, d):
     """Top-2 of each row's scores, without a shuffle."""
     p = F.transform("embedding", lambda x, i: F.struct((-x).alias("s"), i.alias("i")))
@@ -285,7 +285,7 @@ def ordered_digest(spark, d):
 
 
 @book(f"""WITH r AS {RUNS}, s AS (SELECT ledger_offset, run_id, gnorm, count(*) OVER w AS n, avg(gnorm) OVER w AS m, stddev_pop(gnorm) OVER w AS sd, lead(gnorm) OVER (PARTITION BY run_id ORDER BY logged_at, ledger_offset) AS nx FROM r WINDOW w AS (PARTITION BY run_id ORDER BY logged_at, ledger_offset ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
-    SELECT ledger_offset, run_id, round((gnorm - m) / (sd + 1e-8), 2) AS z FROM s WHERE n = 10 AND nx IS NOT NULL AND (gnorm - m) / (sd + 1e-8) > 3""")
+    SELECT ledger_offset, run_id, round((gnorm - m) / (sd + 1e-8), 2) + 0.0 AS z FROM s WHERE n = 10 AND nx IS NOT NULL AND (gnorm - m) / (sd + 1e-8) > 3""")
 def zscore_spikes(spark, d):
     """Readings beyond three deviations of the ten before them (the reading itself left out)."""
     r = runs(spark, d).select("ledger_offset", "run_id", "gnorm", "logged_at")

@@ -17,7 +17,7 @@ def plain(v):
     if isinstance(v, (bool, int, np.integer)):
         return int(v)
     if isinstance(v, (float, np.floating, Decimal)):
-        return round(float(v), 6)
+        return round(float(v), 6) + 0.0
     if isinstance(v, (list, tuple, np.ndarray)):
         return tuple(plain(x) for x in v)
     return str(v)

@@ -70,7 +70,7 @@ def test_numeral(spark, s, want):
 
 def test_golden_numbers(spark):
     row = spark.range(1).select(
-        N.cache_bytes(32.0, 8.0, 128.0, 49152.0, 2.0).alias("kv"), (30e9 * N.bytes_per_weight("dp", F.lit(32.0)) / N.GIB).alias("dp"), (30e9 * N.bytes_per_weight("zero1", F.lit(8.0)) / N.GIB).alias("z1"),
+        N.cache_bytes(F.lit(32.0), 8.0, 128.0, 49152.0, 2.0).alias("kv"), (30e9 * N.bytes_per_weight("dp", F.lit(32.0)) / N.GIB).alias("dp"), (30e9 * N.bytes_per_weight("zero1", F.lit(8.0)) / N.GIB).alias("z1"),
         N.bytes_per_weight("zero1", F.lit(32.0)).alias("w1"), N.bytes_per_weight("zero2", F.lit(32.0)).alias("w2"), N.bytes_per_weight("zero3", F.lit(32.0)).alias("w3"), N.copies_sent("zero3", F.lit(32.0)).alias("c3"),
     ).first()
     assert round(row["kv"] / 1e9, 2) == 6.44 and round(row["dp"], 1) == 447.0 and round(row["z1"], 1) == 153.7
