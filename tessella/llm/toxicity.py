@@ -1,18 +1,19 @@
 """Abusive, hateful or sexual content by compression distance.
 
-Two zstandard dictionaries are trained, one on passages with such content and one on ordinary passages. A passage is
-compressed with both; the margin is the number of bytes that the toxic dictionary saves over the ordinary one. A
-document's margin is the largest of its passages, as one passage is enough. The cutoff is calibrated on labelled
-documents that the dictionaries in question were not trained on.
+Zstandard dictionaries are trained on passages with such content and on ordinary ones: of the latter one on a sample of
+all and one on the hard cases, which would be crowded out of the first. A passage is compressed with each; the margin
+is the number of bytes that the toxic dictionary saves over the better one of the ordinary ones. A document's margin is the largest
+of its passages, as one passage is enough. The cutoff is calibrated on labelled documents that the dictionaries in
+question were not trained on.
 
 Labels are verdicts on documents, so the toxic passages have to be found first: of the documents called toxic, those
 passages are taken whose words occur in such documents beyond what they do in the others (each document is left out
 of its own counts), and that the dictionaries trained on the other half of the documents also find closer to the
-toxic side. The ordinary dictionary gets a sample of all ordinary passages and all that look most like toxic ones, so
-that talk about such content, curses at things and medical words are ordinary to it.
+toxic side. Hard cases are the ordinary passages that look most like toxic ones, by their words or by the first
+dictionaries: talk about such content, curses at things, medical words, rare languages.
 
 Fitting takes a bounded sample of the labelled documents (``most_docs`` of either verdict), on the driver. Scoring
-reads every passage of every document, in place: one narrow stage without a shuffle; what is sent to the workers are two
+reads every passage of every document, in place: one narrow stage without a shuffle; what is sent to the workers are three
 dictionaries of ``size`` bytes and a number.
 """
 
@@ -30,27 +31,29 @@ from tessella.llm.passages import passages
 
 @dataclass(frozen=True)
 class ToxicityRule:
-    most_docs: int = 4000  # labelled documents of either verdict that are fitted on
-    ordinary: int = 10_000  # ordinary passages of the ordinary dictionary, besides the hard ones
+    most_docs: int = 3000  # labelled documents of either verdict that are fitted on
+    ordinary: int = 20_000  # passages that the ordinary dictionary is trained on
     size: int = 225_280  # bytes of a dictionary
     level: int = 3
     toxic_quantile: float = 0.995  # of ordinary passages' word odds, beyond which a passage of a toxic document is toxic
     hard_quantile: float = 0.95  # of the same, beyond which an ordinary passage is a hard one
+    mined_quantile: float = 0.93  # of ordinary passages' margins by the first dictionaries, beyond which they are hard cases too
     clean_weight: float = 3.0  # times that clean documents are commoner in the corpus than among those labelled
     seed: int = 7
 
 
 @dataclass(frozen=True)
 class Scorer:
-    """What was learnt: the two dictionaries, the cutoff in bytes and the scale of the score."""
+    """What was learnt: the dictionaries and the cutoff in bytes."""
 
     toxic: bytes
     ordinary: bytes
+    hard: bytes
     cutoff: float
     level: int
 
     def compressors(self) -> tuple:
-        return _compressor(self.toxic, self.level), _compressor(self.ordinary, self.level)
+        return tuple(_compressor(x, self.level) for x in (self.toxic, self.ordinary, self.hard))
 
     def score(self, margin: np.ndarray) -> np.ndarray:
         """0 to 1; 0.5 at the cutoff."""
@@ -74,9 +77,10 @@ def _lengths(c: zstandard.ZstdCompressor, p: list[bytes]) -> np.ndarray:
     return np.fromiter(map(len, map(c.compress, p)), np.int32, len(p))
 
 
-def margins(scorer_toxic, scorer_ordinary, p: list[bytes]) -> np.ndarray:
-    """Bytes that the toxic dictionary saves, per passage."""
-    return _lengths(scorer_ordinary, p) - _lengths(scorer_toxic, p)
+def margins(compressors: tuple, p: list[bytes]) -> np.ndarray:
+    """Bytes that the toxic dictionary saves over the ordinary ones, per passage."""
+    toxic, ordinary, hard = (_lengths(c, p) for c in compressors)
+    return np.minimum(ordinary, hard) - toxic
 
 
 def _evidence(p: list[bytes], at: np.ndarray, toxic: np.ndarray, each: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +122,7 @@ def fit_texts(texts: list[str], toxic: list[bool], sure: list[bool], rule: Toxic
     y, sure_ = np.array(toxic, bool), np.array(sure, bool)
     p, at = passages(texts)
     if not p or not y[at].any() or y[at].all():
-        return Scorer(b"\n", b"\n", float("inf"), rule.level)
+        return Scorer(b"\n", b"\n", b"\n", float("inf"), rule.level)
     rng = np.random.default_rng(rule.seed)
     of_toxic = y[at]
     most, odds = _evidence(p, at, y)
@@ -131,11 +135,11 @@ def fit_texts(texts: list[str], toxic: list[bool], sure: list[bool], rule: Toxic
     mild = ~of_toxic & (odds <= high)
     hard = mild & (most > np.quantile(most[ordinary], rule.hard_quantile))
 
-    def train(chosen: np.ndarray, hard: np.ndarray, take: np.ndarray) -> tuple[bytes, bytes]:
+    def train(chosen: np.ndarray, hard: np.ndarray, take: np.ndarray) -> tuple[bytes, bytes, bytes]:
         t, h = np.flatnonzero(chosen & take), np.flatnonzero(hard & take)
         s = rng.permutation(ordinary)[: rule.ordinary]
-        s = s[take[s] & ~hard[s]]
-        return _dictionary([p[i] for i in t], rule.size), _dictionary([p[i] for i in s] + [p[i] for i in h], rule.size)
+        s = s[take[s]]
+        return tuple(_dictionary([p[i] for i in x], rule.size) for x in (t, s, h))
 
     half = rng.integers(0, 2, len(y))[at]
 
@@ -143,21 +147,20 @@ def fit_texts(texts: list[str], toxic: list[bool], sure: list[bool], rule: Toxic
         out = np.zeros(len(p))
         for k in (0, 1):
             if (half == k).any() and (half != k).any():
-                toxic_, ordinary_ = (_compressor(x, rule.level) for x in train(chosen, hard, half != k))
-                out[half == k] = margins(toxic_, ordinary_, [p[i] for i in np.flatnonzero(half == k)])
+                c = tuple(_compressor(x, rule.level) for x in train(chosen, hard, half != k))
+                out[half == k] = margins(c, [p[i] for i in np.flatnonzero(half == k)])
         return out
 
     d = crossed(chosen, hard)
     kept = chosen & (d > 2)
     chosen = kept if kept.any() else chosen
-    hard |= mild & (d > np.quantile(d[ordinary], 0.97))
+    hard |= mild & (d > np.quantile(d[ordinary], rule.mined_quantile))
     d = crossed(chosen, hard)
     best = np.full(len(y), -99.0)
     np.maximum.at(best, at, d)
     use = sure_ if (sure_ & y).sum() >= 20 and (sure_ & ~y).sum() >= 20 else np.ones(len(y), bool)
     cutoff = _cutoff(best[use], y[use], rule.clean_weight)
-    toxic_, ordinary_ = train(chosen, hard, np.ones(len(p), bool))
-    return Scorer(toxic_, ordinary_, cutoff, rule.level)
+    return Scorer(*train(chosen, hard, np.ones(len(p), bool)), cutoff, rule.level)
 
 
 def _cutoff(margin: np.ndarray, y: np.ndarray, clean_weight: float) -> float:
@@ -197,7 +200,7 @@ def score_documents(documents: DataFrame, scorer: Scorer, *, id_: str = "doc_id"
 
     def run(batches):
         s = shared.value
-        toxic, ordinary = s.compressors()
+        compressors = s.compressors()
         for pdf in batches:
             for k in range(0, len(pdf), 512):
                 part = pdf.iloc[k : k + 512]
@@ -205,7 +208,7 @@ def score_documents(documents: DataFrame, scorer: Scorer, *, id_: str = "doc_id"
                 n = len(part)
                 best, over = np.full(n, -np.inf), np.zeros(n, np.int64)
                 if p:
-                    d = margins(toxic, ordinary, p)
+                    d = margins(compressors, p)
                     np.maximum.at(best, at, d)
                     over = np.bincount(at[d >= s.cutoff], minlength=n)
                 some = np.isfinite(best)
