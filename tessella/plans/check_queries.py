@@ -24,7 +24,7 @@ def token_counts(spark, d):
 @book()
 def next_token_pairs(spark, d):
     """The commonest pairs of a token and the next, from real ids; counted map side."""
-    t = K.with_tokens(table(spark, d, "documents").where("lang = 'hi'"), "text", ["doc_id"])
+    t = K.with_tokens(table(spark, d, "documents"), "text", ["doc_id"])
     p = t.where(F.size("tokens") > 1).select(F.explode(F.arrays_zip(F.slice("tokens", F.lit(1), F.size("tokens") - 1).alias("a"), F.slice("tokens", F.lit(2), F.size("tokens") - 1).alias("b"))).alias("p"))
     return p.groupBy("p.a", "p.b").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a", "b").limit(20)
 

@@ -217,7 +217,7 @@ def byte_positions(spark, d):
     return N.byte_positions(table(spark, d, "part").select(F.col("p_brand").alias("token")).distinct(), "token")
 
 
-@book(r"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9.]+')) AS token FROM documents WHERE doc_id < 1000000), n AS (SELECT token, try_cast(token AS DOUBLE) AS n FROM t WHERE NOT regexp_matches(token, '[A-Za-z]')) SELECT token, sign(coalesce(n, 0))::DOUBLE AS sign, round(CASE WHEN n IS NULL THEN 0 ELSE ln(abs(n) + 1e-6) END, 6) + 0.0 AS log, round(coalesce(n / 1000, 0), 6) + 0.0 AS lin FROM n""")
+@book(r"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9.]+')) AS token FROM documents), n AS (SELECT token, try_cast(token AS DOUBLE) AS n FROM t WHERE NOT regexp_matches(token, '[A-Za-z]')) SELECT token, sign(coalesce(n, 0))::DOUBLE AS sign, round(CASE WHEN n IS NULL THEN 0 ELSE ln(abs(n) + 1e-6) END, 6) + 0.0 AS log, round(coalesce(n / 1000, 0), 6) + 0.0 AS lin FROM n""")
 def numeral_codes(spark, d):
     """Tokens that spell numbers, with sign, log size and scaled value."""
     t = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9.]+"), F.lit(0))).alias("token")).distinct().where(~F.col("token").rlike("[A-Za-z]"))

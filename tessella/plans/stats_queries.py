@@ -323,7 +323,7 @@ def mean_of_last(spark, d):
 def same_as_next(spark, d):
     """Share of events of the same type as the next of their user."""
     e = table(spark, d, "events").select("user_id", "event_type", "ts", "event_id")
-    x = e.withColumn("same", F.col("event_type") == F.lead("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id"))).where("same is not null")
+    x = series.with_frames(e, "user_id", "ts", "event_id", 1, lambda w: {"same": F.col("event_type") == F.lead("event_type").over(w)}).where("same is not null")
     return x.agg(F.round(F.avg(F.col("same").cast("double")), 6).alias("rate"), F.count("*").alias("n"))
 
 
