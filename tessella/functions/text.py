@@ -15,7 +15,7 @@ IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 URL = r"(?i)https?://\S+"
 SECRET = r"(?i)\b(api[_-]?key|secret|password|passwd|token)\b\s*[:=]\s*['\"][A-Za-z0-9_\-]{8,}['\"]"
 BLANK = "[ \\t\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}]"
-BLANK_OR_LINE = BLANK[:-1] + "\\n]"
+BLANKS_AND_LINES = " \t\n\u00a0\u1680\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 JOINERS = "\\x{200c}\\x{200d}"
 TOKEN = r"[^ \t\n\r\f]+"
 
@@ -44,7 +44,7 @@ def normalize(c: Column, keep_joiners: bool = True, lines_first: bool = False, c
     c = F.regexp_replace(c, controls(keep_joiners), "")
     c = F.regexp_replace(c, "[\\x{2028}\\x{2029}]", "\n")
     c = F.regexp_replace(c, f"(?md){BLANK}+$", "")
-    return F.regexp_replace(c, f"^{BLANK_OR_LINE}+|{BLANK_OR_LINE}+\\z", "")
+    return F.btrim(c, F.lit(BLANKS_AND_LINES))
 
 
 def control_count(c: Column, keep_joiners: bool = True) -> Column:
@@ -64,12 +64,21 @@ def tokens(c: Column) -> Column:
 
 def ascii_script_ratio(c: Column) -> Column:
     """ASCII letters among all letters; 1 where there are none."""
-    letters = F.regexp_count(c, F.lit("\\p{L}"))
-    return F.when(letters > 0, F.regexp_count(c, F.lit("[A-Za-z]")) / letters).otherwise(F.lit(1.0))
+    # what is left without the others, as counting single letters would make a match of each
+    letters = F.length(F.regexp_replace(c, "\\P{L}+", ""))
+    return F.when(letters > 0, F.length(F.regexp_replace(c, "[^A-Za-z]+", "")) / letters).otherwise(F.lit(1.0))
+
+
+#: What a text must hold for a pattern to match at all; looking for it is much cheaper than the pattern.
+NEEDS = {EMAIL: "@", IPV4: ".", URL: "://"}
 
 
 def pattern_count(c: Column, pattern: str) -> Column:
-    return F.coalesce(F.regexp_count(c, F.lit(pattern)), F.lit(0))
+    """Matches of a pattern; 0 for null."""
+    n = F.regexp_count(c, F.lit(pattern))
+    if pattern in NEEDS:
+        n = F.when(F.contains(c, F.lit(NEEDS[pattern])), n)
+    return F.coalesce(n, F.lit(0))
 
 
 def spans(c: Column, begin: str, end: str) -> Column:

@@ -7,6 +7,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tessella.functions import text as X
 
 
+def evaluated_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns whose expressions run once a row however often they are used: the optimizer doesn't merge projections across a generator."""
+    return df.select(F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("x")).select("x.*")
+
+
 def length_profile(df: DataFrame, length: Column, by: list[str]) -> DataFrame:
     """Rows, total, mean, median, p95 and most of a length per group, from a histogram of lengths.
 
@@ -34,7 +39,7 @@ def audit_stages(df: DataFrame, text: str, lang: str, over: int = 2048) -> DataF
     """
     raw = F.coalesce(F.col(text), F.lit(""))
     clean = X.normalize(raw, compose=False)
-    base = df.select(raw.alias("raw"), clean.alias("clean"), F.col(lang).alias("lang"))
+    base = evaluated_once(df, raw=raw, clean=clean, lang=F.col(lang))
     n_tok = X.tokens(F.col("clean"))
     sums = {
         ("manifest", "records"): F.count("*"),
@@ -43,7 +48,7 @@ def audit_stages(df: DataFrame, text: str, lang: str, over: int = 2048) -> DataF
         ("normalize", "controls_removed"): F.sum(X.control_count(F.col("raw"))),
         ("format", "empty"): F.count_if(F.col("clean") == ""),
         ("format", "over_length"): F.count_if(n_tok > over),
-        ("language", "script_mismatch"): F.count_if((X.ascii_script_ratio(F.col("clean")) < 0.5) & (F.col("lang") == "en")),
+        ("language", "script_mismatch"): F.count_if((F.col("lang") == "en") & (X.ascii_script_ratio(F.col("clean")) < 0.5)),
         ("pii", "email"): F.sum(X.pattern_count(F.col("clean"), X.EMAIL)),
         ("pii", "phone"): F.sum(X.pattern_count(F.col("clean"), X.PHONE)),
         ("pii", "ipv4"): F.sum(X.pattern_count(F.col("clean"), X.IPV4)),

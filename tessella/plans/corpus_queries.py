@@ -47,7 +47,7 @@ def shard_list(spark, d):
 def normalize_profile(spark, d):
     """Texts changed by normalisation, per source (canonical composition apart)."""
     raw = F.coalesce("text", F.lit(""))
-    return docs(spark, d).select(source().alias("source"), raw.alias("raw"), X.normalize(raw, compose=False).alias("clean")).groupBy("source").agg(
+    return P.evaluated_once(docs(spark, d), source=source(), raw=raw, clean=X.normalize(raw, compose=False)).groupBy("source").agg(
         F.count("*").alias("n_docs"), F.count_if(F.col("clean") != F.col("raw")).alias("n_changed"), F.sum(F.length("clean")).alias("clean_chars")
     )
 
