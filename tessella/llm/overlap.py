@@ -1,6 +1,6 @@
 """Cross-split overlap: the same or nearly the same record in an evaluation and a training split.
 
-Method: an exact prefix-filter join between the two sides on rare shingles of five words. The evaluation side is
+Method: an exact prefix-filter join between the two sides on shingles of five words. The evaluation side is
 indexed by the rarest shingles of each record, the training side probes with its shingles (and the other way round
 where the training record is the smaller one); candidates that pass the length and position filters are verified by
 their overlap, which must reach 0.8 of the smaller record.
@@ -14,14 +14,17 @@ Details, in the order of the plan:
   filter over all evaluation shingles of at most ``filter_bits`` bits; shingles that can't count on either side are
   left out in the same way before the second one, and then those of the larger records that are in no prefix. The
   filters have no false negatives; on data for which they are too small they only stop saving work.
-* A shingle is a form (licence notice, stub) if more than ``form_share`` of all classes have it; forms don't count
-  towards similarity. As a record has some hundred shingles on average, there are at most (mean shingles a
-  record) / ``form_share`` forms at any size of the data; that bounds the set that is sent to the workers.
-  Those that the evaluation records alone prove to be forms are known before the training side is read.
-* Shingles are ordered by document frequency, counted over all classes of both sides. Of a record with R shingles of
-  which at least ``ceil(0.8 R)`` must be found, the first ``R - ceil(0.8 R) + 1`` must hold one match. Shingles that
+* Shingles are ordered by document frequency, counted over all classes of both sides. Of a record with N shingles of
+  which at least ``ceil(0.8 N)`` must be found, the first ``N - ceil(0.8 N) + 1`` must hold one match. Shingles that
   the other side doesn't have come first; a record with more of them than its prefix is done. A hit at position p
-  leaves room for R - p at most, which is what ends the prefix; the other record must be at least as long.
+  leaves room for N - p at most, which is what ends the prefix; the other record must be at least as long.
+* A shingle is a form (licence notice, stub, but also a large family of edited copies) if more than ``form_share`` of
+  all classes have it. As a record has some hundred shingles on average, there are at most (mean shingles a
+  record) / ``form_share`` forms at any size of the data; that bounds the set that is sent to the workers. Forms stay in
+  the join. As they are the most frequent shingles, the rest of a record has a prefix of the same order, and the longer
+  of the two prefixes finds what reaches 0.8 of either.
+* A pair that shares nothing but forms is a notice with different contents if the smaller record has a block of its own
+  of more than ``2 words`` shingles at its head or tail, and else one of a family of copies.
 """
 
 from __future__ import annotations
@@ -43,7 +46,7 @@ from tessella.session import ensure_checkpoint_dir
 @dataclass(frozen=True)
 class OverlapRule:
     words: int = 5
-    share: float = 0.8  # of the smaller record's rare shingles
+    share: float = 0.8  # of the smaller record's shingles
     short: int = 24  # records under so many words match whole or not at all
     form_share: float = 0.002
     form_least: int = 50
@@ -78,6 +81,11 @@ class Shingler:
         self.rule, self.known = rule, _Words()
 
     def __call__(self, text: str) -> tuple[bytes, int, np.ndarray]:
+        key, n_words, h = self.in_order(text)
+        return key, n_words, np.unique(h).view(np.int64)
+
+    def in_order(self, text: str) -> tuple[bytes, int, np.ndarray]:
+        """The same with the shingles as they follow in the text, repeats included, unsigned."""
         folded = fold(text)
         words = folded.encode().translate(_SPACES).split() if folded.isascii() else [w.encode() for w in WORD.findall(folded)]
         if len(self.known) > 500_000:
@@ -87,12 +95,12 @@ class Shingler:
         key = xxhash.xxh3_128_digest(ids.tobytes() + (b"|" + "|".join(NUMBER.findall(text)).encode() if short else b""))
         k = min(self.rule.words, len(ids))
         if k == 0:
-            return key, 0, np.empty(0, np.int64)
+            return key, 0, np.empty(0, np.uint64)
         n = len(ids) - k + 1
         h = np.zeros(n, np.uint64)
         for j in range(k):
             h += ids[j : j + n] * _MULT[j % 5] + np.uint64(j)
-        return key, len(words), np.unique(_mix(h)).view(np.int64)
+        return key, len(words), _mix(h)
 
 
 PAGE = 32_768  # bits of a page of the filter
@@ -110,49 +118,66 @@ def _passes(table: np.ndarray, s: np.ndarray) -> np.ndarray:
     return ((table[at + (a >> 3)] >> (a & 7).astype(np.uint8)) & (table[at + (b >> 3)] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def _kept(values: np.ndarray, offsets: np.ndarray, table: np.ndarray | None, forms: np.ndarray | None) -> tuple[pa.Array, np.ndarray]:
-    """Of shingles in lists: those that pass the filter and are no forms, and the number of forms in each list."""
-    form = np.zeros(len(values), bool)
-    if forms is not None and len(forms) and len(values):
-        form = forms[np.minimum(np.searchsorted(forms, values), len(forms) - 1)] == values
-    keep = ~form
-    if table is not None and len(values):
-        keep &= _passes(table, values)
-    before = lambda m: np.concatenate([[0], np.cumsum(m)])[offsets]
-    return pa.ListArray.from_arrays(pa.array(before(keep), pa.int32()), pa.array(values[keep])), np.diff(before(form))
+def _kept(values: np.ndarray, offsets: np.ndarray, table: np.ndarray | None) -> tuple[pa.Array, np.ndarray]:
+    """Of shingles in lists: those that pass the filter, and which these are."""
+    keep = _passes(table, values) if table is not None and len(values) else np.ones(len(values), bool)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)])[offsets], pa.int32()), pa.array(values[keep])), keep
 
 
-def _sketch(rule: OverlapRule, table=None, forms=None):
-    """Row per record: class, number of words and of shingles that are no forms, and those that pass the filter."""
+def _sketch(rule: OverlapRule, table=None):
+    """Row per record: class, number of words and of shingles, and those shingles that pass the filter."""
 
     def run(batches):
         shingle = Shingler(rule)
-        t, f = (x.value if x is not None else None for x in (table, forms))
+        t = table.value if table is not None else None
         for batch in batches:
             got = [shingle(x) for x in batch.column("text").to_pylist()]
             sizes = np.array([len(g[2]) for g in got], np.int64)
             values = np.concatenate([g[2] for g in got]) if got else np.empty(0, np.int64)
-            s, n_forms = _kept(values, np.concatenate([[0], np.cumsum(sizes)]), t, f)
+            s, _ = _kept(values, np.concatenate([[0], np.cumsum(sizes)]), t)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("lane"), batch.column("source"), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int32()), pa.array(sizes - n_forms, pa.int32()), s],
-                ["id", "lane", "source", "sig", "n_words", "r", "s"],
+                [batch.column("id"), batch.column("lane"), batch.column("source"), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int32()), pa.array(sizes, pa.int32()), s],
+                ["id", "lane", "source", "sig", "n_words", "n", "s"],
             )
 
     return run
 
 
-def _strip(table, forms):
-    """Rows of classes without forms and without what the filter leaves out."""
+def _strip(table, forms=None):
+    """Rows of classes without what the filter leaves out; with ``forms``, ``r`` and ``k`` are the shingles that are none, of all and of those left."""
 
     def run(batches):
-        t, f = table.value, forms.value
+        t = table.value
         for batch in batches:
             lists = batch.column("s")
             offsets = lists.offsets.to_numpy()
             values = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]] if len(lists) else np.empty(0, np.int64)
-            s, n_forms = _kept(values, offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64), t, f)
-            new = {"s": s, "r": pa.array(batch.column("r").to_numpy() - n_forms, pa.int32())}
-            yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in batch.schema.names], batch.schema.names)
+            offsets = offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
+            s, keep = _kept(values, offsets, t)
+            new = {"s": s}
+            if forms is not None:
+                f = forms.value
+                form = f[np.minimum(np.searchsorted(f, values), len(f) - 1)] == values if len(f) else np.zeros(len(values), bool)
+                per = lambda m: np.diff(np.concatenate([[0], np.cumsum(m)])[offsets])
+                new |= {"r": pa.array(batch.column("n").to_numpy() - per(form), pa.int32()), "k": pa.array(per(keep & ~form), pa.int32())}
+            names = [*batch.schema.names, *(c for c in new if c not in batch.schema.names)]
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names)
+
+    return run
+
+
+def _copies(rule: OverlapRule):
+    """Of pairs that share only forms, with the smaller record's text: those in which it has no block of its own at its head or tail."""
+
+    def run(batches):
+        shingle = Shingler(rule)
+        for batch in batches:
+            keep = []
+            for text, large in zip(batch.column("text").to_pylist(), batch.column("s_large")):
+                h = shingle.in_order(text)[2].view(np.int64)
+                at = np.flatnonzero(np.isin(h, large.values.to_numpy(zero_copy_only=False)))
+                keep.append(len(at) > 0 and max(at[0], len(h) - 1 - at[-1]) <= 2 * rule.words)
+            yield batch.select(["side", "sig", "sig_large"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -192,7 +217,7 @@ def _filter_of(paged: DataFrame, pages: int) -> np.ndarray:
 def overlap_classes(df: DataFrame, *, id_: str = "doc_id", text: str = "text", lane: str = "lane", source: str = "source", rule: OverlapRule = OverlapRule()) -> tuple[DataFrame, DataFrame]:
     """``(members, links)``: the class of each record that takes part, and the linked classes of the two sides.
 
-    members: ``id_, side ('e' or 't'), lane, source, sig``; links: ``sig_e, sig_t, overlap, r_e, r_t, exact``.
+    members: ``id_, side ('e' or 't'), lane, source, sig``; links: ``sig_e, sig_t, overlap, n_e, n_t, exact``.
 
     Records without lane, id or text, and texts without a letter, take no part; repeated rows count once; a null source
     is kept. Lanes are compared without case and blanks around them. Empty tables give no rows. Extra columns are ignored.
@@ -203,22 +228,20 @@ def overlap_classes(df: DataFrame, *, id_: str = "doc_id", text: str = "text", l
     clean = F.lower(F.trim(F.col(lane)))
     base = df.select(F.col(id_).alias("id"), clean.alias("lane"), F.col(source).alias("source"), F.col(text).alias("text")).where("id is not null and text is not null")
     kind = base.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, lane string, source string, sig binary, n_words int, r int, s array<long>"
-    one = lambda rows: rows.groupBy("sig").agg(F.first("r").alias("r"), F.first("n_words").alias("n_words"), F.first("s").alias("s"))
+    schema = f"id {kind}, lane string, source string, sig binary, n_words int, n int, s array<long>"
+    one = lambda rows: rows.groupBy("sig").agg(F.first("n").alias("n"), F.first("n_words").alias("n_words"), F.first("s").alias("s"))
     n_rows = df.select(id_).count()
 
-    # evaluation side: classes, frequencies, filter, and what is certain to be a form
+    # evaluation side: classes, frequencies, filter
     ev = base.where(F.col("lane").isin(*rule.evaluation)).mapInArrow(_sketch(rule), schema).where("n_words > 0").persist(StorageLevel.MEMORY_AND_DISK)
     ce = one(ev).persist(StorageLevel.MEMORY_AND_DISK)
     n_shingles = ce.agg(F.sum(F.size("s"))).first()[0] or 0
     pages, width = _pages(n_shingles, rule.filter_bits), 1 + n_shingles // 300_000
     counts_e = _paged(ce.select(F.explode("s").alias("h")), pages, width).groupBy("page", "h").agg(F.count("*").alias("e")).persist(StorageLevel.MEMORY_AND_DISK)
-    sure = max(rule.form_least, int(rule.form_share * n_rows))
-    early = share(np.sort(np.array([r["h"] for r in counts_e.where(F.col("e") > sure).select("h").collect()], np.int64)))
-    table_e = share(_filter_of(counts_e.where(F.col("e") <= sure), pages))
+    table_e = share(_filter_of(counts_e, pages))
 
-    # training side: only what the evaluation side has, without those forms
-    tr = base.where(F.col("lane").isin(*rule.training)).mapInArrow(_sketch(rule, table_e, early), schema).where("n_words > 0").persist(StorageLevel.MEMORY_AND_DISK)
+    # training side: only what the evaluation side has
+    tr = base.where(F.col("lane").isin(*rule.training)).mapInArrow(_sketch(rule, table_e), schema).where("n_words > 0").persist(StorageLevel.MEMORY_AND_DISK)
     ct = one(tr).persist(StorageLevel.MEMORY_AND_DISK)
     counts_t = _paged(ct.select(F.explode("s").alias("h")), pages, width).groupBy("page", "h").agg(F.count("*").alias("t"))
     with _joined_in_place(spark):
@@ -227,31 +250,32 @@ def overlap_classes(df: DataFrame, *, id_: str = "doc_id", text: str = "text", l
     table_e.unpersist()  # sent again if lost parts have to be made again
     n_classes = ce.select("sig").union(ct.select("sig")).distinct().count()
     limit = max(rule.form_least, int(rule.form_share * n_classes))
-    late = [r["h"] for r in counts.where(F.col("df") > limit).select("h").collect()]
-    forms = share(np.unique(np.concatenate([early.value, np.array(late, np.int64)])))
-    frequency = counts.where(F.col("df") <= limit)
-    table = share(_filter_of(frequency, pages))
+    sure = max(rule.form_least, int(rule.form_share * n_rows))  # of shingles that only the evaluation side has
+    many = counts_e.where(F.col("e") > sure).select("h").union(counts.where(F.col("df") > limit).select("h"))
+    forms = share(np.unique(np.array([r["h"] for r in many.collect()], np.int64)))
+    table = share(_filter_of(counts, pages))
     members = ev.withColumn("side", F.lit("e")).unionByName(tr.withColumn("side", F.lit("t"))).select("id", "side", "lane", "source", "sig").dropDuplicates(["id", "side"])
 
-    need = F.ceil(F.col("r") * rule.share - 1e-9).cast("int")
-    classes = ce.withColumn("side", F.lit("e")).unionByName(ct.withColumn("side", F.lit("t"))).select("side", "sig", "n_words", "r", "s")
-    rare = classes.mapInArrow(_strip(table, forms), "side string, sig binary, n_words int, r int, s array<long>").where("size(s) > 0").withColumn("need", need).persist(StorageLevel.MEMORY_AND_DISK)
+    least = lambda c: F.ceil(F.col(c) * rule.share - 1e-9).cast("int")
+    classes = ce.withColumn("side", F.lit("e")).unionByName(ct.withColumn("side", F.lit("t"))).select("side", "sig", "n_words", "n", "s")
+    found = classes.mapInArrow(_strip(table, forms), "side string, sig binary, n_words int, n int, s array<long>, r int, k int").where("size(s) > 0").withColumn("need", least("n")).withColumn("need_r", F.greatest(least("r"), F.lit(1))).persist(StorageLevel.MEMORY_AND_DISK)
 
     # a record can stand inside another only if the other side has enough of its shingles; most have far too few
-    some = rare.where(F.size("s") >= F.col("need")).select("side", "sig", "r", "need", "n_words", F.explode("s").alias("h"))
-    ordered = _paged(some, pages, width).join(frequency, ["page", "h"]).groupBy("side", "sig", "r", "need", "n_words").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("c"))
+    facts = ["side", "sig", "n", "need", "r", "need_r", "n_words"]
+    some = found.where((F.size("s") >= F.col("need")) | (F.col("k") >= F.col("need_r"))).select(*facts, F.explode("s").alias("h"))
+    ordered = _paged(some, pages, width).join(counts, ["page", "h"]).groupBy(*facts).agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("c"))
     with _joined_in_place(spark):
-        ordered = ordered.where(F.size("c") >= F.col("need")).withColumn("c", F.transform("c", lambda x: x["h"])).persist(StorageLevel.MEMORY_AND_DISK)
+        ordered = ordered.withColumn("k", F.size(F.filter("c", lambda x: x["df"] <= limit))).where((F.size("c") >= F.col("need")) | (F.col("k") >= F.col("need_r"))).withColumn("c", F.transform("c", lambda x: x["h"])).persist(StorageLevel.MEMORY_AND_DISK)
         ordered.count()
     table.unpersist()
     # shingles that only its own side has come first in a record's order, so its prefix reaches this far into the others
-    prefix = ordered.select("side", "sig", "r", "need", F.explode(F.slice("c", F.lit(1), F.size("c") - F.col("need") + 1)).alias("h"))
-    nothing = share(np.empty(0, np.int64))
+    length = F.greatest(F.size("c") - F.col("need"), F.col("k") - F.col("need_r")) + 1
+    prefix = ordered.select("side", "sig", "n", "r", F.explode(F.slice("c", F.lit(1), length)).alias("h"))
     few = _pages(prefix.count(), rule.filter_bits)
     probed = share(_filter_of(_paged(prefix.select("h"), few, width), few))
-    others = rare.mapInArrow(_strip(probed, nothing), rare.schema).select("side", "sig", "r", F.explode("s").alias("h"))
-    other = [F.col(c).alias(f"{c}_large") for c in ("side", "sig", "r")]
-    hit = prefix.join(others.select("h", *other), "h").where((F.col("side") != F.col("side_large")) & (F.col("r") <= F.col("r_large")))
+    others = found.mapInArrow(_strip(probed), found.schema).select("side", "sig", "n", "r", F.explode("s").alias("h"))
+    other = [F.col(c).alias(f"{c}_large") for c in ("side", "sig", "n", "r")]
+    hit = prefix.join(others.select("h", *other), "h").where((F.col("side") != F.col("side_large")) & ((F.col("n") <= F.col("n_large")) | (F.col("r") <= F.col("r_large"))))
     pairs = hit.select("side", "sig", "sig_large").distinct().checkpoint()
 
     # the larger records' shingles, of those in a pair
@@ -259,17 +283,32 @@ def overlap_classes(df: DataFrame, *, id_: str = "doc_id", text: str = "text", l
     size = _pages(known.count(), rule.filter_bits)
     wanted = share(_filter_of(_paged(known, size, width), size))
     passes = F.pandas_udf(lambda h: pd.Series(_passes(wanted.value, h.to_numpy(np.int64))), "boolean")
-    large = rare.where(passes(F.xxhash64("sig"))).select(F.when(F.col("side") == "e", "t").otherwise("e").alias("side"), *[F.col(c).alias(f"{c}_large") for c in ("sig", "r", "n_words", "s")])
-    verified = pairs.join(ordered, ["side", "sig"]).join(large, ["side", "sig_large"]).withColumn("overlap", F.size(F.array_intersect("c", "s_large"))).where(F.col("overlap") >= F.col("need"))
+    large = found.where(passes(F.xxhash64("sig"))).select(F.when(F.col("side") == "e", "t").otherwise("e").alias("side"), *[F.col(c).alias(f"{c}_large") for c in ("sig", "n", "n_words", "s")])
+    # shared shingles, of all and of those that are no forms
+    shared = lambda c: F.size(F.array_intersect(c, F.col("s_large")))
+    verified = (
+        pairs.join(ordered, ["side", "sig"]).join(large, ["side", "sig_large"]).where("sig <> sig_large")
+        .withColumn("overlap", shared(F.col("c"))).withColumn("overlap_r", shared(F.slice("c", F.lit(1), F.col("k"))))
+        .where((F.col("overlap") >= F.col("need")) | (F.col("overlap_r") >= F.col("need_r"))).select(*facts, "sig_large", "n_large", "n_words_large", "overlap", "overlap_r").checkpoint()
+    )
     # a short record must stand whole inside a longer one; two short ones must be of one class
     is_short = F.least("n_words", "n_words_large") < rule.short
     both_short = F.greatest("n_words", "n_words_large") < rule.short
+    whole = (F.col("overlap") == F.col("n")) | (F.col("overlap_r") == F.col("r"))
+    accepted = verified.where(F.col("overlap_r") >= F.col("need_r")).where(~is_short | (~both_short & whole))
+    doubtful = verified.where((F.col("overlap_r") == 0) & ~is_short)
+    if not doubtful.isEmpty():
+        first = members.join(doubtful.select("side", "sig").distinct(), ["side", "sig"]).groupBy("side", "sig").agg(F.min("id").alias("id"))
+        texts = first.join(base.where(F.col("lane").isin(*rule.evaluation, *rule.training)).groupBy("id").agg(F.min("text").alias("text")), "id").select("side", "sig", "text")
+        checked = doubtful.select("side", "sig", "sig_large").join(texts, ["side", "sig"]).join(large.select("side", "sig_large", "s_large"), ["side", "sig_large"])
+        copies = checked.select("side", "sig", "sig_large", "text", "s_large").mapInArrow(_copies(rule), "side string, sig binary, sig_large binary")
+        accepted = accepted.unionByName(doubtful.join(copies, ["side", "sig", "sig_large"]).select(accepted.columns))
     e_small = F.col("side") == "e"
     either = lambda c: (F.when(e_small, F.col(c)).otherwise(F.col(f"{c}_large")).alias(f"{c}_e"), F.when(e_small, F.col(f"{c}_large")).otherwise(F.col(c)).alias(f"{c}_t"))
-    near = verified.where(~is_short | (~both_short & (F.col("overlap") == F.col("r")))).where("sig <> sig_large").select(*either("sig"), *either("r"), "overlap").dropDuplicates(["sig_e", "sig_t"])
-    cols = ["sig_e", "sig_t", "overlap", "r_e", "r_t"]
-    same = ce.select(F.col("sig").alias("sig_e"), F.col("r").alias("r_e")).join(ct.select(F.col("sig").alias("sig_t"), F.col("r").alias("r_t")), F.col("sig_e") == F.col("sig_t"))
-    links = near.select(*cols, F.lit(False).alias("exact")).unionByName(same.select("sig_e", "sig_t", F.col("r_e").alias("overlap"), "r_e", "r_t", F.lit(True).alias("exact")))
+    near = accepted.select(*either("sig"), *either("n"), "overlap").dropDuplicates(["sig_e", "sig_t"])
+    cols = ["sig_e", "sig_t", "overlap", "n_e", "n_t"]
+    same = ce.select(F.col("sig").alias("sig_e"), F.col("n").alias("n_e")).join(ct.select(F.col("sig").alias("sig_t"), F.col("n").alias("n_t")), F.col("sig_e") == F.col("sig_t"))
+    links = near.select(*cols, F.lit(False).alias("exact")).unionByName(same.select("sig_e", "sig_t", F.col("n_e").alias("overlap"), "n_e", "n_t", F.lit(True).alias("exact")))
     return members.withColumnRenamed("id", id_), links
 
 

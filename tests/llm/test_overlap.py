@@ -105,3 +105,17 @@ def test_long_text(spark):
     t = text(random.Random(9), 60_000)
     rows = [("e", "x", t, "eval", ""), ("t", "x", "more " + t, "code", ""), ("e", "x", t, "eval", "")]
     assert pairs(spark.createDataFrame(rows, SCHEMA)) == {("e", "t")}
+
+
+def test_families_of_edited_copies(spark):
+    r = random.Random(3)
+    base, rows = text(r, 120).split(), []
+    for i in range(80):
+        w = list(base)
+        w[r.randrange(20, 100)] = f"edited{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}"
+        rows.append((f"{'et'[i % 2]}{i:02d}", "x", " ".join(w), ["eval", "code"][i % 2], ""))
+    want = brute(rows, OverlapRule())
+    assert len(want) == 1600  # every shingle is in more records than form_least
+    notice = text(r, 130)
+    rows += [(f"{s}n{i:02d}", "x", notice + " " + text(r, 16), lane, "") for s, lane in (("e", "eval"), ("t", "code")) for i in range(40)]
+    assert pairs(spark.createDataFrame(rows, SCHEMA)) == want
