@@ -23,8 +23,9 @@ Details, in the order of the plan:
   record) / ``form_share`` forms at any size of the data; that bounds the set that is sent to the workers. Forms stay in
   the join. As they are the most frequent shingles, the rest of a record has a prefix of the same order, and the longer
   of the two prefixes finds what reaches 0.8 of either.
-* A pair that shares nothing but forms is a notice with different contents if the smaller record has a block of its own
-  of more than ``2 words`` shingles at its head or tail, and else one of a family of copies.
+* A pair must reach 0.8 of all shingles, or of those that are no forms. If it shares no more than half of the latter, it
+  is a notice with different contents if the smaller record has a block of its own of more than ``2 words`` shingles at
+  its head or tail, and else one of a family of copies.
 """
 
 from __future__ import annotations
@@ -167,7 +168,7 @@ def _strip(table, forms=None):
 
 
 def _copies(rule: OverlapRule):
-    """Of pairs that share only forms, with the smaller record's text: those in which it has no block of its own at its head or tail."""
+    """Of pairs that share mostly forms, with the smaller record's text: those in which it has no block of its own at its head or tail."""
 
     def run(batches):
         shingle = Shingler(rule)
@@ -250,8 +251,8 @@ def overlap_classes(df: DataFrame, *, id_: str = "doc_id", text: str = "text", l
     table_e.unpersist()  # sent again if lost parts have to be made again
     n_classes = ce.select("sig").union(ct.select("sig")).distinct().count()
     limit = max(rule.form_least, int(rule.form_share * n_classes))
-    sure = max(rule.form_least, int(rule.form_share * n_rows))  # of shingles that only the evaluation side has
-    many = counts_e.where(F.col("e") > sure).select("h").union(counts.where(F.col("df") > limit).select("h"))
+    alone = max(rule.form_least, int(rule.form_share * n_rows))  # of shingles that only the evaluation side has
+    many = counts_e.where(F.col("e") > alone).select("h").union(counts.where(F.col("df") > limit).select("h"))
     forms = share(np.unique(np.array([r["h"] for r in many.collect()], np.int64)))
     table = share(_filter_of(counts, pages))
     members = ev.withColumn("side", F.lit("e")).unionByName(tr.withColumn("side", F.lit("t"))).select("id", "side", "lane", "source", "sig").dropDuplicates(["id", "side"])
@@ -295,8 +296,9 @@ def overlap_classes(df: DataFrame, *, id_: str = "doc_id", text: str = "text", l
     is_short = F.least("n_words", "n_words_large") < rule.short
     both_short = F.greatest("n_words", "n_words_large") < rule.short
     whole = (F.col("overlap") == F.col("n")) | (F.col("overlap_r") == F.col("r"))
-    accepted = verified.where(F.col("overlap_r") >= F.col("need_r")).where(~is_short | (~both_short & whole))
-    doubtful = verified.where((F.col("overlap_r") == 0) & ~is_short)
+    sure = (F.col("overlap_r") >= F.col("need_r")) | (F.col("overlap_r") * 2 > F.col("r"))
+    accepted = verified.where(sure & (~is_short | (~both_short & whole)))
+    doubtful = verified.where(~sure & ~is_short)
     if not doubtful.isEmpty():
         first = members.join(doubtful.select("side", "sig").distinct(), ["side", "sig"]).groupBy("side", "sig").agg(F.min("id").alias("id"))
         texts = first.join(base.where(F.col("lane").isin(*rule.evaluation, *rule.training)).groupBy("id").agg(F.min("text").alias("text")), "id").select("side", "sig", "text")

@@ -119,3 +119,15 @@ def test_families_of_edited_copies(spark):
     notice = text(r, 130)
     rows += [(f"{s}n{i:02d}", "x", notice + " " + text(r, 16), lane, "") for s, lane in (("e", "eval"), ("t", "code")) for i in range(40)]
     assert pairs(spark.createDataFrame(rows, SCHEMA)) == want
+
+
+def test_edited_copies_under_a_notice(spark):
+    r = random.Random(4)
+    notice = text(r, 60)
+    rows = [(f"{s}{i:02d}", "x", notice + " " + text(r, 70), lane, "") for s, lane in (("e", "eval"), ("t", "code")) for i in range(40)]
+    body = text(r, 70).split()
+    edited = [w if k not in (20, 40, 60) else "edited" for k, w in enumerate(body)]
+    rows += [("e90", "x", notice + " " + " ".join(body), "eval", ""), ("t90", "x", notice + " " + " ".join(edited), "code", "")]
+    want = brute(rows, OverlapRule())
+    assert want == {("e90", "t90")}  # 0.88 of all shingles, 0.79 of those outside the notice
+    assert pairs(spark.createDataFrame(rows, SCHEMA)) == want
