@@ -9,7 +9,7 @@ Details, in the order of the plan:
 
 * Records are folded (case, entities, invisible characters, accents, look-alikes, escaped line ends); words are runs
   of letters. Records whose words are the same form one class; of records under ``short`` words the numbers count
-  too. Everything up to the last step works on one row per class and side, so groups of copies cost nothing.
+  too; texts without a letter are compared as they are, but for layout. Everything up to the last step works on one row per class and side, so groups of copies cost nothing.
 * Training shingles that occur in no evaluation record can't match. They are left out before any shuffle by a bit
   filter over all evaluation shingles of at most ``filter_bits`` bits; shingles that can't count on either side are
   left out in the same way before the second one, and then those of the larger records that are in no prefix. The
@@ -76,16 +76,16 @@ class _Words(dict):
 
 
 class Shingler:
-    """Content key, number of words and distinct shingles (as signed 64-bit hashes) of texts. Keeps word hashes between calls, up to a bound."""
+    """Content key (None: blank), number of words and distinct shingles (as signed 64-bit hashes) of texts. Keeps word hashes between calls, up to a bound."""
 
     def __init__(self, rule: OverlapRule):
         self.rule, self.known = rule, _Words()
 
-    def __call__(self, text: str) -> tuple[bytes, int, np.ndarray]:
+    def __call__(self, text: str) -> tuple[bytes | None, int, np.ndarray]:
         key, n_words, h = self.in_order(text)
         return key, n_words, np.unique(h).view(np.int64)
 
-    def in_order(self, text: str) -> tuple[bytes, int, np.ndarray]:
+    def in_order(self, text: str) -> tuple[bytes | None, int, np.ndarray]:
         """The same with the shingles as they follow in the text, repeats included, unsigned."""
         folded = fold(text)
         words = folded.encode().translate(_SPACES).split() if folded.isascii() else [w.encode() for w in WORD.findall(folded)]
@@ -95,8 +95,9 @@ class Shingler:
         short = len(words) < self.rule.short
         key = xxhash.xxh3_128_digest(ids.tobytes() + (b"|" + "|".join(NUMBER.findall(text)).encode() if short else b""))
         k = min(self.rule.words, len(ids))
-        if k == 0:
-            return key, 0, np.empty(0, np.uint64)
+        if k == 0:  # numbers or symbols only: one class per text, but for layout
+            shown = " ".join(folded.split())
+            return xxhash.xxh3_128_digest(b"#" + shown.encode("utf-8", "replace")) if shown else None, 0, np.empty(0, np.uint64)
         n = len(ids) - k + 1
         h = np.zeros(n, np.uint64)
         for j in range(k):
@@ -220,7 +221,7 @@ def overlap_classes(df: DataFrame, *, id_: str = "doc_id", text: str = "text", l
 
     members: ``id_, side ('e' or 't'), lane, source, sig``; links: ``sig_e, sig_t, overlap, n_e, n_t, exact``.
 
-    Records without lane, id or text, and texts without a letter, take no part; repeated rows count once; a null source
+    Records without lane, id or text, and blank texts, take no part; repeated rows count once; a null source
     is kept. Lanes are compared without case and blanks around them. Empty tables give no rows. Extra columns are ignored.
     """
     spark = df.sparkSession
@@ -234,7 +235,7 @@ def overlap_classes(df: DataFrame, *, id_: str = "doc_id", text: str = "text", l
     n_rows = df.select(id_).count()
 
     # evaluation side: classes, frequencies, filter
-    ev = base.where(F.col("lane").isin(*rule.evaluation)).mapInArrow(_sketch(rule), schema).where("n_words > 0").persist(StorageLevel.MEMORY_AND_DISK)
+    ev = base.where(F.col("lane").isin(*rule.evaluation)).mapInArrow(_sketch(rule), schema).where("sig is not null").persist(StorageLevel.MEMORY_AND_DISK)
     ce = one(ev).persist(StorageLevel.MEMORY_AND_DISK)
     n_shingles = ce.agg(F.sum(F.size("s"))).first()[0] or 0
     pages, width = _pages(n_shingles, rule.filter_bits), 1 + n_shingles // 300_000
@@ -242,7 +243,7 @@ def overlap_classes(df: DataFrame, *, id_: str = "doc_id", text: str = "text", l
     table_e = share(_filter_of(counts_e, pages))
 
     # training side: only what the evaluation side has
-    tr = base.where(F.col("lane").isin(*rule.training)).mapInArrow(_sketch(rule, table_e), schema).where("n_words > 0").persist(StorageLevel.MEMORY_AND_DISK)
+    tr = base.where(F.col("lane").isin(*rule.training)).mapInArrow(_sketch(rule, table_e), schema).where("sig is not null").persist(StorageLevel.MEMORY_AND_DISK)
     ct = one(tr).persist(StorageLevel.MEMORY_AND_DISK)
     counts_t = _paged(ct.select(F.explode("s").alias("h")), pages, width).groupBy("page", "h").agg(F.count("*").alias("t"))
     with _joined_in_place(spark):

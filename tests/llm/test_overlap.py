@@ -131,3 +131,10 @@ def test_edited_copies_under_a_notice(spark):
     want = brute(rows, OverlapRule())
     assert want == {("e90", "t90")}  # 0.88 of all shingles, 0.79 of those outside the notice
     assert pairs(spark.createDataFrame(rows, SCHEMA)) == want
+
+
+def test_texts_without_letters(spark):
+    rows = [("e1", "x", "12 34\n56 | 78", "eval", ""), ("t1", "x", "12 34 56  | 78 ", "code", ""), ("t2", "x", "12 34 56 | 79", "code", ""), ("e2", "x", " \n", "eval", ""), ("t3", "x", "\t", "prose", "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert pairs(df) == {("e1", "t1")}
+    assert [(r["n_records"], r["n_exact"]) for r in overlap_report(df).collect()] == [(1, 1)]
