@@ -43,7 +43,6 @@ class SpikeRule:
     stuck_risk: float = 1e-3  # expected number per source and field of normal stretches that are called stuck
     stuck_least: int = 5
     side: int = 8  # readings of each running median
-    side_least: int = 3
     top: float = 0.10  # share of residuals whose excesses are fitted
     block: int = 8192
     halo: int = 256
@@ -105,8 +104,7 @@ def residuals(x: np.ndarray, counter: bool, rule: SpikeRule) -> tuple[np.ndarray
     y = x - np.median(np.diff(x)) * np.arange(n) if counter and n > 1 else x
     left, right = _medians(y, rule.side), _medians(y[::-1], rule.side)[::-1]
     r = np.maximum(np.maximum(y - np.fmax(left, right), np.fmin(left, right) - y), 0)
-    r[: rule.side_least] = 0
-    r[max(0, n - rule.side_least) :] = 0
+    r[[0, -1]] = 0
     return np.where(np.isfinite(r), r, 0), length
 
 
@@ -209,8 +207,8 @@ def flag_readings(
     Nulls: a null reading is never flagged and doesn't interrupt a stretch; rows without ``key`` can't be named and
     take no part; rows without ``time`` are judged by the plausibility rule only; a null source is a source. Whole
     rows repeated count once. Ties in time are ordered by ``key``. A stretch is measured exactly up to ``halo``
-    readings; a source whose habit is longer than that has no stuck readings. Readings with fewer than
-    ``side_least`` valid ones before or after them are no spikes: they haven't come back, or come from nowhere.
+    readings; a source whose habit is longer than that has no stuck readings. The first and the
+    last valid reading are no spikes: they come from nowhere, or haven't come back.
     Extra columns are ignored. An empty table gives no rows.
     """
     values = [F.col(f.name).cast("double") for f in fields]

@@ -105,3 +105,10 @@ def test_other_fields(spark):
     rows = series(300, "a", seed=6)
     rows[100][3] = 30.0
     assert found(spark.createDataFrame([tuple(r) for r in rows], SCHEMA), fields=(Field("loss"),)) == {(100, "loss", "spike")}
+
+
+@pytest.mark.parametrize("at", [1, 2, 597, 598])
+def test_spikes_near_the_ends(spark, at):
+    rows = series(600, "a")
+    rows[at][3] = 30.0
+    assert found(spark.createDataFrame([tuple(r) for r in rows], SCHEMA)) == {(at, "loss", "spike")}
