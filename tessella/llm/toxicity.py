@@ -4,7 +4,8 @@ Zstandard dictionaries are trained on passages with such content and on ordinary
 all and one on the hard cases, which would be crowded out of the first. A passage is compressed with each; the margin
 is the number of bytes that the toxic dictionary saves over the better one of the ordinary ones. A document's margin is the largest
 of its passages, as one passage is enough. The cutoff is calibrated on labelled documents that the dictionaries in
-question were not trained on.
+question were not trained on, and on the margins of the whole corpus: labelled documents aren't drawn evenly, so how rare the content is,
+and how many ordinary documents reach a margin, is counted where the scorer is used (``calibrate``).
 
 Labels are verdicts on documents, so the toxic passages have to be found first: of the documents called toxic, those
 passages are taken whose words occur in such documents beyond what they do in the others (each document is left out
@@ -13,8 +14,8 @@ toxic side. Hard cases are the ordinary passages that look most like toxic ones,
 dictionaries: talk about such content, curses at things, medical words, rare languages.
 
 Fitting takes a bounded sample of the labelled documents (``most_docs`` of either verdict), on the driver. Scoring
-reads every passage of every document, in place: one narrow stage without a shuffle; what is sent to the workers are three
-dictionaries of ``size`` bytes and a number.
+reads every passage of every document once, in place: one narrow stage whose margins are checkpointed (a row of some thirty bytes per
+document) and counted; what is sent to the workers are three dictionaries of ``size`` bytes, what comes back is a count per margin.
 """
 
 from __future__ import annotations
@@ -27,37 +28,63 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tessella.llm.passages import passages
+from tessella.session import ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
 class ToxicityRule:
     most_docs: int = 3000  # labelled documents of either verdict that are fitted on
-    ordinary: int = 20_000  # passages that the ordinary dictionary is trained on
     size: int = 225_280  # bytes of a dictionary
     level: int = 3
     toxic_quantile: float = 0.995  # of ordinary passages' word odds, beyond which a passage of a toxic document is toxic
     hard_quantile: float = 0.95  # of the same, beyond which an ordinary passage is a hard one
     mined_quantile: float = 0.93  # of ordinary passages' margins by the first dictionaries, beyond which they are hard cases too
-    clean_weight: float = 3.0  # times that clean documents are commoner in the corpus than among those labelled
+    prior_docs: int = 20  # documents of the labels' own mix that count beside the corpus when its share of toxic ones is estimated
     seed: int = 7
 
 
 @dataclass(frozen=True)
 class Scorer:
-    """What was learnt: the dictionaries and the cutoff in bytes."""
+    """What was learnt: the dictionaries, and the margins (in bytes) of labelled documents by dictionaries that didn't see them."""
 
     toxic: bytes
     ordinary: bytes
     hard: bytes
-    cutoff: float
     level: int
+    toxic_margins: tuple[int, ...] = ()
+    clean_margins: tuple[int, ...] = ()
+    toxic_share: float = 0.0  # of the labels
+    prior_docs: int = 20
 
     def compressors(self) -> tuple:
         return tuple(_compressor(x, self.level) for x in (self.toxic, self.ordinary, self.hard))
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        """0 to 1; 0.5 at the cutoff."""
-        return 1 / (1 + np.exp(-np.clip(margin - self.cutoff, -60, 60) / 2.0))
+    @property
+    def cutoff(self) -> float:
+        """The cutoff by the labels alone."""
+        return self.calibrate(np.zeros(0), np.zeros(0))
+
+    def calibrate(self, margin: np.ndarray, count: np.ndarray) -> float:
+        """Cutoff with the best expected F1 on a corpus, given how many of its documents have each margin.
+
+        Of N documents with a share p of toxic ones, at least p * N * TPR(t) reach a margin t, where TPR is the labelled
+        toxic documents' share that does; the largest p that the counts allow at every t is the estimate. What reaches t
+        beyond that is clean. Both rates are pooled with those of the labels, which decide where the corpus is small.
+        """
+        if not self.toxic_margins or not self.clean_margins:
+            return float("inf")
+        t = np.unique(np.concatenate([np.maximum(self.toxic_margins, 1), np.maximum(self.clean_margins, 1), np.maximum(margin, 1)]).astype(int))
+        at_least = lambda x, w: np.array([w[x >= k].sum() for k in t], float)
+        tox, clean = np.array(self.toxic_margins), np.array(self.clean_margins)
+        tpr = at_least(tox, np.ones(len(tox))) / len(tox)
+        false = at_least(clean, np.ones(len(clean)))
+        n, flagged = float(count.sum()), at_least(margin, count)
+        usual = tpr >= min(0.5, tpr.max())
+        toxic = float((flagged / np.maximum(tpr, 1e-9))[usual].min())
+        share = (toxic + self.prior_docs * self.toxic_share) / (n + self.prior_docs)
+        fpr = (np.maximum(flagged - toxic * tpr, 0) + false) / (n - toxic + len(clean))
+        f1 = 2 * share * tpr / (share * tpr + (1 - share) * fpr + share)
+        return float(t[int(f1.argmax())] - 0.5)
 
 
 def _compressor(data: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -118,11 +145,11 @@ def _evidence(p: list[bytes], at: np.ndarray, toxic: np.ndarray, each: int = 4)
 
 
 def fit_texts(texts: list[str], toxic: list[bool], sure: list[bool], rule: ToxicityRule = ToxicityRule()) -> Scorer:
-    """Dictionaries and cutoff from labelled texts. ``sure``: the raters agreed; the cutoff is taken from these where there are enough."""
+    """Dictionaries and held-out margins from labelled texts. ``sure``: the raters agreed; the margins are of these where there are enough."""
     y, sure_ = np.array(toxic, bool), np.array(sure, bool)
     p, at = passages(texts)
     if not p or not y[at].any() or y[at].all():
-        return Scorer(b"\n", b"\n", b"\n", float("inf"), rule.level)
+        return Scorer(b"\n", b"\n", b"\n", rule.level)
     rng = np.random.default_rng(rule.seed)
     of_toxic = y[at]
     most, odds = _evidence(p, at, y)
@@ -137,8 +164,7 @@ def fit_texts(texts: list[str], toxic: list[bool], sure: list[bool], rule: Toxic
 
     def train(chosen: np.ndarray, hard: np.ndarray, take: np.ndarray) -> tuple[bytes, bytes, bytes]:
         t, h = np.flatnonzero(chosen & take), np.flatnonzero(hard & take)
-        s = rng.permutation(ordinary)[: rule.ordinary]
-        s = s[take[s]]
+        s = rng.permutation(ordinary[take[ordinary]])
         return tuple(_dictionary([p[i] for i in x], rule.size) for x in (t, s, h))
 
     half = rng.integers(0, 2, len(y))[at]
@@ -159,17 +185,8 @@ def fit_texts(texts: list[str], toxic: list[bool], sure: list[bool], rule: Toxic
     best = np.full(len(y), -99.0)
     np.maximum.at(best, at, d)
     use = sure_ if (sure_ & y).sum() >= 20 and (sure_ & ~y).sum() >= 20 else np.ones(len(y), bool)
-    cutoff = _cutoff(best[use], y[use], rule.clean_weight)
-    return Scorer(*train(chosen, hard, np.ones(len(p), bool)), cutoff, rule.level)
-
-
-def _cutoff(margin: np.ndarray, y: np.ndarray, clean_weight: float) -> float:
-    """Half a byte below the margin with the best F1, clean documents weighted."""
-    tries = np.unique(margin)
-    tp = np.array([(y & (margin >= t)).sum() for t in tries], float)
-    fp = np.array([(~y & (margin >= t)).sum() for t in tries], float) * clean_weight
-    f1 = 2 * tp / (tp + fp + y.sum())
-    return float(max(tries[int(f1.argmax())] - 0.5, 0.5))
+    pick = lambda k: tuple(sorted(int(x) for x in best[use & k]))
+    return Scorer(*train(chosen, hard, np.ones(len(p), bool)), rule.level, pick(y), pick(~y), float(y.mean()), rule.prior_docs)
 
 
 def fit_scorer(documents: DataFrame, labels: DataFrame, *, id_: str = "doc_id", text: str = "text", verdict: str = "toxic", rater: str = "rater", rule: ToxicityRule = ToxicityRule()) -> Scorer:
@@ -190,36 +207,43 @@ def fit_scorer(documents: DataFrame, labels: DataFrame, *, id_: str = "doc_id",
 
 
 def score_documents(documents: DataFrame, scorer: Scorer, *, id_: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Every row of ``documents`` as ``(id_, source, margin, score, n_passages, n_over, flagged)``, in place.
+    """Every row of ``documents`` as ``(id_, source, margin, score, n_passages, n_over, flagged)``.
 
-    Texts that are null or hold no word score 0 with a margin of null and are not flagged. Repeated rows come out as
+    The cutoff is calibrated on the margins of all these rows; score is 0 to 1, and 0.5 at the cutoff. Texts that are null
+    or hold no word score 0 with a margin of null and are not flagged. Repeated rows come out as
     often as they went in. Extra columns are ignored; an empty table gives no rows.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(scorer)
+    spark = documents.sparkSession
+    ensure_checkpoint_dir(spark)
+    shared = spark.sparkContext.broadcast(scorer)
     kind = documents.schema[id_].dataType.simpleString()
 
     def run(batches):
-        s = shared.value
-        compressors = s.compressors()
+        compressors = shared.value.compressors()
         for pdf in batches:
             for k in range(0, len(pdf), 512):
                 part = pdf.iloc[k : k + 512]
                 p, at = passages(list(part["text"]))
                 n = len(part)
-                best, over = np.full(n, -np.inf), np.zeros(n, np.int64)
-                if p:
-                    d = margins(compressors, p)
-                    np.maximum.at(best, at, d)
-                    over = np.bincount(at[d >= s.cutoff], minlength=n)
-                some = np.isfinite(best)
+                d = margins(compressors, p) if p else np.empty(0, np.int32)
+                best = np.full(n, -np.inf)
+                np.maximum.at(best, at, d)
+                over = d > 0
+                cuts = np.searchsorted(at[over], np.arange(1, n))
                 yield pd.DataFrame({
-                    "id": part["id"], "source": part["source"], "margin": np.where(some, best, np.nan),
-                    "score": np.where(some, s.score(np.where(some, best, 0.0)), 0.0),
-                    "n_passages": np.bincount(at, minlength=n), "n_over": over, "flagged": some & (best >= s.cutoff),
+                    "id": part["id"], "source": part["source"], "margin": np.where(np.isfinite(best), best, np.nan),
+                    "n_passages": np.bincount(at, minlength=n), "above": np.split(d[over], cuts) if n else [],
                 })
 
-    out = documents.select(F.col(id_).alias("id"), F.col(source).alias("source"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, source string, margin double, score double, n_passages long, n_over long, flagged boolean")
-    return out.withColumn("margin", F.when(~F.isnan("margin"), F.col("margin"))).withColumnRenamed("id", id_)
+    raw = documents.select(F.col(id_).alias("id"), F.col(source).alias("source"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, source string, margin double, n_passages long, above array<int>")
+    raw = raw.withColumn("margin", F.when(~F.isnan("margin"), F.col("margin"))).checkpoint()
+    counts = raw.where("margin is not null").groupBy("margin").agg(F.count("*").alias("n")).collect()  # a row per margin: at most the bytes of a passage
+    cutoff = scorer.calibrate(np.array([r["margin"] for r in counts], float), np.array([r["n"] for r in counts], float))
+    z = F.greatest(F.least(F.col("margin") - F.lit(cutoff), F.lit(60.0)), F.lit(-60.0)) / 2
+    return raw.select(
+        F.col("id").alias(id_), "source", "margin", F.when(F.col("margin").isNull(), 0.0).otherwise(1 / (1 + F.exp(-z))).alias("score"), "n_passages",
+        F.size(F.filter("above", lambda x: x >= F.lit(cutoff))).cast("long").alias("n_over"), F.coalesce(F.col("margin") >= F.lit(cutoff), F.lit(False)).alias("flagged"),
+    )
 
 
 def toxicity_rates(scored: DataFrame, *, source: str = "source") -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tessella.llm.passages import passages
-from tessella.llm.toxicity import ToxicityRule, fit_scorer, fit_texts, score_documents, toxicity_rates
+from tessella.llm.toxicity import Scorer, ToxicityRule, fit_scorer, fit_texts, score_documents, toxicity_rates
 
 DOCS = "doc_id long, text string, source string, score string"
 LABELS = "doc_id long, rater string, toxic int, reviewed_at timestamp"
@@ -60,6 +60,28 @@ def test_held_out_accuracy(spark):
     assert [r["source"] for r in rates] == ["s"] and rates[0]["n_docs"] == 400
 
 
+def test_rare_content(spark):
+    """One document in twenty, fitted on labels of which one in four is: the corpus decides the cutoff."""
+    texts, y = labelled(800, 11)
+    scorer = fit_texts(texts, y, [True] * 800, ToxicityRule(size=16_384))
+    r = random.Random(12)
+    truth = [r.random() < 0.05 for _ in range(3000)]
+    df = spark.createDataFrame([(i, document(r, t), "s", "clash") for i, t in enumerate(truth)], DOCS)
+    got = {r["doc_id"]: r["flagged"] for r in score_documents(df, scorer).collect()}
+    tp = sum(got[i] and t for i, t in enumerate(truth))
+    assert tp / max(1, sum(got.values())) >= 0.9 and tp / sum(truth) >= 0.9
+
+
+def test_cutoff_follows_the_corpus():
+    """The same labels: a corpus in which ordinary documents often reach a margin of 6 gets a higher cutoff than one in which they don't."""
+    import numpy as np
+
+    scorer = Scorer(b"", b"", b"", 3, tuple([7] * 5 + [20] * 95), tuple([0] * 500 + [6] * 2), 0.2)
+    quiet = scorer.calibrate(np.array([0.0, 7, 20]), np.array([9500.0, 25, 475]))
+    loud = scorer.calibrate(np.array([0.0, 7, 20]), np.array([9000.0, 525, 475]))
+    assert 6 < quiet <= 7 < loud <= 20
+
+
 def test_labels(spark):
     texts, y = labelled(300, 4)
     docs = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], DOCS)
