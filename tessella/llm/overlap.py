@@ -9,23 +9,22 @@ Details, in the order of the plan:
 
 * Records are folded (case, entities, invisible characters, accents, look-alikes, escaped line ends); words are runs
   of letters. Records whose words are the same form one class; of records under ``short`` words the numbers count
-  too; texts without a letter are compared as they are, but for layout. Everything up to the last step works on one row per class and side, so groups of copies cost nothing.
+  too; texts without a letter are compared as they are, but for layout. ``full`` tells the records of a class apart by
+  their numbers. Everything up to the last step works on one row per class and side, so groups of copies cost nothing.
 * Training shingles that occur in no evaluation record can't match. They are left out before any shuffle by a bit
-  filter over all evaluation shingles of at most ``filter_bits`` bits; shingles that can't count on either side are
-  left out in the same way before the second one, and then those of the larger records that are in no prefix. The
-  filters have no false negatives; on data for which they are too small they only stop saving work.
-* Shingles are ordered by document frequency, counted over all classes of both sides. Of a record with N shingles of
-  which at least ``ceil(0.8 N)`` must be found, the first ``N - ceil(0.8 N) + 1`` must hold one match. Shingles that
-  the other side doesn't have come first; a record with more of them than its prefix is done. A hit at position p
-  leaves room for N - p at most, which is what ends the prefix; the other record must be at least as long.
-* A shingle is a form (licence notice, stub, but also a large family of edited copies) if more than ``form_share`` of
-  all classes have it. As a record has some hundred shingles on average, there are at most (mean shingles a
-  record) / ``form_share`` forms at any size of the data; that bounds the set that is sent to the workers. Forms stay in
-  the join. As they are the most frequent shingles, the rest of a record has a prefix of the same order, and the longer
-  of the two prefixes finds what reaches 0.8 of either.
-* A pair must reach 0.8 of all shingles, or of those that are no forms. If it shares no more than half of the latter, it
-  is a notice with different contents if the smaller record has a block of its own of more than ``2 words`` shingles at
-  its head or tail, and else one of a family of copies.
+  filter over all evaluation shingles of at most ``filter_bits`` bits. Shingles of both sides are counted; a filter for
+  those that both sides have, and one for each of the ``steps`` of frequency, are sent to the workers, which order the
+  shingles of a record by them, the rarest step first and by hash within a step, without a shuffle. A wrong yes of a
+  filter is the same for all records, so the order is one order; filters that are too small cost time, not pairs.
+* Of a record with N shingles ``ceil(0.8 N)`` must be found. If M of its shingles pass the filter, the first
+  ``M - ceil(0.8 N) + 1`` in that order hold one match; a record with M below ``ceil(0.8 N)`` is in no larger one.
+* Length filter: the other record has at least as many shingles, and at least ``ceil(0.8 N)`` that pass the filter.
+  Position filter: a first hit at positions p of M and q of the other's L leaves room for 1 + min(M - p - 1, L - q - 1).
+* A shingle that more than ``heavy`` classes have (more, where a 65,536th of all shingles is more, which bounds the table
+  that is sent) is split: the probing rows are spread over parts, the indexed ones are repeated for each part.
+* Of a pair that shares all but one block of more than ``2 words`` shingles at the head or tail of the smaller record, that
+  block is what the record states, and the rest a notice: it is no case. The rule looks at the pair alone, so a
+  pair's verdict doesn't depend on the other records.
 """
 
 from __future__ import annotations
@@ -40,7 +39,7 @@ import xxhash
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from tessella.llm.text import NUMBER, WORD, fold
+from tessella.llm.text import NUMBER, TOKEN, WORD, fold
 from tessella.session import ensure_checkpoint_dir
 
 
@@ -48,9 +47,9 @@ from tessella.session import ensure_checkpoint_dir
 class OverlapRule:
     words: int = 5
     share: float = 0.8  # of the smaller record's shingles
-    short: int = 24  # records under so many words match whole or not at all
-    form_share: float = 0.002
-    form_least: int = 50
+    short: int = 24  # records under so many words match as they are, or stand whole inside another one
+    steps: tuple[int, ...] = (4, 16, 128)  # classes that have a shingle, from which it is of the next step
+    heavy: int = 1000
     filter_bits: int = 1 << 28
     evaluation: tuple[str, ...] = ("eval", "valid", "heldout")
     training: tuple[str, ...] = ("code", "prose")
@@ -75,34 +74,44 @@ class _Words(dict):
         return h
 
 
+@dataclass
+class Sketch:
+    sig: bytes | None  # class; None: blank
+    full: bytes | None  # with the numbers
+    n_words: int
+    shingles: np.ndarray  # distinct, in order of their first place in the text, signed 64-bit hashes
+    tokens: list[int] | None  # words and numbers in order, of short records
+
+
 class Shingler:
-    """Content key (None: blank), number of words and distinct shingles (as signed 64-bit hashes) of texts. Keeps word hashes between calls, up to a bound."""
+    """What is kept of a text. Keeps word hashes between calls, up to a bound."""
 
     def __init__(self, rule: OverlapRule):
         self.rule, self.known = rule, _Words()
 
-    def __call__(self, text: str) -> tuple[bytes | None, int, np.ndarray]:
-        key, n_words, h = self.in_order(text)
-        return key, n_words, np.unique(h).view(np.int64)
-
-    def in_order(self, text: str) -> tuple[bytes | None, int, np.ndarray]:
-        """The same with the shingles as they follow in the text, repeats included, unsigned."""
+    def __call__(self, text: str) -> Sketch:
         folded = fold(text)
-        words = folded.encode().translate(_SPACES).split() if folded.isascii() else [w.encode() for w in WORD.findall(folded)]
+        plain = folded.isascii()
+        words = folded.encode().translate(_SPACES).split() if plain else [w.encode() for w in WORD.findall(folded)]
+        numbers = NUMBER.findall(folded)
         if len(self.known) > 500_000:
             self.known.clear()
         ids = np.array(list(map(self.known.__getitem__, words)), np.uint64)
-        short = len(words) < self.rule.short
-        key = xxhash.xxh3_128_digest(ids.tobytes() + (b"|" + "|".join(NUMBER.findall(text)).encode() if short else b""))
         k = min(self.rule.words, len(ids))
         if k == 0:  # numbers or symbols only: one class per text, but for layout
             shown = " ".join(folded.split())
-            return xxhash.xxh3_128_digest(b"#" + shown.encode("utf-8", "replace")) if shown else None, 0, np.empty(0, np.uint64)
+            key = xxhash.xxh3_128_digest(b"#" + shown.encode("utf-8", "replace")) if shown else None
+            return Sketch(key, key, 0, np.empty(0, np.int64), None)
+        short = len(words) < self.rule.short
+        full = xxhash.xxh3_128_digest(ids.tobytes() + b"|" + "|".join(numbers).encode())
         n = len(ids) - k + 1
         h = np.zeros(n, np.uint64)
         for j in range(k):
             h += ids[j : j + n] * _MULT[j % 5] + np.uint64(j)
-        return key, len(words), _mix(h)
+        h = _mix(h).view(np.int64)
+        _, first = np.unique(h, return_index=True)
+        tokens = [xxhash.xxh3_64_intdigest(t.encode()) >> 1 for t in TOKEN.findall(folded)] if short else None
+        return Sketch(full if short else xxhash.xxh3_128_digest(ids.tobytes()), full, len(words), h[np.sort(first)], tokens)
 
 
 PAGE = 32_768  # bits of a page of the filter
@@ -120,66 +129,106 @@ def _passes(table: np.ndarray, s: np.ndarray) -> np.ndarray:
     return ((table[at + (a >> 3)] >> (a & 7).astype(np.uint8)) & (table[at + (b >> 3)] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def _kept(values: np.ndarray, offsets: np.ndarray, table: np.ndarray | None) -> tuple[pa.Array, np.ndarray]:
-    """Of shingles in lists: those that pass the filter, and which these are."""
-    keep = _passes(table, values) if table is not None and len(values) else np.ones(len(values), bool)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)])[offsets], pa.int32()), pa.array(values[keep])), keep
+def _lists(flat: np.ndarray, sizes: np.ndarray, kind) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, kind))
+
+
+def _flat(lists: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Values of lists, and the list of each."""
+    if not len(lists):
+        return np.empty(0, kind), np.empty(0, np.int64)
+    offsets = lists.offsets.to_numpy()
+    return lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(kind, copy=False), np.repeat(np.arange(len(lists)), np.diff(offsets))
+
+
+SKETCH = "sig binary, full binary, n_words int, n int, s array<long>, at array<int>, tokens array<long>"
 
 
 def _sketch(rule: OverlapRule, table=None):
-    """Row per record: class, number of words and of shingles, and those shingles that pass the filter."""
+    """Row per record: class, number of words and of shingles, those shingles that pass the filter and their places among all."""
 
     def run(batches):
         shingle = Shingler(rule)
         t = table.value if table is not None else None
         for batch in batches:
             got = [shingle(x) for x in batch.column("text").to_pylist()]
-            sizes = np.array([len(g[2]) for g in got], np.int64)
-            values = np.concatenate([g[2] for g in got]) if got else np.empty(0, np.int64)
-            s, _ = _kept(values, np.concatenate([[0], np.cumsum(sizes)]), t)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("lane"), batch.column("source"), pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int32()), pa.array(sizes, pa.int32()), s],
-                ["id", "lane", "source", "sig", "n_words", "n", "s"],
-            )
+            sizes = np.array([len(g.shingles) for g in got], np.int64)
+            values = np.concatenate([g.shingles for g in got]) if got else np.empty(0, np.int64)
+            at = np.concatenate([np.arange(k) for k in sizes]) if got else np.empty(0, np.int64)
+            if t is not None and len(values):
+                keep = _passes(t, values)
+                left = np.bincount(np.repeat(np.arange(len(got)), sizes)[keep], minlength=len(got))
+                values, at = values[keep], at[keep]
+            else:
+                left = sizes
+            new = [pa.array([g.sig for g in got], pa.binary()), pa.array([g.full for g in got], pa.binary()), pa.array([g.n_words for g in got], pa.int32()), pa.array(sizes, pa.int32())]
+            new += [_lists(values, left, pa.int64()), _lists(at, left, pa.int32()), pa.array([g.tokens for g in got], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "lane", "source")], *new], ["id", "lane", "source", "sig", "full", "n_words", "n", "s", "at", "tokens"])
+
+    return run
+
+
+def _order(tables):
+    """Rows of classes with the shingles that both sides have in the common order: by steps of frequency, then by hash."""
+
+    def run(batches):
+        both, *steps = tables.value
+        for batch in batches:
+            h, of = _flat(batch.column("s"), np.int64)
+            at, _ = _flat(batch.column("at"), np.int32)
+            keep = _passes(both, h) if len(h) else np.zeros(0, bool)
+            h, of, at = h[keep], of[keep], at[keep]
+            step = np.zeros(len(h), np.int8)
+            for t in steps:
+                step += _passes(t, h) if len(h) else step
+            order = np.lexsort((h, step, of))
+            sizes = np.bincount(of, minlength=batch.num_rows)
+            new = {"s": _lists(h[order], sizes, pa.int64()), "at": _lists(at[order], sizes, pa.int32())}
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
 
     return run
 
 
-def _strip(table, forms=None):
-    """Rows of classes without what the filter leaves out; with ``forms``, ``r`` and ``k`` are the shingles that are none, of all and of those left."""
+def _probe(table):
+    """Shingles of classes that a prefix has, with their positions in the common order: a row per shingle."""
 
     def run(batches):
         t = table.value
         for batch in batches:
-            lists = batch.column("s")
-            offsets = lists.offsets.to_numpy()
-            values = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]] if len(lists) else np.empty(0, np.int64)
-            offsets = offsets - offsets[0] if len(offsets) else np.zeros(1, np.int64)
-            s, keep = _kept(values, offsets, t)
-            new = {"s": s}
-            if forms is not None:
-                f = forms.value
-                form = f[np.minimum(np.searchsorted(f, values), len(f) - 1)] == values if len(f) else np.zeros(len(values), bool)
-                per = lambda m: np.diff(np.concatenate([[0], np.cumsum(m)])[offsets])
-                new |= {"r": pa.array(batch.column("n").to_numpy() - per(form), pa.int32()), "k": pa.array(per(keep & ~form), pa.int32())}
-            names = [*batch.schema.names, *(c for c in new if c not in batch.schema.names)]
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names)
+            h, of = _flat(batch.column("s"), np.int64)
+            sizes = np.bincount(of, minlength=batch.num_rows)
+            pos = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = np.flatnonzero(_passes(t, h)) if len(h) else np.empty(0, np.int64)
+            row = pa.array(of[keep])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(row) for c in ("side", "sig", "n")], pa.array(sizes[of[keep]], pa.int32()), pa.array(pos[keep], pa.int32()), pa.array(h[keep])], ["side_large", "sig_large", "n_large", "m_large", "pos_large", "h"])
 
     return run
 
 
-def _copies(rule: OverlapRule):
-    """Of pairs that share mostly forms, with the smaller record's text: those in which it has no block of its own at its head or tail."""
+def _verify(rule: OverlapRule):
+    """Of candidates those that are a case, with their overlap."""
 
     def run(batches):
-        shingle = Shingler(rule)
         for batch in batches:
-            keep = []
-            for text, large in zip(batch.column("text").to_pylist(), batch.column("s_large")):
-                h = shingle.in_order(text)[2].view(np.int64)
-                at = np.flatnonzero(np.isin(h, large.values.to_numpy(zero_copy_only=False)))
-                keep.append(len(at) > 0 and max(at[0], len(h) - 1 - at[-1]) <= 2 * rule.words)
-            yield batch.select(["side", "sig", "sig_large"]).filter(pa.array(keep, pa.bool_()))
+            overlap, keep = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, bool)
+            small, large, at = batch.column("s"), batch.column("s_large"), batch.column("at")
+            n, words, words_large = (batch.column(c).to_numpy() for c in ("n", "n_words", "n_words_large"))
+            for i in range(batch.num_rows):
+                shared = np.isin(small[i].values.to_numpy(zero_copy_only=False), large[i].values.to_numpy(zero_copy_only=False))
+                overlap[i] = o = shared.sum()
+                if o < np.ceil(n[i] * rule.share - 1e-9):
+                    continue
+                if min(words[i], words_large[i]) >= rule.short:
+                    place = at[i].values.to_numpy(zero_copy_only=False)[shared]
+                    one_block = place.max() == o - 1 or place.min() == n[i] - o
+                    keep[i] = not (one_block and n[i] - o > 2 * rule.words)
+                elif max(words[i], words_large[i]) >= rule.short:
+                    keep[i] = o == n[i]
+                elif o == n[i]:
+                    inner, outer = (" ".join(map(str, batch.column(c)[i].as_py())) for c in ("tokens", "tokens_large"))
+                    keep[i] = f" {inner} " in f" {outer} "
+            cols = {c: batch.column(c) for c in ("side", "sig", "sig_large", "n", "n_large")} | {"overlap": pa.array(overlap)}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols)).filter(pa.array(keep))
 
     return run
 
@@ -206,134 +255,130 @@ def _joined_in_place(spark):
         spark.conf.set(key, before)
 
 
-def _filter_of(paged: DataFrame, pages: int) -> np.ndarray:
-    """The bits of shingles distributed by page; a page is made where its shingles are."""
+def _filters_of(paged: DataFrame, pages: int, steps: dict[str, str] | None = None) -> list[np.ndarray]:
+    """The bits of shingles distributed by page; a page is made where its shingles are. ``steps``: a filter for each of these conditions, too."""
     two = F.explode(F.array(F.shiftrightunsigned("h", 28).bitwiseAND(PAGE - 1), F.shiftrightunsigned("h", 46).bitwiseAND(PAGE - 1)))
-    made = paged.select("page", two.alias("p")).groupBy("page").agg(F.expr("bitmap_construct_agg(p)").alias("bits"))
-    table = np.zeros(pages * PAGE // 8, np.uint8)
-    for row in made.collect():  # 4 KB a page
-        table[row["page"] * PAGE // 8 : (row["page"] + 1) * PAGE // 8] = np.frombuffer(row["bits"], np.uint8)
-    return table
+    names = {"bits": "true", **(steps or {})}
+    made = paged.withColumn("p", two).groupBy("page").agg(*[F.expr(f"bitmap_construct_agg(p) filter (where {c})").alias(k) for k, c in names.items()])
+    tables = [np.zeros(pages * PAGE // 8, np.uint8) for _ in names]
+    for row in made.collect():  # 4 KB a page and filter
+        for t, bits in zip(tables, row[1:]):
+            if bits is not None:
+                t[row["page"] * PAGE // 8 : (row["page"] + 1) * PAGE // 8] = np.frombuffer(bits, np.uint8)
+    return tables
 
 
 def overlap_classes(df: DataFrame, *, id_: str = "doc_id", text: str = "text", lane: str = "lane", source: str = "source", rule: OverlapRule = OverlapRule()) -> tuple[DataFrame, DataFrame]:
     """``(members, links)``: the class of each record that takes part, and the linked classes of the two sides.
 
-    members: ``id_, side ('e' or 't'), lane, source, sig``; links: ``sig_e, sig_t, overlap, n_e, n_t, exact``.
+    members: ``id_, side ('e' or 't'), lane, source, sig, full``; links: ``sig_e, sig_t, overlap, n_e, n_t, exact``
+    (``exact``: some record of either class has the same words and numbers).
 
     Records without lane, id or text, and blank texts, take no part; repeated rows count once; a null source
     is kept. Lanes are compared without case and blanks around them. Empty tables give no rows. Extra columns are ignored.
+    A record of less than ``words`` words matches as it is only.
     """
     spark = df.sparkSession
     share = spark.sparkContext.broadcast
     ensure_checkpoint_dir(spark)
     clean = F.lower(F.trim(F.col(lane)))
     base = df.select(F.col(id_).alias("id"), clean.alias("lane"), F.col(source).alias("source"), F.col(text).alias("text")).where("id is not null and text is not null")
-    kind = base.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, lane string, source string, sig binary, n_words int, n int, s array<long>"
-    one = lambda rows: rows.groupBy("sig").agg(F.first("n").alias("n"), F.first("n_words").alias("n_words"), F.first("s").alias("s"))
-    n_rows = df.select(id_).count()
+    schema = f"id {base.schema['id'].dataType.simpleString()}, lane string, source string, {SKETCH}"
+    held: list[DataFrame] = []
+
+    def kept(x: DataFrame) -> DataFrame:
+        held.append(x.persist(StorageLevel.MEMORY_AND_DISK))
+        return x
+
+    def classes(side: str, lanes: tuple[str, ...], table=None) -> tuple[DataFrame, DataFrame]:
+        rows = kept(base.where(F.col("lane").isin(*lanes)).mapInArrow(_sketch(rule, table), schema).where("sig is not null"))
+        one = rows.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("n_words", "n", "s", "at", "tokens")])
+        return rows.select("id", F.lit(side).alias("side"), "lane", "source", "sig", "full"), kept(one.select(F.lit(side).alias("side"), "*"))
 
     # evaluation side: classes, frequencies, filter
-    ev = base.where(F.col("lane").isin(*rule.evaluation)).mapInArrow(_sketch(rule), schema).where("sig is not null").persist(StorageLevel.MEMORY_AND_DISK)
-    ce = one(ev).persist(StorageLevel.MEMORY_AND_DISK)
+    me, ce = classes("e", rule.evaluation)
     n_shingles = ce.agg(F.sum(F.size("s"))).first()[0] or 0
     pages, width = _pages(n_shingles, rule.filter_bits), 1 + n_shingles // 300_000
-    counts_e = _paged(ce.select(F.explode("s").alias("h")), pages, width).groupBy("page", "h").agg(F.count("*").alias("e")).persist(StorageLevel.MEMORY_AND_DISK)
-    table_e = share(_filter_of(counts_e, pages))
-
+    counts_e = kept(_paged(ce.select(F.explode("s").alias("h")), pages, width).groupBy("page", "h").agg(F.count("*").alias("e")))
+    table_e = share(_filters_of(counts_e, pages)[0])
     # training side: only what the evaluation side has
-    tr = base.where(F.col("lane").isin(*rule.training)).mapInArrow(_sketch(rule, table_e), schema).where("sig is not null").persist(StorageLevel.MEMORY_AND_DISK)
-    ct = one(tr).persist(StorageLevel.MEMORY_AND_DISK)
+    mt, ct = classes("t", rule.training, table_e)
     counts_t = _paged(ct.select(F.explode("s").alias("h")), pages, width).groupBy("page", "h").agg(F.count("*").alias("t"))
     with _joined_in_place(spark):
-        counts = counts_e.join(counts_t, ["page", "h"]).select("page", "h", (F.col("e") + F.col("t")).alias("df")).persist(StorageLevel.MEMORY_AND_DISK)
-        counts.count()
+        counts = kept(counts_e.join(counts_t, ["page", "h"]).select("page", "h", (F.col("e") + F.col("t")).alias("df")))
+        tables = share(_filters_of(counts, pages, {f"step{k}": f"df >= {k}" for k in rule.steps}))
+    members = me.unionByName(mt).distinct().checkpoint()
     table_e.unpersist()  # sent again if lost parts have to be made again
-    n_classes = ce.select("sig").union(ct.select("sig")).distinct().count()
-    limit = max(rule.form_least, int(rule.form_share * n_classes))
-    alone = max(rule.form_least, int(rule.form_share * n_rows))  # of shingles that only the evaluation side has
-    many = counts_e.where(F.col("e") > alone).select("h").union(counts.where(F.col("df") > limit).select("h"))
-    forms = share(np.unique(np.array([r["h"] for r in many.collect()], np.int64)))
-    table = share(_filter_of(counts, pages))
-    members = ev.withColumn("side", F.lit("e")).unionByName(tr.withColumn("side", F.lit("t"))).select("id", "side", "lane", "source", "sig").dropDuplicates(["id", "side"])
-
-    least = lambda c: F.ceil(F.col(c) * rule.share - 1e-9).cast("int")
-    classes = ce.withColumn("side", F.lit("e")).unionByName(ct.withColumn("side", F.lit("t"))).select("side", "sig", "n_words", "n", "s")
-    found = classes.mapInArrow(_strip(table, forms), "side string, sig binary, n_words int, n int, s array<long>, r int, k int").where("size(s) > 0").withColumn("need", least("n")).withColumn("need_r", F.greatest(least("r"), F.lit(1))).persist(StorageLevel.MEMORY_AND_DISK)
-
-    # a record can stand inside another only if the other side has enough of its shingles; most have far too few
-    facts = ["side", "sig", "n", "need", "r", "need_r", "n_words"]
-    some = found.where((F.size("s") >= F.col("need")) | (F.col("k") >= F.col("need_r"))).select(*facts, F.explode("s").alias("h"))
-    ordered = _paged(some, pages, width).join(counts, ["page", "h"]).groupBy(*facts).agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("c"))
-    with _joined_in_place(spark):
-        ordered = ordered.withColumn("k", F.size(F.filter("c", lambda x: x["df"] <= limit))).where((F.size("c") >= F.col("need")) | (F.col("k") >= F.col("need_r"))).withColumn("c", F.transform("c", lambda x: x["h"])).persist(StorageLevel.MEMORY_AND_DISK)
-        ordered.count()
-    table.unpersist()
-    # shingles that only its own side has come first in a record's order, so its prefix reaches this far into the others
-    length = F.greatest(F.size("c") - F.col("need"), F.col("k") - F.col("need_r")) + 1
-    prefix = ordered.select("side", "sig", "n", "r", F.explode(F.slice("c", F.lit(1), length)).alias("h"))
+
+    found = kept(ce.unionByName(ct).mapInArrow(_order(tables), f"side string, {SKETCH.replace('full binary, ', '')}").where("size(s) > 0").withColumn("need", F.ceil(F.col("n") * rule.share - 1e-9).cast("int")))
+    m = F.size("s")
+    prefix = found.where(m >= F.col("need")).select("side", "sig", "n", "need", m.alias("m"), F.posexplode(F.slice("s", F.lit(1), m - F.col("need") + 1)).alias("pos", "h"))
     few = _pages(prefix.count(), rule.filter_bits)
-    probed = share(_filter_of(_paged(prefix.select("h"), few, width), few))
-    others = found.mapInArrow(_strip(probed), found.schema).select("side", "sig", "n", "r", F.explode("s").alias("h"))
-    other = [F.col(c).alias(f"{c}_large") for c in ("side", "sig", "n", "r")]
-    hit = prefix.join(others.select("h", *other), "h").where((F.col("side") != F.col("side_large")) & ((F.col("n") <= F.col("n_large")) | (F.col("r") <= F.col("r_large"))))
+    probed = share(_filters_of(_paged(prefix.select("h"), few, width), few)[0])
+    tables.unpersist()
+    others = found.select("side", "sig", "n", "s").mapInArrow(_probe(probed), "side_large string, sig_large binary, n_large int, m_large int, pos_large int, h long")
+    # a heavy shingle's probing rows are spread over parts; there are at most 65,536 heavy ones
+    limit = max(rule.heavy, (counts.agg(F.sum("df")).first()[0] or 0) // 65_536)
+    heavy = F.broadcast(counts.where(F.col("df") > limit).select("h", F.ceil(F.col("df") / limit).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    index = prefix.join(heavy, "h", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    probes = others.join(heavy, "h", "left").withColumn("part", F.pmod(F.xxhash64("sig_large"), parts).cast("int")).drop("parts")
+    room = F.least(F.col("m") - F.col("pos"), F.col("m_large") - F.col("pos_large"))  # the hit and what follows it on either side
+    hit = index.join(probes, ["h", "part"]).where((F.col("side") != F.col("side_large")) & (F.col("sig") != F.col("sig_large")) & (F.col("n") <= F.col("n_large")) & (F.col("m_large") >= F.col("need")) & (room >= F.col("need")))
     pairs = hit.select("side", "sig", "sig_large").distinct().checkpoint()
 
-    # the larger records' shingles, of those in a pair
-    known = pairs.select(F.xxhash64("sig_large").alias("h")).distinct()
-    size = _pages(known.count(), rule.filter_bits)
-    wanted = share(_filter_of(_paged(known, size, width), size))
+    # the shingles of those that are in a pair
+    known = pairs.select(F.explode(F.array(F.xxhash64("sig"), F.xxhash64("sig_large"))).alias("h")).distinct()
+    size = _pages(2 * pairs.count(), rule.filter_bits)
+    wanted = share(_filters_of(_paged(known, size, width), size)[0])
     passes = F.pandas_udf(lambda h: pd.Series(_passes(wanted.value, h.to_numpy(np.int64))), "boolean")
-    large = found.where(passes(F.xxhash64("sig"))).select(F.when(F.col("side") == "e", "t").otherwise("e").alias("side"), *[F.col(c).alias(f"{c}_large") for c in ("sig", "n", "n_words", "s")])
-    # shared shingles, of all and of those that are no forms
-    shared = lambda c: F.size(F.array_intersect(c, F.col("s_large")))
-    verified = (
-        pairs.join(ordered, ["side", "sig"]).join(large, ["side", "sig_large"]).where("sig <> sig_large")
-        .withColumn("overlap", shared(F.col("c"))).withColumn("overlap_r", shared(F.slice("c", F.lit(1), F.col("k"))))
-        .where((F.col("overlap") >= F.col("need")) | (F.col("overlap_r") >= F.col("need_r"))).select(*facts, "sig_large", "n_large", "n_words_large", "overlap", "overlap_r").checkpoint()
-    )
-    # a short record must stand whole inside a longer one; two short ones must be of one class
-    is_short = F.least("n_words", "n_words_large") < rule.short
-    both_short = F.greatest("n_words", "n_words_large") < rule.short
-    whole = (F.col("overlap") == F.col("n")) | (F.col("overlap_r") == F.col("r"))
-    sure = (F.col("overlap_r") >= F.col("need_r")) | (F.col("overlap_r") * 2 > F.col("r"))
-    accepted = verified.where(sure & (~is_short | (~both_short & whole)))
-    doubtful = verified.where(~sure & ~is_short)
-    if not doubtful.isEmpty():
-        first = members.join(doubtful.select("side", "sig").distinct(), ["side", "sig"]).groupBy("side", "sig").agg(F.min("id").alias("id"))
-        texts = first.join(base.where(F.col("lane").isin(*rule.evaluation, *rule.training)).groupBy("id").agg(F.min("text").alias("text")), "id").select("side", "sig", "text")
-        checked = doubtful.select("side", "sig", "sig_large").join(texts, ["side", "sig"]).join(large.select("side", "sig_large", "s_large"), ["side", "sig_large"])
-        copies = checked.select("side", "sig", "sig_large", "text", "s_large").mapInArrow(_copies(rule), "side string, sig binary, sig_large binary")
-        accepted = accepted.unionByName(doubtful.join(copies, ["side", "sig", "sig_large"]).select(accepted.columns))
+    some = found.where(passes(F.xxhash64("sig"))).select("side", "sig", "n", "n_words", "s", "at", "tokens")
+    large = some.select(F.when(F.col("side") == "e", "t").otherwise("e").alias("side"), *[F.col(c).alias(f"{c}_large") for c in ("sig", "n", "n_words", "s", "tokens")])
+    near = pairs.join(some, ["side", "sig"]).join(large, ["side", "sig_large"]).mapInArrow(_verify(rule), "side string, sig binary, sig_large binary, n int, n_large int, overlap int")
     e_small = F.col("side") == "e"
     either = lambda c: (F.when(e_small, F.col(c)).otherwise(F.col(f"{c}_large")).alias(f"{c}_e"), F.when(e_small, F.col(f"{c}_large")).otherwise(F.col(c)).alias(f"{c}_t"))
-    near = accepted.select(*either("sig"), *either("n"), "overlap").dropDuplicates(["sig_e", "sig_t"])
-    cols = ["sig_e", "sig_t", "overlap", "n_e", "n_t"]
+    near = near.select(*either("sig"), "overlap", *either("n")).dropDuplicates(["sig_e", "sig_t"]).withColumn("exact", F.lit(False))
     same = ce.select(F.col("sig").alias("sig_e"), F.col("n").alias("n_e")).join(ct.select(F.col("sig").alias("sig_t"), F.col("n").alias("n_t")), F.col("sig_e") == F.col("sig_t"))
-    links = near.select(*cols, F.lit(False).alias("exact")).unionByName(same.select("sig_e", "sig_t", F.col("n_e").alias("overlap"), "n_e", "n_t", F.lit(True).alias("exact")))
+    sides = [members.where(F.col("side") == x).select("sig", "full").distinct() for x in "et"]
+    equal = sides[0].join(sides[1], ["sig", "full"]).select(F.col("sig").alias("sig_e")).distinct().withColumn("exact", F.lit(True))
+    same = same.join(equal, "sig_e", "left").select("sig_e", "sig_t", F.col("n_e").alias("overlap"), "n_e", "n_t", F.coalesce("exact", F.lit(False)).alias("exact"))
+    links = near.unionByName(same).checkpoint()
+    for x in held:
+        x.unpersist()
     return members.withColumnRenamed("id", id_), links
 
 
-def overlap_pairs(df: DataFrame, *, id_: str = "doc_id", **args) -> DataFrame:
-    """Each linked pair of one evaluation and one training record once: ``(id_a, id_b)`` in order of the ids."""
+def overlap_pairs(df: DataFrame, *, id_: str = "doc_id", slice_: int = 5000, **args) -> DataFrame:
+    """Each linked pair of one evaluation and one training record once: ``(id_a, id_b)`` in order of the ids.
+
+    Classes of more than ``slice_`` members are written out slice by slice on either side.
+    """
     members, links = overlap_classes(df, id_=id_, **args)
-    e = members.where("side = 'e'").select(F.col("sig").alias("sig_e"), F.col(id_).alias("x"))
-    t = members.where("side = 't'").select(F.col("sig").alias("sig_t"), F.col(id_).alias("y"))
-    both = links.select("sig_e", "sig_t").join(e, "sig_e").join(t, "sig_t").where("x <> y")
-    return both.select(F.least("x", "y").alias(f"{id_}_a"), F.greatest("x", "y").alias(f"{id_}_b")).distinct()
+    out = links.select("sig_e", "sig_t")
+    for side in "et":
+        m = members.where(F.col("side") == side).select("sig", F.col(id_).alias(side)).distinct()
+        sizes = m.groupBy("sig").agg(F.ceil(F.count("*") / slice_).cast("int").alias("slices"))
+        # the number of slices comes to every member by a join on the class, whose large side AQE may split
+        cut = m.join(sizes, "sig").withColumn("k", F.pmod(F.xxhash64(side), "slices").cast("int")).select(F.col("sig").alias(f"sig_{side}"), F.col("k").alias(f"k_{side}"), side)
+        out = out.join(sizes.withColumnRenamed("sig", f"sig_{side}"), f"sig_{side}").withColumn(f"k_{side}", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+        args[side] = cut
+    for side in "et":
+        out = out.join(args[side], [f"sig_{side}", f"k_{side}"])
+    out = out.where("e <> t")
+    return out.select(F.least("e", "t").alias(f"{id_}_a"), F.greatest("e", "t").alias(f"{id_}_b")).distinct()
 
 
 def overlap_report(df: DataFrame, *, id_: str = "doc_id", **args) -> DataFrame:
-    """Per evaluation lane and source: records, records with an overlap (exact, near), and linked classes of training records."""
+    """Per evaluation lane and source: records, records with an overlap (exact: the same words and numbers; near: all others), and linked classes of training records."""
     members, links = overlap_classes(df, id_=id_, **args)
-    per = links.groupBy(F.col("sig_e").alias("sig")).agg(F.count("*").alias("links"), F.max("exact").alias("exact"))
+    per = links.groupBy(F.col("sig_e").alias("sig")).agg(F.count("*").alias("links"))
     e = members.where("side = 'e'").withColumn("source", F.coalesce(F.lower(F.trim("source")), F.lit("unknown")))
-    joined = e.join(per, "sig", "left")
+    e = e.groupBy("lane", "source", "sig", "full").agg(F.countDistinct(id_).alias("k"))
+    equal = members.where("side = 't'").select("full").distinct().withColumn("exact", F.lit(True))
+    joined = e.join(per, "sig", "left").join(equal, "full", "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("k"))), F.lit(0))
+    linked = F.col("links").isNotNull()
     return joined.groupBy("lane", "source").agg(
-        F.count("*").alias("n_records"),
-        F.count("links").alias("n_overlapping"),
-        F.count_if(F.col("exact")).alias("n_exact"),
-        F.count_if(~F.col("exact")).alias("n_near"),
-        F.coalesce(F.sum("links"), F.lit(0)).alias("n_links"),
-    )
+        F.sum("k").alias("n_records"), total(linked).alias("n_overlapping"), total(linked & F.col("exact")).alias("n_exact"), total(linked & ~F.col("exact")).alias("n_near"),
+        F.coalesce(F.sum(F.col("links") * F.col("k")), F.lit(0)).alias("n_links"),
+    )

@@ -16,6 +16,7 @@ INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b-
 MARKS = re.compile("[\u0300-\u036f]")
 WORD = re.compile(r"[^\W\d_]+")
 NUMBER = re.compile(r"\d+")
+TOKEN = re.compile(r"[^\W\d_]+|\d+")
 
 
 def unescape(text: str) -> str:

@@ -1,10 +1,11 @@
 """Cross-split overlap against brute force, and its edge cases."""
 
 import random
+import re
 
 import pytest
 
-from tessella.llm.overlap import OverlapRule, Shingler, overlap_classes, overlap_pairs, overlap_report
+from tessella.llm.overlap import OverlapRule, overlap_classes, overlap_pairs, overlap_report
 
 SCHEMA = "doc_id string, source string, text string, lane string, sig string"
 WORDS = [a + b for a in ("ba", "ce", "di", "fo", "gu", "la", "me", "ni", "po", "ru") for b in ("lan", "mor", "net", "pil", "rus", "tek", "van", "wex", "yon", "zim")]
@@ -45,17 +46,32 @@ def corpus():
 
 
 def brute(rows, rule):
-    s = Shingler(rule)
-    sk = {x[0]: s(x[2]) for x in rows}
+    """All pairs, by sets of word tuples; nothing of the library is used. For plain texts of small letters and numbers."""
+
+    def sketch(text):
+        words, tokens = re.findall("[a-z]+", text.lower()), re.findall("[a-z]+|[0-9]+", text.lower())
+        inside = [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
+        return words, tokens, list(dict.fromkeys(inside))
+
+    sk = {x[0]: sketch(x[2]) for x in rows}
     out = set()
     for a in rows:
         for b in rows:
-            if a[3] in rule.evaluation and b[3] in rule.training:
-                (ka, na, sa), (kb, nb, sb) = sk[a[0]], sk[b[0]]
-                o, m = len(set(sa.tolist()) & set(sb.tolist())), min(len(sa), len(sb))
-                short = min(na, nb) < rule.short
-                if ka == kb or (m and o >= rule.share * m - 1e-9 and (not short or (max(na, nb) >= rule.short and o == m))):
-                    out.add(tuple(sorted((a[0], b[0]))))
+            if a[3] not in rule.evaluation or b[3] not in rule.training:
+                continue
+            small, large = sorted((sk[a[0]], sk[b[0]]), key=lambda x: len(x[2]))
+            shared = [x in set(large[2]) for x in small[2]]
+            o, n = sum(shared), len(small[2])
+            short = [len(x[0]) < rule.short for x in (small, large)]
+            if all(short):
+                ok = f" {' '.join(small[1])} " in f" {' '.join(large[1])} "
+            elif any(short):
+                ok = o == n
+            else:
+                own = shared.index(True) if True in shared else n, shared[::-1].index(True) if True in shared else n
+                ok = o >= rule.share * n - 1e-9 and not (n - o in own and n - o > 10)
+            if ok:
+                out.add(tuple(sorted((a[0], b[0]))))
     return out
 
 
@@ -65,7 +81,9 @@ def test_against_brute_force(spark):
     assert 30 <= len(want) < 60
     df = spark.createDataFrame(rows, SCHEMA)
     assert pairs(df) == want
-    assert pairs(df, rule=OverlapRule(filter_bits=1 << 20)) == want  # a filter that lets much through changes nothing
+    assert pairs(df, rule=OverlapRule(filter_bits=1 << 15)) == want  # a filter that lets much through changes nothing
+    assert pairs(df, rule=OverlapRule(heavy=2, steps=(2, 3))) == want  # nor do split shingles and other steps
+    assert pairs(df, slice_=1) == want
 
 
 def test_copies_and_families(spark):
@@ -138,3 +156,39 @@ def test_texts_without_letters(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert pairs(df) == {("e1", "t1")}
     assert [(r["n_records"], r["n_exact"]) for r in overlap_report(df).collect()] == [(1, 1)]
+
+
+def test_entities_wide_digits_and_numbers(spark):
+    rows = [
+        ("e1", "x", "it's the ledger of run 12 that drains", "eval", ""), ("t1", "x", "it&#39;s the ledger of run 12 that drains", "code", ""),
+        ("t2", "x", "it's the ledger of run １２ that drains", "prose", ""), ("t3", "x", "it's the ledger of run 13 that drains", "code", ""),
+    ]
+    body = text(random.Random(6), 40)
+    rows += [("e4", "x", f"{body} 77 {body[:40]}", "valid", ""), ("t4", "x", f"{body} 78 {body[:40]}", "code", ""), ("e5", "x", f"{body} 79 {body[::-1]}", "heldout", ""), ("t5", "x", f"{body}\n79  {body[::-1]}", "code", "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {("e1", "t1"), ("e1", "t2"), ("e4", "t4"), ("e5", "t5")} <= pairs(df) and ("e1", "t3") not in pairs(df)
+    report = {r["lane"]: (r["n_exact"], r["n_near"]) for r in overlap_report(df).collect()}
+    assert report == {"eval": (1, 0), "valid": (0, 1), "heldout": (1, 0)}  # texts that differ in a number only are near, not exact
+
+
+def test_short_records_inside_others(spark):
+    rows = [
+        ("e1", "x", "drain the ledger of the run", "eval", ""), ("t1", "x", "first drain the ledger of the run, then stop 7", "code", ""), ("t2", "x", "drain the ledger 3 of the run", "code", ""),
+        ("t3", "x", text(random.Random(7), 30) + " drain the ledger of the run " + text(random.Random(8), 30), "prose", ""),
+    ]
+    assert pairs(spark.createDataFrame(rows, SCHEMA)) == {("e1", "t1"), ("e1", "t3")}
+
+
+def test_an_ordinary_word_of_a_hot_group(spark):
+    """A third of all records are copies of one text, another third edited copies of another: all links, nothing else."""
+    r = random.Random(10)
+    hot, base = text(r, 60), text(r, 100).split()
+    rows = [(f"{s}h{i}", "x", hot, lane, "") for s, lane in (("e", "eval"), ("t", "code")) for i in range(30)]
+    for i in range(60):
+        w = list(base)
+        w[20 + i] = f"own{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}"
+        rows.append((f"{'et'[i % 2]}f{i}", "x", " ".join(w), ["eval", "code"][i % 2], ""))
+    rows += [(f"{s}o{i}", "x", text(r, 60), lane, "") for s, lane in (("e", "eval"), ("t", "code")) for i in range(30)]
+    want = brute(rows, OverlapRule())
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert len(want) == 1800 and pairs(df) == want == pairs(df, rule=OverlapRule(heavy=5), slice_=7)
