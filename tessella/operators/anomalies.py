@@ -1,19 +1,21 @@
 """Spikes, stuck values and impossible readings, judged per source.
 
-Method: peaks over threshold. Each reading is compared with the running
-medians of the readings on either side of it (the trend and season of its
-source); what lies outside both is its residual. Per source and field the
+Method: peaks over threshold. From each reading the seasonal part of its source is taken, the swing that comes back with
+a fixed number of readings, where there is one; what lies outside both of the running medians of the readings on either side
+(the trend) is its residual. Per source and field the
 excesses of the residuals over their 90 % point are fitted by a generalised
-Pareto law, and the cutoff is the value exceeded with a fixed risk per
+Pareto law (by moments, the shape between 0 and 0.15: a tail shorter than exponential is taken for exponential, which
+puts its cutoff higher), and the cutoff is the value exceeded with a fixed risk per
 reading. Two rules are added: stretches of one value that last longer than
 the source's own habit allows, and values that the field cannot take.
 
 Scale. A source may hold any share of the rows, so no step groups by source
-alone. Readings are cut into blocks of consecutive readings of one source
-(about ``block`` each, bounds from counts per source and hour) with a margin
-of ``halo`` readings on both sides; a block is one Python call. What is known
+alone. Readings are sorted by range over (source, time, key), written, and numbered within their source; blocks of
+``block`` consecutive readings with a margin of ``halo`` on both sides are measured, one Python call each, whatever their times. What
+was measured is written, so nothing is measured twice. What is known
 of a source as a whole are histograms with logarithmic bins, aggregated map
-side; their size doesn't grow with the readings.
+side; their size doesn't grow with the readings. Stretches of equal values that reach over a block's edge are put together
+from their parts, so their length has no limit.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from tessella.session import ensure_checkpoint_dir, scratch
+
 NO_SOURCE = "\x00none"
 BINS_PER_OCTAVE = 16
 ZERO_BIN = -(10**6)
@@ -44,42 +48,37 @@ class SpikeRule:
     stuck_least: int = 5
     side: int = 8  # readings of each running median
     top: float = 0.10  # share of residuals whose excesses are fitted
+    season: float = 0.25  # autocorrelation from which a swing counts as the source's season
+    cycles: int = 6  # of a season that a block must hold at least
+    longest: int = 1024  # readings of a season
     block: int = 8192
     halo: int = 256
     salts: int = 16
+    small: int = 100_000  # rows of a table per source up to which it is broadcast; beyond, it is joined with salt
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder; what is read again is read from there."""
+    at = scratch(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def _blocks(rows: DataFrame, rule: SpikeRule) -> DataFrame:
-    """Rows with the blocks that need them: ``block``, and ``own`` where the row belongs to it rather than to its margin.
+    """Rows (each ``key`` once) with the blocks that need them: ``block``, and ``own`` where the row belongs to it rather than to its margin.
 
-    A window runs over the hours of a source, whose number is bounded by the length of the run, not by its readings.
-    An hour with more than ``block`` readings is cut into equal slices of time.
+    Equal rows meet in one range, so dropping them needs no further shuffle. A row's number within its source is its number in the
+    range, and the count of the source's rows in the ranges before: a row per source and range.
     """
-    hour = 3_600_000_000
-    rows = rows.withColumn("h", F.floor(F.col("t") / hour))
-    hours = rows.groupBy("src", "h").agg(F.count("*").alias("n"))
-    k = F.greatest(F.lit(1), F.ceil(F.col("n") / rule.block)).cast("long")
-    hours = hours.withColumn("k", k)
-    w = W.partitionBy("src").orderBy("h")
-    slices = (
-        hours.withColumn("before", F.sum("n").over(w) - F.col("n"))
-        .select("src", "h", "k", "n", "before", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("s"))
-        .withColumn("c0", F.col("before") + F.floor(F.col("n") * F.col("s") / F.col("k")))
-        .withColumn("c1", F.col("before") + F.floor(F.col("n") * (F.col("s") + 1) / F.col("k")))
-        .withColumn("b", F.floor(F.col("c0") / rule.block))
-    )
-    o = W.partitionBy("src").orderBy("c0", "c1")
-    slices = slices.withColumn("next_b", F.lead("b").over(o)).withColumn("last_b", F.lag("b").over(o))
-    ahead = W.partitionBy("src").orderBy("c1").rangeBetween(0, rule.halo - 1)
-    behind = W.partitionBy("src").orderBy("c0").rangeBetween(-(rule.halo - 1), 0)
-    slices = slices.select(
-        "src", "h", "s", "k", "b",
-        F.coalesce(F.greatest("b", F.max("next_b").over(ahead)), F.col("b")).alias("hi"),
-        F.coalesce(F.least("b", F.min("last_b").over(behind)), F.col("b")).alias("lo"),
-    )
-    per_hour = slices.groupBy("src", "h").agg(F.first("k").alias("k"), F.array_sort(F.collect_list(F.struct("s", "b", "lo", "hi"))).alias("at"))
-    placed = rows.join(per_hour, ["src", "h"]).withColumn("a", F.expr(f"at[int(least(k - 1, floor((t - h * {hour}) * k / {hour})))]"))
-    return placed.select("src", "key", "t", "f", F.col("a.b").alias("b"), F.explode(F.sequence("a.lo", "a.hi")).alias("block")).withColumn("own", F.col("b") == F.col("block")).drop("b")
+    order = ["src", "t", "key"]
+    x = rows.repartitionByRange(*order).dropDuplicates(order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
+    x = _written(x, "ranges").withColumn("range", F.shiftright("id", 33))
+    w = W.partitionBy("src").orderBy("range")
+    parts = x.groupBy("src", "range").agg(F.min("id").alias("first"), F.count("*").alias("n")).select("src", "range", (F.sum("n").over(w) - F.col("n") - F.col("first")).alias("shift")).checkpoint()
+    x = x.join(F.broadcast(parts) if parts.count() <= rule.small else parts, ["src", "range"]).withColumn("pos", F.col("id") + F.col("shift"))
+    b = lambda c: F.floor(c / rule.block)
+    x = x.withColumn("b", b(F.col("pos"))).withColumn("block", F.explode(F.sequence(b(F.greatest(F.col("pos") - rule.halo, F.lit(0))), b(F.col("pos") + rule.halo))))
+    return x.withColumn("own", F.col("b") == F.col("block")).drop("b", "pos", "id", "range", "shift")
 
 
 def _medians(y: np.ndarray, k: int) -> np.ndarray:
@@ -93,15 +92,55 @@ def _medians(y: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def residuals(x: np.ndarray, counter: bool, rule: SpikeRule) -> tuple[np.ndarray, np.ndarray]:
-    """Residual and length of the stretch of equal values, of each valid reading in order of time."""
+def seasonal(y: np.ndarray, place: np.ndarray, rule: SpikeRule) -> np.ndarray:
+    """The swing of y that comes back with a fixed number of places, or zeros: per phase the median of what is off the running median.
+
+    The period is the lag with the largest autocorrelation, outliers being cut off at ten deviations; it has to reach
+    ``season``, and five times the chance level. Places are those of all readings, so null ones don't shift the phase.
+    """
+    n, zero = len(y), np.zeros(len(y))
+    if n < 4 * rule.cycles:
+        return zero
+    wide = 2 * rule.side + 1
+    off = y - np.median(np.lib.stride_tricks.sliding_window_view(np.pad(y, rule.side, mode="edge"), wide), axis=1)
+    scale = 1.4826 * np.median(np.abs(off))
+    if scale == 0:
+        scale = np.abs(off).mean()
+    if scale == 0:
+        return zero
+    e = np.clip(off, -10 * scale, 10 * scale)
+    line = np.zeros(place[-1] - place[0] + 1)
+    line[place - place[0]] = e - e.mean()
+    power = np.abs(np.fft.rfft(line, 1 << int(np.ceil(np.log2(2 * len(line)))))) ** 2
+    ac = np.fft.irfft(power)[: min(len(line) // rule.cycles, rule.longest) + 1]
+    if len(ac) < 4 or ac[0] <= 0:
+        return zero
+    ac = ac / ac[0]
+    best = ac[2:].max()
+    if best < max(rule.season, 5 / np.sqrt(n)):
+        return zero
+    period = 2 + int(np.argmax(ac[2:] >= 0.9 * best))
+    phase = place % period
+    order = np.argsort(phase, kind="stable")
+    cuts = np.flatnonzero(np.diff(phase[order])) + 1
+    profile = np.zeros(period)
+    for g in np.split(order, cuts):
+        profile[phase[g[0]]] = np.median(off[g])
+    return profile[phase]
+
+
+def residuals(x: np.ndarray, counter: bool, rule: SpikeRule, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Residual and length of the stretch of equal values, of each valid reading in order of time. ``place``: where it stands among all readings."""
     n = len(x)
     if n == 0:
         return np.zeros(0), np.zeros(0, np.int64)
     cuts = np.flatnonzero(np.diff(x) != 0)
     edges = np.concatenate([[-1], cuts, [n - 1]])
     length = np.repeat(np.diff(edges), np.diff(edges))
-    y = x - np.median(np.diff(x)) * np.arange(n) if counter and n > 1 else x
+    if counter:
+        y = x - np.median(np.diff(x)) * np.arange(n) if n > 1 else x
+    else:
+        y = x - seasonal(x, np.arange(n) if place is None else place, rule)
     left, right = _medians(y, rule.side), _medians(y[::-1], rule.side)[::-1]
     r = np.maximum(np.maximum(y - np.fmax(left, right), np.fmin(left, right) - y), 0)
     r[[0, -1]] = 0
@@ -109,20 +148,29 @@ def residuals(x: np.ndarray, counter: bool, rule: SpikeRule) -> tuple[np.ndarray
 
 
 def _measure(fields: tuple[Field, ...], rule: SpikeRule):
+    """Row per own reading: of each field residual, length of its stretch, and for stretches at the block's edge which (1 first, 2 last, 3 both) and of what value."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("key").sort_values(["t", "key"], kind="stable")
+        pdf = pdf.sort_values(["t", "key"], kind="stable")
         own = pdf["own"].to_numpy(bool)
-        parts = []
-        values = np.array(pdf["f"].tolist(), dtype=float).reshape(len(pdf), len(fields))
+        m = int(own.sum())
+        out = {"src": pdf["src"].to_numpy()[own], "key": pdf["key"].to_numpy()[own], "block": pdf["block"].to_numpy()[own]}
+        slot = np.cumsum(own) - 1
         for j, f in enumerate(fields):
-            v = values[:, j]
+            v = pdf[f"f{j}"].to_numpy(float)
             at = np.flatnonzero(np.isfinite(v) & (v > 0))
-            r, length = residuals(v[at], f.counter, rule)
+            r, length = residuals(v[at], f.counter, rule, at)
             mine = own[at]
-            parts.append(pd.DataFrame({"key": pdf["key"].to_numpy()[at][mine], "field": f.name, "r": r[mine], "len": length[mine]}))
-        out = pd.concat(parts)
-        out.insert(0, "src", pdf["src"].iloc[0])
-        return out
+            to = slot[at][mine]
+            res, size, edge, value = np.full(m, np.nan, np.float32), np.zeros(m, np.int64), np.zeros(m, np.int8), np.full(m, np.nan)
+            res[to], size[to] = r[mine], length[mine]
+            if mine.any():
+                x = v[at]
+                group = np.concatenate([[0], np.cumsum(np.diff(x) != 0)])[mine]
+                edge[to] = np.where(length[mine] >= rule.stuck_least, (group == group[0]) + 2 * (group == group[-1]), 0)
+                value[to] = np.where(edge[to] > 0, x[mine], np.nan)
+            out |= {f"r{j}": res, f"len{j}": size, f"edge{j}": edge, f"v{j}": value}
+        return pd.DataFrame(out)
 
     return run
 
@@ -206,11 +254,12 @@ def flag_readings(
 
     Nulls: a null reading is never flagged and doesn't interrupt a stretch; rows without ``key`` can't be named and
     take no part; rows without ``time`` are judged by the plausibility rule only; a null source is a source. Whole
-    rows repeated count once. Ties in time are ordered by ``key``. A stretch is measured exactly up to ``halo``
-    readings; a source whose habit is longer than that has no stuck readings. The first and the
+    rows repeated count once. Ties in time are ordered by ``key``. Nulls don't interrupt a stretch unless there are more than ``halo``
+    of them. The first and the
     last valid reading are no spikes: they come from nowhere, or haven't come back.
     Extra columns are ignored. An empty table gives no rows.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     values = [F.col(f.name).cast("double") for f in fields]
     base = df.select(F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE)).alias("src"), F.col(key).alias("key"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.array(*values).alias("f")).where(F.col("key").isNotNull())
     names = F.array(*[F.lit(f.name) for f in fields])
@@ -218,16 +267,34 @@ def flag_readings(
     impossible = base.select("src", "key", F.explode(wrong).alias("x")).select("src", "key", F.col("x.field").alias("field"), F.lit("impossible").alias("reason")).distinct()
 
     kind = df.schema[key].dataType.simpleString()
-    placed = _blocks(base.where(F.col("t").isNotNull()), rule)
-    measured = placed.groupBy("src", "block").applyInPandas(_measure(fields, rule), f"src string, key {kind}, field string, r double, len long")
+    timed = base.where(F.col("t").isNotNull()).select("src", "key", "t", *[F.col("f")[j].alias(f"f{j}") for j in range(len(fields))])
+    columns = "".join(f", r{j} float, len{j} long, edge{j} byte, v{j} double" for j in range(len(fields)))
+    measured = _written(_blocks(timed, rule).groupBy("src", "block").applyInPandas(_measure(fields, rule), f"src string, key {kind}, block long{columns}"), "measured")
+    each = F.array(*[F.struct(F.lit(f.name).alias("field"), F.col(f"r{j}").cast("double").alias("r"), F.col(f"len{j}").alias("len"), F.col(f"edge{j}").alias("edge"), F.col(f"v{j}").alias("v")) for j, f in enumerate(fields)])
+    long = measured.select("src", "key", "block", F.explode(each).alias("x")).select("src", "key", "block", "x.*").where(~F.isnan("r"))
+
+    # stretches over the edges of blocks: at most two parts a block and field
+    parts = long.where("edge > 0").groupBy("src", "field", "block", "edge", "v").agg(F.count("*").alias("n"))
+    w = W.partitionBy("src", "field").orderBy("block", "edge")
+    before = lambda c: F.lag(c).over(w)
+    goes_on = (before("block") == F.col("block") - 1) & (before("v") == F.col("v")) & (before("edge") >= 2) & F.col("edge").isin(1, 3)
+    parts = parts.withColumn("stretch", F.sum(F.when(goes_on, 0).otherwise(1)).over(w))
+    parts = parts.withColumn("total", F.sum("n").over(W.partitionBy("src", "field", "stretch"))).select("src", "field", "block", "edge", "n", "total").checkpoint()
+
     r_bin = F.when(F.col("r") > 0, F.floor(F.log2("r") * BINS_PER_OCTAVE)).otherwise(F.lit(ZERO_BIN)).cast("long")
-    bins = measured.select("src", "field", F.explode(F.array(F.struct(F.lit("r").alias("kind"), r_bin.alias("bin")), F.struct(F.lit("len").alias("kind"), F.col("len").alias("bin")))).alias("x"))
+    one = lambda k, c: F.struct(F.lit(k).alias("kind"), c.alias("bin"))
+    bins = long.select("src", "field", F.explode(F.array(one("r", r_bin), one("len", F.when(F.col("edge") == 0, F.col("len"))))).alias("x")).where("x.bin is not null")
     counts = bins.groupBy("src", "field", "x.kind", "x.bin").agg(F.count("*").alias("n"))
-    cutoffs = counts.groupBy("src", "field").applyInPandas(_fit(rule, {f.name for f in fields if f.counter}), "src string, field string, cut double, least long")
-    # A source may hold a third of the readings: both sides of the join are salted.
-    salted = cutoffs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(rule.salts - 1))))
+    counts = counts.unionByName(parts.groupBy("src", "field", F.lit("len").alias("kind"), F.col("total").alias("bin")).agg(F.sum("n").alias("n")))
+    cutoffs = counts.groupBy("src", "field").applyInPandas(_fit(rule, {f.name for f in fields if f.counter}), "src string, field string, cut double, least long").checkpoint()
+    edge = long.where("edge > 0").drop("len").join(parts.select("src", "field", "block", "edge", F.col("total").alias("len")), ["src", "field", "block", "edge"])
+    suspect = long.where((F.col("edge") == 0) & ((F.col("r") > 0) | (F.col("len") >= rule.stuck_least))).unionByName(edge).select("src", "key", "field", "r", "len")
+    if cutoffs.count() <= rule.small:
+        judged = suspect.join(F.broadcast(cutoffs), ["src", "field"])
+    else:  # a source may hold a third of the readings: both sides of the join are salted
+        salted = cutoffs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(rule.salts - 1))))
+        judged = suspect.withColumn("salt", F.pmod(F.hash("key"), F.lit(rule.salts))).join(salted, ["src", "field", "salt"])
     reason = F.when(F.col("len") >= F.col("least"), F.lit("stuck")).when(F.col("r") > F.col("cut"), F.lit("spike"))
-    judged = measured.where((F.col("r") > 0) | (F.col("len") >= rule.stuck_least)).withColumn("salt", F.pmod(F.hash("key"), F.lit(rule.salts))).join(salted, ["src", "field", "salt"])
     found = judged.select("src", "key", "field", reason.alias("reason")).where("reason is not null").unionByName(impossible)
     return found.select(F.col("key").alias(key), F.when(F.col("src") != NO_SOURCE, F.col("src")).alias(source), "field", "reason")
 

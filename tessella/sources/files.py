@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -12,12 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from pyspark.sql.utils import AnalysisException
 
 from tessella.operators.series import running_totals
-from tessella.session import ensure_checkpoint_dir
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, which all executors share."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from tessella.session import scratch  # noqa: F401
 
 
 def read_parquet_glob(spark: SparkSession, folder: str, glob: str = "*.parquet") -> DataFrame:
