@@ -268,6 +268,14 @@ def _filters_of(paged: DataFrame, pages: int, steps: dict[str, str] | None = Non
     return tables
 
 
+def _is_in(hashes: DataFrame, rule: OverlapRule):
+    """A test whether a hash is among ``h`` of a table, without false negatives."""
+    n = hashes.count()
+    pages = _pages(n, rule.filter_bits)
+    table = hashes.sparkSession.sparkContext.broadcast(_filters_of(_paged(hashes, pages, 1 + n // 300_000), pages)[0])
+    return F.pandas_udf(lambda h: pd.Series(_passes(table.value, h.to_numpy(np.int64))), "boolean")
+
+
 def overlap_classes(df: DataFrame, *, id_: str = "doc_id", text: str = "text", lane: str = "lane", source: str = "source", rule: OverlapRule = OverlapRule()) -> tuple[DataFrame, DataFrame]:
     """``(members, links)``: the class of each record that takes part, and the linked classes of the two sides.
 
@@ -292,7 +300,11 @@ def overlap_classes(df: DataFrame, *, id_: str = "doc_id", text: str = "text", l
 
     def classes(side: str, lanes: tuple[str, ...], table=None) -> tuple[DataFrame, DataFrame]:
         rows = kept(base.where(F.col("lane").isin(*lanes)).mapInArrow(_sketch(rule, table), schema).where("sig is not null"))
-        one = rows.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("n_words", "n", "s", "at", "tokens")])
+        # only the rows of classes with several records are moved to find one of each
+        again = rows.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select(F.xxhash64("sig").alias("h")).checkpoint()
+        several = _is_in(again, rule)(F.xxhash64("sig"))
+        of_class = ("sig", "n_words", "n", "s", "at", "tokens")
+        one = rows.where(several).groupBy("sig").agg(*[F.first(c).alias(c) for c in of_class[1:]]).unionByName(rows.where(~several).select(*of_class))
         return rows.select("id", F.lit(side).alias("side"), "lane", "source", "sig", "full"), kept(one.select(F.lit(side).alias("side"), "*"))
 
     # evaluation side: classes, frequencies, filter
@@ -329,10 +341,7 @@ def overlap_classes(df: DataFrame, *, id_: str = "doc_id", text: str = "text", l
 
     # the shingles of those that are in a pair
     known = pairs.select(F.explode(F.array(F.xxhash64("sig"), F.xxhash64("sig_large"))).alias("h")).distinct()
-    size = _pages(2 * pairs.count(), rule.filter_bits)
-    wanted = share(_filters_of(_paged(known, size, width), size)[0])
-    passes = F.pandas_udf(lambda h: pd.Series(_passes(wanted.value, h.to_numpy(np.int64))), "boolean")
-    some = found.where(passes(F.xxhash64("sig"))).select("side", "sig", "n", "n_words", "s", "at", "tokens")
+    some = found.where(_is_in(known, rule)(F.xxhash64("sig"))).select("side", "sig", "n", "n_words", "s", "at", "tokens")
     large = some.select(F.when(F.col("side") == "e", "t").otherwise("e").alias("side"), *[F.col(c).alias(f"{c}_large") for c in ("sig", "n", "n_words", "s", "tokens")])
     near = pairs.join(some, ["side", "sig"]).join(large, ["side", "sig_large"]).mapInArrow(_verify(rule), "side string, sig binary, sig_large binary, n int, n_large int, overlap int")
     e_small = F.col("side") == "e"
@@ -356,7 +365,8 @@ def overlap_pairs(df: DataFrame, *, id_: str = "doc_id", slice_: int = 5000, **a
     members, links = overlap_classes(df, id_=id_, **args)
     out = links.select("sig_e", "sig_t")
     for side in "et":
-        m = members.where(F.col("side") == side).select("sig", F.col(id_).alias(side)).distinct()
+        linked = links.select(F.col(f"sig_{side}").alias("sig")).distinct()
+        m = members.where(F.col("side") == side).select("sig", F.col(id_).alias(side)).join(linked, "sig", "left_semi").distinct()
         sizes = m.groupBy("sig").agg(F.ceil(F.count("*") / slice_).cast("int").alias("slices"))
         # the number of slices comes to every member by a join on the class, whose large side AQE may split
         cut = m.join(sizes, "sig").withColumn("k", F.pmod(F.xxhash64(side), "slices").cast("int")).select(F.col("sig").alias(f"sig_{side}"), F.col("k").alias(f"k_{side}"), side)

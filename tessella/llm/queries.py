@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessella.llm.mixing import mix_sources
+from tessella.llm.mixing import CORPUS, MixRule, mix_sources
 from tessella.llm.overlap import overlap_pairs, overlap_report
 from tessella.llm.packing import pack_documents, utilisation
 from tessella.llm.splitting import split_oversized
@@ -40,12 +40,16 @@ def p4_utilisation(spark: SparkSession, d: str) -> DataFrame:
     return utilisation(p4_containers(spark, d))
 
 
+#: The tables want shares of sources only; languages and topics are to stay as the corpus has them.
+MIX = MixRule(language_share=CORPUS, topic_share=CORPUS)
+
+
 def p5_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mix_sources(table(spark, d, "documents"), table(spark, d, "mixture_targets"))[0]
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "mixture_targets"), rule=MIX)[0]
 
 
 def p5_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mix_sources(table(spark, d, "documents"), table(spark, d, "mixture_targets"))[1]
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "mixture_targets"), rule=MIX)[1]
 
 
 def p6_scores(spark: SparkSession, d: str) -> DataFrame:

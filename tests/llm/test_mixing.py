@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessella.llm.mixing import MixRule, mix_sources, rake
+from tessella.llm.mixing import CORPUS, MixRule, _fill, mix_sources, rake
 from tessella.functions.tokens import encoding
 
 DOCS = "doc_id long, text string, source string, lang string, lane string, n_tokens string"
@@ -70,3 +70,27 @@ def test_nothing(spark, rows, targets):
     sel, rep = mix_sources(spark.createDataFrame(rows, DOCS), spark.createDataFrame(targets, TARGETS))
     assert sel.count() == 0
     rep.collect()
+
+
+def test_caps():
+    a = np.array([[[90.0, 10.0]], [[50.0, 50.0]]])
+    m = [np.array([0.5, 0.5]), None, np.array([0.3, 0.7])]
+    cap = np.array([[[1.0, 0.2]], [[1.0, 1.0]]])
+    w = rake(a, m, cap=cap)
+    assert np.allclose(w.sum(axis=(1, 2)), m[0]) and (w <= cap + 1e-12).all() and np.isclose(w[0, 0, 1], 0.2) and w[1, 0, 1] > 0.45  # the other source makes up for what the cap takes
+    assert np.allclose(_fill(np.array([1.0, 1, 0]), np.array([0.1, 9, 9]), 0.5), [0.1, 0.4, 0]) and np.allclose(_fill(np.array([1.0, 2]), np.array([1.0, 1]), 5), [1, 1])
+
+
+def test_corpus_margins_and_rare_cells(spark):
+    """One rare cell must not bound the total, and all three margins are reported."""
+    rows = [(i, "token text " * 20, "big" if i % 5 else "mid", "de" if i % 50 == 1 else "en", ["code", "prose"][i % 2], "") for i in range(3000)] + [(9000, "token text " * 20, "big", "xx", "rare", "")]
+    t = spark.createDataFrame([("big", 0.5, 2), ("mid", 0.5, 2)], TARGETS)
+    sel, rep = mix_sources(spark.createDataFrame(rows, DOCS), t, rule=MixRule(language_share=CORPUS, topic_share=CORPUS))
+    rep = rep.toPandas()
+    of = lambda axis, c: rep[rep["axis"] == axis].set_index(c)
+    s = of("source", "source")
+    assert s.loc["mid", "used_tokens"] == 2 * s.loc["mid", "available_tokens"] and abs(s.loc["big", "actual_share"] - 0.5) < 0.002
+    assert set(of("language", "lang").index) == {"en", "de", "xx"} and set(of("topic", "topic").index) == {"code", "prose", "rare"}
+    topic = of("topic", "topic")
+    assert (topic["target_share"] - topic["actual_share"]).abs().max() < 0.01 and rep["most_uses"].max() <= 2
+    assert np.isclose(topic["target_share"].sum(), 1) and np.isclose(topic["actual_share"].sum(), 1, atol=1e-4)
