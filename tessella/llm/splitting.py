@@ -12,14 +12,22 @@ import bisect
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-SALTS = 8
+BANDS = (1 / 8, 1 / 4)  # of a span's length, on either side of its middle
+HOT = 1000  # oversized items of a document, from which its turns are sent to several tasks
+
+
+def _halvings(length: int, most: int) -> int:
+    """Pieces that halving makes of a length."""
+    return 1 << max(0, -(-length // most) - 1).bit_length()
 
 
 def cut_span(start: int, end: int, bounds: list[tuple[int, int]], limit: int, overlap: int) -> list[tuple[int, int, int, bool]]:
     """Pieces ``(piece_start, piece_end, core_start, at_boundary)`` of [start, end).
 
     ``bounds``: (position, strength) in order of position. A cut leaves at least the overlap on its left, so that the
-    next piece can reach back. Where no boundary is inside the allowed range the cut is in the middle.
+    next piece can reach back. The strongest boundary (then the nearest to the middle) in the narrowest of the bands about the
+    middle that has one is taken; outside of the bands the nearest one, if halving what it leaves makes no more pieces than a cut
+    in the middle does. Where there is none the cut is in the middle.
     A limit under 1 counts as 1, an overlap that isn't under the limit as limit less 1.
     """
     limit = max(1, limit)
@@ -40,11 +48,18 @@ def cut_span(start: int, end: int, bounds: list[tuple[int, int]], limit: int, ov
         mid = min(max((lo + hi) // 2, low), high)
         i, j = bisect.bisect_left(at, low), bisect.bisect_right(at, high)
         best = None
-        for k in range(i, j):
-            cost = abs(at[k] - mid) / (hi - lo) - 0.1 * bounds[k][1]
-            if best is None or cost < best[0]:
-                best = (cost, at[k])
-        cut = best[1] if best else mid
+        for band in BANDS:
+            reach = band * (hi - lo)
+            a, b = max(i, bisect.bisect_left(at, mid - reach)), min(j, bisect.bisect_right(at, mid + reach))
+            if a < b:
+                best = min((-bounds[k][1], abs(at[k] - mid), at[k]) for k in range(a, b))
+                break
+        if best is None and i < j:
+            k = bisect.bisect_left(at, mid, i, j)
+            far = min((abs(at[x] - mid), at[x]) for x in (k - 1, k) if i <= x < j)[1]
+            if _halvings(far - lo, most) + _halvings(hi - far, most) <= _halvings(mid - lo, most) + _halvings(hi - mid, most):
+                best = (0, 0, far)
+        cut = best[2] if best else mid
         stack.append((cut, hi, best is not None))
         stack.append((lo, cut, natural))
     cores.sort()
@@ -75,8 +90,9 @@ def split_oversized(segments: DataFrame, shards: DataFrame, limits: DataFrame) -
     outside the item are no boundaries; turns of the user are the stronger ones. Extra columns are ignored; empty
     tables give no rows. A null overlap counts as none.
 
-    Only oversized items are joined with turns. A document may be used by any number of segments, so that join is
-    salted. ``limits`` holds a row per lane; it is broadcast as a table of fixed size.
+    Only oversized items are joined with turns, and only documents that such items use are sent. A document may be used by any
+    number of segments: one that more than ``HOT`` of them use (more, where a 65,536th of them is more, which bounds the table of such
+    documents) is sent in several copies, each for a part of its items. ``limits`` holds a row per lane; it is broadcast as a table of fixed size.
     """
     clean = lambda c: F.lower(F.trim(F.col(c)))
     lim = limits.select(clean("lane").alias("lane"), F.col("max_tokens").cast("long").alias("max_tokens"), F.coalesce(F.col("overlap_tokens").cast("long"), F.lit(0)).alias("overlap_tokens")).where("lane is not null and max_tokens is not null").dropDuplicates(["lane"])
@@ -87,8 +103,13 @@ def split_oversized(segments: DataFrame, shards: DataFrame, limits: DataFrame) -
     turn = F.filter("turns", lambda t: t["start"].isNotNull() & (t["stop"].isNull() | (t["stop"] > t["start"])) & (t["start"] > 0))
     bounds = F.transform(turn, lambda t: F.struct((F.col("token_start") + t["start"]).alias("p"), F.when(t["role"] == "user", 2).otherwise(1).alias("s")))
     docs = shards.where("doc_id is not null and turns is not null and token_start is not null").select("doc_id", bounds.alias("bounds")).dropDuplicates(["doc_id"])
-    salted = docs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = long.withColumn("salt", F.pmod(F.hash("item_id"), F.lit(SALTS))).join(salted, ["doc_id", "salt"], "left")
+    uses = long.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    hot = max(HOT, long.count() // 65_536)
+    copies = F.ceil(F.col("n") / hot).cast("int")
+    few = F.broadcast(uses.where(F.col("n") > hot).select("doc_id", copies.alias("copies")))
+    sent = docs.join(uses, "doc_id").withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("n")
+    salt = F.pmod(F.hash("item_id"), F.coalesce("copies", F.lit(1)))
+    joined = long.join(few, "doc_id", "left").withColumn("salt", salt).join(sent, ["doc_id", "salt"], "left")
     inside = F.filter("bounds", lambda b: (b["p"] > F.col("lo")) & (b["p"] < F.col("hi")))
     ready = joined.select("kind", "item_id", "lo", "hi", "max_tokens", "overlap_tokens", inside.alias("bounds"))
     return ready.mapInPandas(_cut, "kind string, item_id string, piece int, piece_start long, piece_end long, core_start long, at_turn boolean")

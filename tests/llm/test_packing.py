@@ -21,6 +21,28 @@ def test_pack():
     assert cost.std() <= first_fit_spread(sizes[order], 1024) * 1.05
 
 
+def test_lowest_cost():
+    """Each item, in descending order, is in the container that had the lowest cost of those with room."""
+    sizes = np.random.default_rng(3).integers(1, 300, 400)
+    rule = PackRule()
+    box = pack(sizes, 1000, rule)
+    k = int(np.ceil(sizes.sum() / 1000))
+    room, cost = np.full(k, 1000), np.zeros(k)
+    slot: dict = {}
+    for i in np.argsort(-sizes, kind="stable"):
+        n = sizes[i]
+        free = np.flatnonzero(room >= n)
+        if not len(free):
+            continue
+        least = cost[free].min()
+        j = slot.get(box[i])
+        if j is None:
+            j = slot[box[i]] = next(x for x in free if cost[x] == least and x not in slot.values())
+        assert cost[j] == least
+        room[j] -= n
+        cost[j] += rule.linear * n + rule.quadratic * n * n
+
+
 def first_fit_spread(sizes, capacity):
     room, cost = [], []
     for n in sizes[sizes > 0]:

@@ -1,8 +1,10 @@
 """Cuts: limits, overlap, cover, turns, and odd input."""
 
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from tessella.llm.splitting import cut_span, split_oversized
+import tessella.llm.splitting as splitting
 
 SEG = "segment_id string, lane string, doc_id string, token_start long, token_end long, kind string"
 SHARD = "doc_id string, lane string, token_start long, token_end long, turns array<struct<role:string,start:long,stop:long>>"
@@ -41,3 +43,20 @@ def test_tables(spark):
     assert s1[0][0] == 1000 and s1[-1][1] == 1250 and all(b - a <= 100 for a, b, _ in s1)
     assert any(a == 1110 and t for a, _, t in s1)  # the cut is at 1120, the piece reaches back by 10
     assert split_oversized(seg.limit(0), sh.limit(0), lim).count() == 0
+
+
+def test_far_boundaries():
+    assert len(cut_span(0, 4000, [(3990, 1)], 2048, 64)) == 3  # a boundary that would cost a piece is left
+    assert [x[2] for x in cut_span(0, 1000, [(300, 1), (460, 1)], 600, 50)] == [0, 460]
+    assert [x[2] for x in cut_span(0, 1000, [(430, 1), (580, 2)], 600, 50)] == [0, 580]  # in one band the stronger
+    assert [x[2] for x in cut_span(0, 1000, [(460, 1), (700, 2)], 600, 50)] == [0, 460]  # a band nearer to the middle comes first
+
+
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_hot_document(spark, monkeypatch, hot):
+    monkeypatch.setattr(splitting, "HOT", hot)
+    lim = spark.createDataFrame([("agent", 100, 10, 0)], LIM)
+    seg = spark.createDataFrame([(f"s{i}", "agent", "d1", 1000, 1150 + i, "x") for i in range(40)], SEG)
+    sh = spark.createDataFrame([("d1", "agent", 1000, 1300, [("user", 80, 100)]), ("d9", "agent", 0, 50, [("user", 1, 2)])], SHARD)
+    got = split_oversized(seg, sh, lim).collect()
+    assert {r["item_id"] for r in got} == {f"s{i}" for i in range(40)} | {"d1"} and sum(r["core_start"] == 1080 for r in got) >= 40
