@@ -20,6 +20,12 @@ def meaning_code(n: Column, norm: float = 1000.0, eps: float = 1e-6) -> Column:
     return F.struct(z(F.signum(n)).alias("sign"), z(F.log(F.abs(n) + eps)).alias("log"), z(n / norm).alias("lin"))
 
 
+def group_name(c: Column) -> Column:
+    """``blocks.i.sub...`` as ``block{i}.sub``; any other name as its first part."""
+    p = F.split(c, "\\.")
+    return F.when(c.startswith("blocks."), F.concat(F.lit("block"), p[1], F.lit("."), F.get(p, 2))).otherwise(p[0])
+
+
 def decoded(a: Column, b: Column, norm: float = 1000.0, eps: float = 1e-6) -> dict[str, Column]:
     """Sum, difference, product and quotient of two numbers from their meaning codes."""
     sign = a["sign"] * b["sign"]

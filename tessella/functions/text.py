@@ -21,9 +21,14 @@ TOKEN = r"[^ \t\n\r\f]+"
 
 
 @F.pandas_udf(StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    """Canonical composition (Spark has no built-in for it)."""
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+def _composed(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
+
+
+def nfc(c: Column | str) -> Column:
+    """Canonical composition. Spark has no built-in for it; only texts with other than ASCII characters go to Python."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(_composed(F.when(F.octet_length(c) != F.length(c), c)), c)
 
 
 def controls(keep_joiners: bool) -> str:
@@ -32,7 +37,7 @@ def controls(keep_joiners: bool) -> str:
 
 
 def normalize(c: Column, keep_joiners: bool = True, lines_first: bool = False, compose: bool = True) -> Column:
-    """NFC, without control characters, each line without trailing blanks, and stripped.
+    """NFC (``compose``), without control characters, each line without trailing blanks, and stripped.
 
     ``lines_first``: CRLF becomes LF before control characters go (the code and Indic audits); otherwise a carriage return is
     just a control character. Null stays null.
@@ -107,11 +112,11 @@ def unit_hash(key: Column) -> Column:
 
 def decimal_bytes(c: Column) -> Column:
     """Bytes in units of 1000: two decimals under 10 of a unit, one under 100, none beyond."""
-    out = F.lit(None).cast("string")
+    out = shown = F.lit(None).cast("string")
     for i, unit in enumerate(["B", "KB", "MB", "GB", "TB"]):
         v = c.cast("double") / float(1000**i)
         shown = F.when(v < 10, F.format_string("%.2f " + unit, v)).when(v < 100, F.format_string("%.1f " + unit, v)).otherwise(F.format_string("%.0f " + unit, v))
-        out = shown if i == 0 else F.when(c >= 1000**i, shown).otherwise(out)
+        out = F.when(c.isNotNull(), shown) if i == 0 else F.when(c >= 1000**i, shown).otherwise(out)
     return out
 
 
@@ -134,9 +139,15 @@ def token_category(c: Column) -> Column:
     )
 
 
+#: A spelling of a number: digits, which may be grouped by underscores, with a point and an exponent; infinity; not a number.
+DIGITS = r"\d+(?:_\d+)*"
+NUMERAL = rf"^[+-]?(?:(?:{DIGITS}(?:\.(?:{DIGITS})?)?|\.{DIGITS})(?:[eE][+-]?{DIGITS})?|(?i:inf|infinity|nan))$"
+
+
 def numeral(c: Column) -> Column:
-    """The number that a token spells, else null."""
-    return F.trim(c).try_cast("double")
+    """The number that a token spells, else null. Suffixes of number types (``1f``) are no spelling."""
+    t = F.trim(c)
+    return F.when(t.rlike(NUMERAL), F.replace(t, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def meaning(n: Column) -> Column:

@@ -33,12 +33,12 @@ def length_profile(df: DataFrame, length: Column, by: list[str]) -> DataFrame:
 
 
 def audit_stages(df: DataFrame, text: str, lang: str, over: int = 2048) -> DataFrame:
-    """The audit as (stage, metric, value): every stage is computed on all records, in one aggregation.
+    """The audit as (stage, metric, value): every stage is computed on all records.
 
-    Null texts count as empty. Exact duplicates are counted by digest, in a second aggregation that is grouped by digest.
+    Null texts count as empty. One pass: the sums are formed per digest of the clean text, which counts exact duplicates, and then added up.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
-    clean = X.normalize(raw, compose=False)
+    clean = X.normalize(raw)
     base = evaluated_once(df, raw=raw, clean=clean, lang=F.col(lang))
     n_tok = X.tokens(F.col("clean"))
     sums = {
@@ -55,11 +55,10 @@ def audit_stages(df: DataFrame, text: str, lang: str, over: int = 2048) -> DataF
         ("pii", "url"): F.sum(X.pattern_count(F.col("clean"), X.URL)),
     }
     names = list(sums)
-    one = base.agg(*[c.cast("long").alias(f"m{i}") for i, c in enumerate(sums.values())])
-    long = one.select(F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(m).alias("metric"), F.coalesce(F.col(f"m{i}"), F.lit(0)).alias("value")) for i, (s, m) in enumerate(names)])).alias("x")).select("x.*")
-    digest = base.groupBy(F.sha2("clean", 256).alias("h")).agg(F.count("*").alias("c"))
-    dup = digest.agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("value")).select(F.lit("dedup").alias("stage"), F.lit("exact_duplicates").alias("metric"), "value")
-    return long.unionByName(dup)
+    per = base.groupBy(F.sha2("clean", 256).alias("h")).agg(*[c.cast("long").alias(f"m{i}") for i, c in enumerate(sums.values())])
+    one = per.agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(len(sums))], (F.coalesce(F.sum("m0"), F.lit(0)) - F.count("*")).alias(f"m{len(sums)}"))
+    names = [*names, ("dedup", "exact_duplicates")]
+    return one.select(F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(m).alias("metric"), F.coalesce(F.col(f"m{i}"), F.lit(0)).alias("value")) for i, (s, m) in enumerate(names)])).alias("x")).select("x.*")
 
 
 def top_k(df: DataFrame, by: list[str], value: str, k: int) -> DataFrame:

@@ -25,10 +25,12 @@ def mutual_information(df: DataFrame, x: str, y: str) -> DataFrame:
 def lift_top(df: DataFrame, group: str, item: str, k: int, least: int) -> DataFrame:
     """The k items per group with the highest lift (share in the group over share overall), of items seen ``least`` times; ties by item."""
     c = df.where(F.col(group).isNotNull() & F.col(item).isNotNull()).groupBy(group, item).agg(F.count("*").alias("c"))
-    c = c.withColumn("m", F.sum("c").over(W.partitionBy(group))).withColumn("o", F.sum("c").over(W.partitionBy(item))).withColumn("n", F.sum("c").over(W.partitionBy(F.lit(0))))
+    sums = lambda x, name: c.groupBy(*([F.col(x).alias(f"_{x}")] if x else [])).agg(F.sum("c").alias(name))
+    m, o = sums(group, "m"), sums(item, "o").where(F.col("o") >= least)
+    c = c.join(o, c[item] == o[f"_{item}"]).join(m, c[group] == m[f"_{group}"]).join(F.broadcast(sums("", "n")))  # one row
     lift = F.round((F.col("c") / F.col("m")) / (F.col("o") / F.col("n")), 6)
     r = F.row_number().over(W.partitionBy(group).orderBy(F.desc("lift"), F.asc(item)))
-    return c.where(F.col("o") >= least).withColumn("lift", lift).withColumn("rank", r).where(F.col("rank") <= k).select(group, item, "lift", "rank")
+    return c.withColumn("lift", lift).withColumn("rank", r).where(F.col("rank") <= k).select(group, item, "lift", "rank")
 
 
 def load_stats(df: DataFrame, expert: Column, n_experts: int, family: int) -> DataFrame:

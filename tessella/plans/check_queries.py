@@ -62,14 +62,14 @@ def mixture_compliance(spark, d):
     return plan.join(n.groupBy("stage").agg(F.sum("n").alias("total")), "stage").join(n, ["stage", "lane"], "left").select("stage", "lane", "weight", F.round(share, 6).alias("actual"), (share >= 0.5 * F.col("weight") - 1e-9).alias("holds"))
 
 
-@book("""WITH r AS (SELECT run_id, step, ledger_offset, tokens FROM (SELECT DISTINCT * FROM main_midpoint_rev) WHERE step > 0), a AS (SELECT run_id, step, min(ledger_offset) AS first, max(ledger_offset) AS last, count(*) AS n FROM r GROUP BY 1, 2 HAVING count(*) = 2)
-    SELECT a.run_id, a.step, x.tokens AS expected, y.tokens AS resumed, x.tokens = y.tokens AS match FROM a JOIN r x ON x.ledger_offset = a.first JOIN r y ON y.ledger_offset = a.last""")
+@book("""WITH r AS (SELECT run_id, step, ledger_offset, tokens FROM (SELECT DISTINCT * FROM main_midpoint_rev) WHERE step > 0), a AS (SELECT run_id, step, min(ledger_offset) AS first, max(ledger_offset) AS last, count(*) AS n FROM r GROUP BY 1, 2 HAVING count(*) >= 2)
+    SELECT a.run_id, a.step, x.tokens AS expected, y.tokens AS resumed, a.n AS n_times, x.tokens = y.tokens AS match FROM a JOIN r x ON x.ledger_offset = a.first JOIN r y ON y.ledger_offset = a.last""")
 def resume_report(spark, d):
-    """Steps that a run took twice (it resumed at an earlier step): what was counted before and after."""
+    """Steps that a run took more than once (it resumed at an earlier step): what was counted first and last."""
     r = table(spark, d, "main_midpoint_rev").where("step > 0").dropDuplicates(["ledger_offset"])
     p = F.struct("ledger_offset", "tokens")
-    a = r.groupBy("run_id", "step").agg(F.min(p).alias("a"), F.max(p).alias("b"), F.count("*").alias("n")).where("n = 2")
-    return a.select("run_id", "step", F.col("a.tokens").alias("expected"), F.col("b.tokens").alias("resumed"), F.col("a.tokens").eqNullSafe(F.col("b.tokens")).alias("match"))
+    a = r.groupBy("run_id", "step").agg(F.min(p).alias("a"), F.max(p).alias("b"), F.count("*").alias("n")).where("n >= 2")
+    return a.select("run_id", "step", F.col("a.tokens").alias("expected"), F.col("b.tokens").alias("resumed"), F.col("n").alias("n_times"), F.col("a.tokens").eqNullSafe(F.col("b.tokens")).alias("match"))
 
 
 @book("""WITH c AS (SELECT repo_name, min(created_at) AS first_seen FROM documents WHERE coalesce(repo_name, '') <> '' GROUP BY 1) SELECT d.doc_id, CASE WHEN c.first_seen IS NULL OR d.created_at IS NULL THEN 'MISSING' WHEN CAST(d.created_at AS DATE) >= CAST(c.first_seen AS DATE) + 30 THEN 'BAD' ELSE 'OK' END AS verdict, strftime(d.created_at, '%Y-%m-%d') AS day FROM documents d LEFT JOIN c ON c.repo_name = d.repo_name""")

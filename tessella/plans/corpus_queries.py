@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessella.functions import text as X
 from tessella.operators import profile as P
 from tessella.plans.base import Book
-from tessella.sources.tables import table
+from tessella.sources.tables import spread, table
 
 book = Book()
 QUERIES, SQL = book.queries, book.sql
@@ -15,8 +15,9 @@ QUERIES, SQL = book.queries, book.sql
 TOK = r"len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f]+'))"
 SRC = "coalesce(nullif(lower(trim(source)), ''), 'unknown')"
 #: the same rules in the other engine's regular expressions
+CONTROLS = "[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f]|\\x{ad}|[\\x{600}-\\x{605}]|\\x{61c}|\\x{6dd}|\\x{70f}|\\x{180e}|\\x{200b}|[\\x{200e}-\\x{200f}]|[\\x{202a}-\\x{202e}]|[\\x{2060}-\\x{2064}]|[\\x{2066}-\\x{206f}]|\\x{feff}"
 CLEAN = (
-    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f]|\\x{ad}|[\\x{600}-\\x{605}]|\\x{61c}|\\x{6dd}|\\x{70f}|\\x{180e}|\\x{200b}|[\\x{200e}-\\x{200f}]|[\\x{202a}-\\x{202e}]|[\\x{2060}-\\x{2064}]|[\\x{2066}-\\x{206f}]|\\x{feff}', '', 'g'),"
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')), '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f]|\\x{ad}|[\\x{600}-\\x{605}]|\\x{61c}|\\x{6dd}|\\x{70f}|\\x{180e}|\\x{200b}|[\\x{200e}-\\x{200f}]|[\\x{202a}-\\x{202e}]|[\\x{2060}-\\x{2064}]|[\\x{2066}-\\x{206f}]|\\x{feff}', '', 'g'),"
     " '[\\x{2028}\\x{2029}]', chr(10), 'g'), '(?m)[ \\t\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}]+$', '', 'g'), '^[ \\t\\n\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}]+|[ \\t\\n\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{3000}]+\\z', '', 'g')"
 )
 COUNT = lambda pattern, x="text": f"len(regexp_extract_all({x}, '{pattern}'))"
@@ -36,18 +37,21 @@ def scan_pruned(spark, d):
     return docs(spark, d).groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("chars"))
 
 
+N_SHARDS = 883  #: Fixed value: shards of the code corpus.
+
+
 @book("SELECT format('{:05d}', i) AS shard, format('train-{:05d}-of-00883.parquet', i) AS file FROM (SELECT DISTINCT CAST(floor(k * 883 / 10.0) AS BIGINT) AS i FROM range(10) r(k))")
 def shard_list(spark, d):
     """Evenly spaced shard numbers, distinct and in order."""
-    i = F.floor(F.col("id") * 883 / 10.0)
+    i = F.floor(F.col("id") * N_SHARDS / 10.0)
     return spark.range(10).select(i.alias("i")).distinct().select(F.format_string("%05d", "i").alias("shard"), F.format_string("train-%05d-of-00883.parquet", "i").alias("file"))
 
 
 @book(f"""SELECT {SRC} AS source, count(*) AS n_docs, CAST(count(*) FILTER (WHERE {CLEAN} <> coalesce(text, '')) AS BIGINT) AS n_changed, CAST(sum(length({CLEAN})) AS BIGINT) AS clean_chars FROM documents GROUP BY 1""")
 def normalize_profile(spark, d):
-    """Texts changed by normalisation, per source (canonical composition apart)."""
+    """Texts changed by normalisation, per source."""
     raw = F.coalesce("text", F.lit(""))
-    return P.evaluated_once(docs(spark, d), source=source(), raw=raw, clean=X.normalize(raw, compose=False)).groupBy("source").agg(
+    return P.evaluated_once(spread(docs(spark, d)), source=source(), raw=raw, clean=X.normalize(raw)).groupBy("source").agg(
         F.count("*").alias("n_docs"), F.count_if(F.col("clean") != F.col("raw")).alias("n_changed"), F.sum(F.length("clean")).alias("clean_chars")
     )
 
@@ -74,9 +78,13 @@ def pii_counts(spark, d):
     return docs(spark, d).where("text is not null").groupBy("lane").agg(*[F.sum(X.pattern_count(t, p)).alias(n) for n, p in (("emails", X.EMAIL), ("ipv4s", X.IPV4), ("urls", X.URL), ("secrets", X.SECRET))])
 
 
-@book()
+#: The other engine can't look behind: every other character is doubled, so that neighbours don't share one.
+PHONE_SQL = lambda x: rf"len(regexp_extract_all(regexp_replace({x}, '([^0-9])', '\\1\\1', 'g'), '(?:^|[^0-9])(?:\\+?91(?:--|[ \t\n\v\f\r]{{2}})?)?[6-9][0-9]{{9}}(?:[^0-9]|\\z)'))"
+
+
+@book(f"SELECT lane, CAST(sum(coalesce({PHONE_SQL('text')}, 0)) AS BIGINT) AS phones FROM documents GROUP BY 1")
 def phone_counts(spark, d):
-    """Telephone numbers (the pattern looks behind, which the other engine can't)."""
+    """Telephone numbers."""
     return docs(spark, d).groupBy("lane").agg(F.sum(X.pattern_count(F.col("text"), X.PHONE)).alias("phones"))
 
 
@@ -113,6 +121,7 @@ def tier_rollup(spark, d):
     return docs(spark, d).groupBy(tier.alias("tier"), F.coalesce("lang", F.lit("unknown")).alias("lang")).agg(F.count("*").alias("n_docs"), F.sum(X.tokens(F.col("text"))).alias("n_tokens"))
 
 
+#: Licences that count as allowed.
 ALLOWED = ["mit", "apache-2.0", "bsd-3-clause", "bsd-2-clause", "isc", "cc0-1.0", "unlicense"]
 ALLOWED_SQL = ", ".join(f"'{x}'" for x in ALLOWED)
 
@@ -133,7 +142,7 @@ def license_shards(spark, d):
     f = F.col("allowed") / F.col("total")
     return s.agg(
         F.count("*").alias("n_shards"), F.round(F.avg(f), 4).alias("mean_share"), F.round(F.coalesce(F.stddev_samp(f), F.lit(0.0)), 4).alias("sd_share"), F.round(F.min(f), 4).alias("least"),
-        F.round(F.max(f), 4).alias("most"), F.round(F.sum("allowed") / F.sum("total"), 4).alias("pooled"), F.floor(F.avg("total") * 883).alias("extrapolated"),
+        F.round(F.max(f), 4).alias("most"), F.round(F.sum("allowed") / F.sum("total"), 4).alias("pooled"), F.floor(F.avg("total") * N_SHARDS).alias("extrapolated"),
     )
 
 
@@ -154,7 +163,7 @@ def length_profile(spark, d):
 @book(f"SELECT CAST(count(*) - count(DISTINCT sha256({CLEAN})) AS BIGINT) AS n_duplicates, CAST(count(DISTINCT sha256({CLEAN})) AS BIGINT) AS n_distinct FROM documents")
 def exact_duplicates(spark, d):
     """Rows less distinct normalised texts."""
-    h = docs(spark, d).groupBy(F.sha2(X.normalize(F.coalesce("text", F.lit("")), compose=False), 256).alias("h")).agg(F.count("*").alias("c"))
+    h = spread(docs(spark, d)).groupBy(F.sha2(X.normalize(F.coalesce("text", F.lit(""))), 256).alias("h")).agg(F.count("*").alias("c"))
     return h.agg(F.sum(F.col("c") - 1).alias("n_duplicates"), F.count("*").alias("n_distinct"))
 
 
@@ -176,12 +185,24 @@ def lane_cube(spark, d):
     return docs(spark, d).cube("lane", "lang").agg(F.count("*").alias("n_docs"))
 
 
-@book()
+DISTINCT_SQL = "SELECT lane, count(DISTINCT text) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1"
+
+
+@book(f"WITH e AS ({DISTINCT_SQL}) SELECT lane, TRUE AS close FROM e UNION ALL SELECT '*', TRUE FROM (SELECT count(*) FROM e) WHERE EXISTS (SELECT 1 FROM e)")
 def approx_distinct(spark, d):
-    """Sketches of distinct texts per lane, and merged over lanes."""
-    s = docs(spark, d).where("text is not null").groupBy("lane").agg(F.hll_sketch_agg("text").alias("sketch"), F.countDistinct("text").alias("exact"))
-    all_ = s.agg(F.hll_union_agg("sketch").alias("sketch"), F.sum("exact").alias("exact")).select(F.lit("*").alias("lane"), "sketch", "exact")
-    return s.unionByName(all_).select("lane", F.hll_sketch_estimate("sketch").alias("estimate"), "exact")
+    """Sketches of distinct texts per lane and merged over lanes, within 3 % of the exact counts (which are only there for the check)."""
+    t = docs(spark, d).where("text is not null").select("lane", "text")
+    s = approx_sketches(t)
+    exact = t.groupBy("lane").agg(F.countDistinct("text").alias("exact"))
+    exact = exact.unionByName(t.agg(F.lit("*").alias("lane"), F.countDistinct("text").alias("exact")))
+    return s.join(exact, "lane").select("lane", (F.abs(F.col("estimate") - F.col("exact")) <= 0.03 * F.col("exact") + 1).alias("close"))
+
+
+def approx_sketches(t: DataFrame) -> DataFrame:
+    """Distinct texts per lane and over all lanes (``*``), from mergeable sketches; nothing is counted exactly."""
+    s = t.groupBy("lane").agg(F.hll_sketch_agg("text", 14).alias("sketch"))
+    all_ = s.agg(F.hll_union_agg("sketch").alias("sketch"), F.count("*").alias("n")).where("n > 0").select(F.lit("*").alias("lane"), "sketch")
+    return s.unionByName(all_).select("lane", F.hll_sketch_estimate("sketch").alias("estimate"))
 
 
 @book(f"""SELECT CAST(count(*) FILTER (WHERE {TOK} = 0) AS BIGINT) AS n_empty, CAST(count(*) FILTER (WHERE {TOK} > 2048) AS BIGINT) AS n_over, CAST(count(*) FILTER (WHERE {TOK} > 0) AS BIGINT) AS n_kept FROM documents""")
@@ -197,22 +218,47 @@ def threshold_split(spark, d):
     return docs(spark, d).select("doc_id", F.when(X.tokens(F.col("text")) >= 2000, "withheld").otherwise("train").alias("split"))
 
 
-@book(f"""WITH c AS (SELECT {CLEAN} AS clean, coalesce(text, '') AS raw, lang FROM documents)
-    SELECT 'format' AS stage, 'empty' AS metric, CAST(count(*) FILTER (WHERE clean = '') AS BIGINT) AS value FROM c
-    UNION ALL SELECT 'dedup', 'exact_duplicates', CAST(count(*) - count(DISTINCT sha256(clean)) AS BIGINT) FROM c
-    UNION ALL SELECT 'manifest', 'records', CAST(count(*) AS BIGINT) FROM c
-    UNION ALL SELECT 'manifest', 'raw_tokens', CAST(sum(len(regexp_extract_all(raw, '[^ \t\n\r\f]+'))) AS BIGINT) FROM c
-    UNION ALL SELECT 'normalize', 'changed', CAST(count(*) FILTER (WHERE clean <> raw) AS BIGINT) FROM c""")
-def audit_core(spark, d):
-    """The stages of the audit that both engines' patterns agree on."""
-    keep = ["empty", "exact_duplicates", "records", "raw_tokens", "changed"]
-    return P.audit_stages(docs(spark, d), "text", "lang").where(F.col("metric").isin(*keep))
+LETTERS = COUNT(chr(92) + "p{L}", "clean")
+AUDIT = {
+    ("manifest", "records"): "count(*)", ("manifest", "raw_tokens"): r"sum(len(regexp_extract_all(raw, '[^ \t\n\r\f]+')))", ("normalize", "changed"): "count(*) FILTER (WHERE clean <> raw)",
+    ("normalize", "controls_removed"): f"sum(length(raw) - length(regexp_replace(raw, '{CONTROLS}', '', 'g')))", ("format", "empty"): "count(*) FILTER (WHERE clean = '')",
+    ("format", "over_length"): r"count(*) FILTER (WHERE len(regexp_extract_all(clean, '[^ \t\n\r\f]+')) > 2048)",
+    ("language", "script_mismatch"): f"count(*) FILTER (WHERE lang = 'en' AND {LETTERS} > 0 AND {COUNT('[A-Za-z]', 'clean')} * 1.0 / {LETTERS} < 0.5)",
+    ("pii", "email"): f"sum({COUNT(r'(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b', 'clean')})", ("pii", "phone"): f"sum({PHONE_SQL('clean')})", ("pii", "ipv4"): f"sum({COUNT(r'\b(?:\d{1,3}\.){3}\d{1,3}\b', 'clean')})",
+    ("pii", "url"): f"sum({COUNT(r'(?i)https?://[^ \t\n\v\f\r]+', 'clean')})", ("dedup", "exact_duplicates"): "count(*) - count(DISTINCT sha256(clean))",
+}
 
 
-@book()
+@book(f"WITH c AS MATERIALIZED (SELECT {CLEAN} AS clean, coalesce(text, '') AS raw, lang FROM documents) " + " UNION ALL ".join(f"SELECT '{a}' AS stage, '{b}' AS metric, CAST(coalesce({e}, 0) AS BIGINT) AS value FROM c" for (a, b), e in AUDIT.items()))
 def audit_stages(spark, d):
     """All stages of the audit as (stage, metric, value)."""
-    return P.audit_stages(docs(spark, d), "text", "lang")
+    return P.audit_stages(spread(docs(spark, d)), "text", "lang")
+
+
+LINES = "regexp_replace(regexp_replace(coalesce(text, ''), chr(13) || chr(10), chr(10), 'g'), chr(13), chr(10), 'g')"
+JOINERS = "|[\\x{200c}\\x{200d}]"
+REMOVED = lambda x, pattern: f"CAST(sum(length({x}) - length(regexp_replace({x}, '{pattern}', '', 'g'))) AS BIGINT)"
+
+
+@book(f"SELECT {SRC} AS source, {REMOVED(LINES, CONTROLS + JOINERS)} AS removed_code, {REMOVED(LINES, CONTROLS)} AS removed_indic, {REMOVED('text', CONTROLS)} AS removed_audit FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def control_counts(spark, d):
+    """Characters that the three rules of normalisation remove as control characters: code (joiners go, line ends first), Indic and audit."""
+    lines = F.regexp_replace(F.regexp_replace("text", "\r\n", "\n"), "\r", "\n")
+    x = docs(spark, d).where("text is not null").select(source().alias("source"), "text", lines.alias("lines"))
+    return x.groupBy("source").agg(
+        F.sum(X.control_count(F.col("lines"), keep_joiners=False)).alias("removed_code"), F.sum(X.control_count(F.col("lines"))).alias("removed_indic"), F.sum(X.control_count(F.col("text"))).alias("removed_audit")
+    )
+
+
+CODE_CLEAN = CLEAN.replace("coalesce(text, '')", LINES).replace(CONTROLS, CONTROLS + JOINERS)
+INDIC_CLEAN = CLEAN.replace("coalesce(text, '')", LINES)
+
+
+@book(f"SELECT doc_id, sha256({CODE_CLEAN}) AS code, sha256({INDIC_CLEAN}) AS indic FROM documents WHERE text IS NOT NULL")
+def normalize_variants(spark, d):
+    """Digests of the texts under the rules of the code and of the Indic audits."""
+    rule = lambda joiners: F.sha2(X.normalize(F.col("text"), keep_joiners=joiners, lines_first=True), 256)
+    return spread(docs(spark, d).where("text is not null").select("doc_id", "text")).select("doc_id", rule(False).alias("code"), rule(True).alias("indic"))
 
 
 @book("""WITH a AS (SELECT DISTINCT sha256(text) AS h FROM code_commitpack_sample WHERE text IS NOT NULL AND lane = 'prose')
@@ -247,8 +293,14 @@ def token_categories(spark, d):
     return docs(spark, d).select(w.alias("w")).groupBy(X.token_category(F.col("w")).alias("category")).agg(F.count("*").alias("n"))
 
 
-@book("""SELECT doc_id, n_chars, CASE WHEN n_chars < 10 THEN printf('%.2f B', n_chars::DOUBLE) WHEN n_chars < 100 THEN printf('%.1f B', n_chars::DOUBLE) WHEN n_chars < 1000 THEN printf('%.0f B', n_chars::DOUBLE)
-    WHEN n_chars < 10000 THEN printf('%.2f KB', ((n_chars * 100 + 500) // 1000) / 100.0::DOUBLE) WHEN n_chars < 100000 THEN printf('%.1f KB', ((n_chars * 10 + 500) // 1000) / 10.0::DOUBLE) ELSE printf('%.0f KB', ((n_chars + 500) // 1000)::DOUBLE) END AS shown FROM documents WHERE n_chars < 1000000""")
+def _unit(k: int, name: str) -> str:
+    u = 1000**k
+    near = lambda m: f"((bytes * {m} + {u // 2}) // {u}) / {m}.0::DOUBLE"
+    return f"WHEN bytes < {10 * u} THEN printf('%.2f {name}', {near(100)}) WHEN bytes < {100 * u} THEN printf('%.1f {name}', {near(10)}) WHEN bytes < {1000 * u} THEN printf('%.0f {name}', {near(1)})"
+
+
+@book(f"SELECT doc_id, bytes, CASE {' '.join(_unit(k, n) for k, n in enumerate(['B', 'KB', 'MB', 'GB', 'TB']))} END AS shown FROM (SELECT doc_id, n_chars * (1000 ** k)::BIGINT AS bytes FROM documents, range(4) r(k))")
 def byte_format(spark, d):
-    """Sizes in decimal units."""
-    return docs(spark, d).where("n_chars < 1000000").select("doc_id", "n_chars", X.decimal_bytes(F.col("n_chars")).alias("shown"))
+    """Sizes in decimal units; multiplied by powers of 1000, so that every unit occurs. Null sizes are shown as null."""
+    x = docs(spark, d).select("doc_id", F.explode(F.array(*[F.col("n_chars") * 1000**k for k in range(4)])).alias("bytes"))
+    return x.select("doc_id", "bytes", X.decimal_bytes(F.col("bytes")).alias("shown"))

@@ -217,12 +217,20 @@ def byte_positions(spark, d):
     return N.byte_positions(table(spark, d, "part").select(F.col("p_brand").alias("token")).distinct(), "token")
 
 
-@book(r"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9.]+')) AS token FROM documents), n AS (SELECT token, try_cast(token AS DOUBLE) AS n FROM t WHERE NOT regexp_matches(token, '[A-Za-z]')) SELECT token, sign(coalesce(n, 0))::DOUBLE AS sign, round(CASE WHEN n IS NULL THEN 0 ELSE ln(abs(n) + 1e-6) END, 6) + 0.0 AS log, round(coalesce(n / 1000, 0), 6) + 0.0 AS lin FROM n""")
+ODD = ["1e5", "-2.5E-3", "1_000", "1__0", "_1", "inf", "-Infinity", "nan", "1f", "2d", "0x10", ".5", "5.", ".", "+7", "--1", "1e", "e5", " 12 ", ""]  # spellings that texts seldom hold
+
+
+@book(rf"""WITH t AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9._+-]+')) AS token FROM documents UNION ALL SELECT unnest([{", ".join(f"'{x}'" for x in ODD)}])), d AS (SELECT DISTINCT token FROM t),
+    n AS (SELECT token, CASE WHEN regexp_full_match(trim(token), '[+-]?(?:(?:[0-9]+(?:_[0-9]+)*(?:\.(?:[0-9]+(?:_[0-9]+)*)?)?|\.[0-9]+(?:_[0-9]+)*)(?:[eE][+-]?[0-9]+(?:_[0-9]+)*)?)') THEN CAST(replace(trim(token), '_', '') AS DOUBLE)
+        WHEN regexp_full_match(lower(trim(token)), '[+]?inf(inity)?') THEN 'inf'::DOUBLE WHEN regexp_full_match(lower(trim(token)), '-inf(inity)?') THEN '-inf'::DOUBLE WHEN regexp_full_match(lower(trim(token)), '[+-]?nan') THEN 'nan'::DOUBLE END AS n FROM d)
+    SELECT token, n IS NOT NULL AS is_number, CASE WHEN n IS NULL THEN 0.0 WHEN isnan(n) THEN NULL ELSE sign(n)::DOUBLE END AS sign, CASE WHEN n IS NULL THEN 0.0 WHEN NOT isfinite(n) THEN NULL ELSE round(ln(abs(n) + 1e-6), 6) + 0.0 END AS log, CASE WHEN n IS NULL THEN 0.0 WHEN NOT isfinite(n) THEN NULL ELSE round(n / 1000, 6) + 0.0 END AS lin FROM n""")
 def numeral_codes(spark, d):
-    """Tokens that spell numbers, with sign, log size and scaled value."""
-    t = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9.]+"), F.lit(0))).alias("token")).distinct().where(~F.col("token").rlike("[A-Za-z]"))
-    x = t.withColumn("c", N.meaning_code(numeral(F.col("token"))))
-    return x.select("token", "c.sign", F.round("c.log", 6).alias("log"), F.round("c.lin", 6).alias("lin"))
+    """Tokens with whether they spell a number, and its sign, log size and scaled value (null where these aren't finite)."""
+    t = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9._+-]+"), F.lit(0))).alias("token"))
+    t = t.unionByName(spark.createDataFrame([(x,) for x in ODD], "token string")).distinct()
+    x = t.withColumn("n", numeral(F.col("token"))).withColumn("c", N.meaning_code(F.col("n")))
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.round(c, 6))
+    return x.select("token", F.col("n").isNotNull().alias("is_number"), finite("c.sign").alias("sign"), finite("c.log").alias("log"), finite("c.lin").alias("lin"))
 
 
 @book("SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round((a + b) * 1.0, 4) AS sum, round((a - b) * 1.0, 4) AS difference, round(exp(ln(a + 1e-6) + ln(b + 1e-6)) - 1e-12, 4) AS product, round(exp(ln(a + 1e-6) - ln(b + 1e-6)), 6) AS quotient FROM range(1, 40) x(a), range(1, 40) y(b)")
@@ -242,11 +250,23 @@ def z_normalise(spark, d):
     return p.join(F.broadcast(m)).select("p_partkey", F.round((F.col("p_retailprice") - F.col("m")) / F.col("s"), 6).alias("z"))
 
 
-@book("SELECT p_partkey, p_brand || '.' || p_size AS name, split_part(p_brand, '#', 1) || coalesce(nullif('.' || split_part(p_brand, '#', 2), '.'), '') AS grouped FROM part")
+NAMES = "CASE p_partkey % 4 WHEN 0 THEN 'blocks.' || p_size || '.attn.' || p_partkey WHEN 1 THEN 'blocks.' || p_size || '.mlp' WHEN 2 THEN 'head.weight' ELSE 'embedding' END"
+
+
+@book(f"SELECT p_partkey, name, CASE WHEN starts_with(name, 'blocks.') THEN 'block' || split_part(name, '.', 2) || '.' || split_part(name, '.', 3) ELSE split_part(name, '.', 1) END AS grouped FROM (SELECT p_partkey, {NAMES} AS name FROM part)")
 def group_names(spark, d):
-    """Names derived from parts of a name."""
-    parts = F.split("p_brand", "#")
-    return table(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit("."), F.col("p_size").cast("string")).alias("name"), F.array_join(parts, ".").alias("grouped"))
+    """Parameter names to their groups: ``blocks.i.sub`` to ``block{i}.sub``, others to their first part."""
+    x = table(spark, d, "part").select("p_partkey", F.expr(NAMES).alias("name"))
+    return x.select("p_partkey", "name", N.group_name(F.col("name")).alias("grouped"))
+
+
+@book("""WITH g AS (SELECT 'block' || label || '.' || CASE vec_id % 2 WHEN 0 THEN 'attn' ELSE 'mlp' END AS grp, list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS w, list_dot_product(list_transform(embedding::DOUBLE[], lambda x: x * (vec_id % 7) / 1000), list_transform(embedding::DOUBLE[], lambda x: x * (vec_id % 7) / 1000)) AS u FROM embeddings) SELECT grp, count(*) AS n, round(sqrt(sum(u)) / (sqrt(sum(w)) + 1e-12), 8) AS ratio FROM g GROUP BY 1""")
+def group_norm_ratios(spark, d):
+    """Norm of a group's updates over that of its weights."""
+    name = F.concat(F.lit("blocks."), F.col("label").cast("string"), F.when(F.col("vec_id") % 2 == 0, ".attn.w").otherwise(".mlp.w"))
+    e = table(spark, d, "embeddings").select(N.group_name(name).alias("grp"), "vec_id", F.col("embedding").cast("array<double>").alias("w"))
+    square = lambda v, k=1.0: F.aggregate(v, F.lit(0.0), lambda a, x: a + x * k * x * k)
+    return e.groupBy("grp").agg(F.count("*").alias("n"), F.round(F.sqrt(F.sum(square("w", F.col("vec_id") % 7 / 1000))) / (F.sqrt(F.sum(square("w"))) + 1e-12), 8).alias("ratio"))
 
 
 @book()

@@ -71,6 +71,7 @@ def seeded_split(spark, d):
     return S.seeded_split(_docs(spark, d), _key("split:"), 0.05).select("doc_id", "split")
 
 
+#: Weights of the lanes per stage.
 WEIGHTS = {"warmup": {"prose": 0.7, "code": 0.2, "agent": 0.1}, "mid": {"prose": 0.4, "code": 0.35, "agent": 0.25}, "anneal": {"prose": 0.2, "code": 0.5, "agent": 0.3}}
 SCHEDULE = "(SELECT CAST(s AS BIGINT) AS step, CASE WHEN s <= 16 THEN 'warmup' WHEN s <= 32 THEN 'mid' ELSE 'anneal' END AS stage FROM range(1, 49) r(s))"
 
@@ -159,27 +160,36 @@ def pack_isolated(spark, d):
 
 @book("""WITH s AS (SELECT DISTINCT segment_id, batch_id, token_start, token_end FROM segments WHERE token_end > token_start) SELECT batch_id, count(*) AS n_segments, CAST(sum(token_end - token_start) AS BIGINT) AS n_tokens, CAST(sum((token_end - token_start) * (token_end - token_start - 1) // 2) AS BIGINT) AS position_sum, CAST(sum((token_end - token_start) * (token_end - token_start + 1) // 2) AS BIGINT) AS n_pairs FROM s GROUP BY 1""")
 def position_reset(spark, d):
-    """Position ids that start anew in each segment, token by token, and the pairs that causal attention within segments allows."""
-    s = table(spark, d, "segments").where("token_end > token_start").select("segment_id", "batch_id", "token_start", "token_end", "seq_start").dropDuplicates(["segment_id"])
-    p = K.positions(s, ["batch_id", "segment_id"])
-    return p.groupBy("batch_id").agg(F.count_if(F.col("position_id") == 0).alias("n_segments"), F.count("*").alias("n_tokens"), F.sum("position_id").cast("long").alias("position_sum"), F.sum(F.col("position_id") + 1).cast("long").alias("n_pairs"))
-
-
-@book("""WITH t AS (SELECT DISTINCT a.doc_id, a.token_start AS d0, u.start AS a, u.stop AS b FROM (SELECT DISTINCT doc_id, token_start, turns FROM shard_agent WHERE turns IS NOT NULL) a, unnest(a.turns) AS x(u) WHERE u.role = 'assistant' AND u.start IS NOT NULL AND u.stop > u.start),
-    s AS (SELECT DISTINCT segment_id, doc_id, token_start, token_end FROM segments WHERE token_end > token_start AND doc_id IN (SELECT doc_id FROM t)), p AS (SELECT DISTINCT s.segment_id, g.i AS i FROM s JOIN t ON t.doc_id = s.doc_id, range(0, 20000) g(i) WHERE g.i >= greatest(s.token_start + 1, d0 + a) - s.token_start AND g.i < least(s.token_end, d0 + b) - s.token_start)
-    SELECT segment_id, count(*) AS n_loss FROM p GROUP BY 1""")
+    """Position ids that start anew in each segment, and the pairs that causal attention within segments allows: in closed form, not token by token."""
+    s = table(spark, d, "segments").where("token_end > token_start").select("segment_id", "batch_id", (F.col("token_end") - F.col("token_start")).alias("n")).dropDuplicates(["segment_id"])
+    n = F.col("n")
+    half = lambda x: F.sum(F.expr(f"n * (n {x} 1) div 2"))
+    return s.groupBy("batch_id").agg(F.count("*").alias("n_segments"), F.sum(n).alias("n_tokens"), half("-").alias("position_sum"), half("+").alias("n_pairs"))
+
+
+@book("""WITH m AS (SELECT DISTINCT doc_id, token_start, turns FROM shard_agent), t AS (SELECT DISTINCT m.doc_id, m.token_start + u.start AS a, m.token_start + u.stop AS b FROM m, unnest(m.turns) AS x(u) WHERE u.role = 'assistant' AND u.start IS NOT NULL AND u.stop > u.start),
+    o AS (SELECT DISTINCT m.doc_id FROM m, unnest(m.turns) AS x(u) WHERE u.role IS NOT NULL), s AS (SELECT DISTINCT segment_id, doc_id, token_start, token_end FROM segments WHERE token_end > token_start),
+    e AS (SELECT doc_id, a AS p, 1 AS v FROM t UNION ALL SELECT doc_id, b, -1 FROM t), c AS (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS q, sum(sum(v)) OVER (PARTITION BY doc_id ORDER BY p) AS depth FROM e GROUP BY doc_id, p),
+    k AS (SELECT s.segment_id, sum(greatest(0, least(s.token_end, c.q) - greatest(s.token_start + 1, c.p))) AS n FROM s JOIN c ON c.doc_id = s.doc_id WHERE c.depth > 0 GROUP BY 1)
+    SELECT s.segment_id, o.doc_id IS NOT NULL AS has_roles, CAST(CASE WHEN o.doc_id IS NULL THEN s.token_end - s.token_start - 1 ELSE coalesce(k.n, 0) END AS BIGINT) AS n_loss FROM s LEFT JOIN o ON o.doc_id = s.doc_id LEFT JOIN k ON k.segment_id = s.segment_id""")
 def role_loss_mask(spark, d):
-    """Tokens per segment whose target is the assistant's; turns that overlap count once.
+    """Tokens per segment whose target is the assistant's; turns that overlap count once, and a segment of a document without roles counts all its targets.
 
-    Intervals are merged per segment with a running maximum instead of being exploded; a segment's turns are bounded.
+    Turns are merged per document, in its row. A few documents are used far more often: equal spans are counted once before the join, and come back by span.
     """
-    a = table(spark, d, "shard_agent").where("turns is not null").select("doc_id", F.col("token_start").alias("d0"), F.explode("turns").alias("u")).where("u.role = 'assistant' and u.start is not null and u.stop > u.start")
-    t = a.select("doc_id", (F.col("d0") + F.col("u.start")).alias("a"), (F.col("d0") + F.col("u.stop")).alias("b")).distinct()
+    a = table(spark, d, "shard_agent").where("turns is not null").select("doc_id", "token_start", "turns").distinct()
+    talk = F.filter("turns", lambda u: (u["role"] == "assistant") & u["start"].isNotNull() & (u["stop"] > u["start"]))
+    span = F.array_sort(F.transform(talk, lambda u: F.struct((F.col("token_start") + u["start"]).alias("a"), (F.col("token_start") + u["stop"]).alias("b"))))
+    # each turn from where those before it end
+    free = F.aggregate(span, F.struct(F.lit(None).cast("long").alias("seen"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("out")), lambda acc, x: F.struct(F.greatest(acc["seen"], x["b"]).alias("seen"), F.concat(acc["out"], F.array(F.struct(F.greatest(x["a"], acc["seen"]).alias("a"), x["b"].alias("b")))).alias("out")))["out"]
+    t = a.select("doc_id", F.exists("turns", lambda u: u["role"].isNotNull()).alias("has"), free.alias("free")).where("has").groupBy("doc_id").agg(F.max("free").alias("free"))
     s = table(spark, d, "segments").where("token_end > token_start").select("segment_id", "doc_id", "token_start", "token_end").dropDuplicates(["segment_id"])
-    x = s.join(t, "doc_id").select("segment_id", F.greatest(F.col("token_start") + 1, F.col("a")).alias("a"), F.least("token_end", "b").alias("b")).where("a < b")
-    w = F.expr("max(b) over (partition by segment_id order by a, b rows between unbounded preceding and 1 preceding)")
-    y = x.withColumn("seen", w).withColumn("n", F.col("b") - F.greatest(F.col("a"), F.least(F.col("b"), F.coalesce("seen", F.col("a")))))
-    return y.groupBy("segment_id").agg(F.sum("n").alias("n_loss"))
+    spans = s.select("doc_id", "token_start", "token_end").distinct().join(t, "doc_id", "left")
+    inside = lambda x: F.greatest(F.lit(0), F.least(F.col("token_end"), x["b"]) - F.greatest(F.col("token_start") + 1, x["a"]))
+    n = F.when(F.col("free").isNull(), F.col("token_end") - F.col("token_start") - 1).otherwise(F.aggregate("free", F.lit(0).cast("long"), lambda acc, x: acc + inside(x)))
+    counted = spans.select(F.col("doc_id").alias("_d"), F.col("token_start").alias("_a"), F.col("token_end").alias("_b"), F.col("free").isNotNull().alias("has_roles"), n.alias("n_loss"))
+    on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("token_start") == F.col("_a")) & (F.col("token_end") == F.col("_b"))
+    return s.join(counted, on).select("segment_id", "has_roles", "n_loss")
 
 
 BATCH = """s AS (SELECT DISTINCT * FROM segments), h AS (SELECT batch_id, sha256(string_agg(concat_ws(':', shard_id, doc_id, token_start, token_end, seq_start, seq_end), chr(10) ORDER BY seq_start, segment_id)) AS batch_hash, min(step) AS step, min(lower(lane)) AS lane, count(*) AS n_segments FROM s GROUP BY 1)"""

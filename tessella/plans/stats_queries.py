@@ -71,6 +71,7 @@ def turn_overlap(spark, d):
     return s.join(t, "doc_id").where(lo < hi).groupBy(F.coalesce("role", F.lit("none")).alias("role")).agg(F.sum("c").alias("n_parts"), F.sum(F.col("c") * (hi - lo)).alias("n_tokens"))
 
 
+#: Stages and their steps.
 STAGES = [("warmup", 1, 16), ("mid", 17, 32), ("anneal", 33, 48)]
 STAGES_SQL = "(VALUES ('warmup', 1, 16), ('mid', 17, 32), ('anneal', 33, 48)) v(stage, first_step, last_step)"
 
@@ -93,14 +94,15 @@ def shard_verdicts(spark, d):
     return o.join(s, F.col("a") == F.col("b"), "full").select(F.coalesce("a", "b").alias("shard_id"), v.alias("verdict"), F.coalesce("n", F.lit(0)).alias("n_segments"))
 
 
-@book(f"""WITH r AS {RUNS}, m AS (SELECT run_id, min(tokens) + 1000000 AS t FROM r GROUP BY 1), c AS (SELECT m.run_id, m.t, r.tokens, r.loss, row_number() OVER (PARTITION BY m.run_id ORDER BY abs(r.tokens - m.t), r.tokens, r.ledger_offset) AS k FROM m JOIN r ON r.run_id = m.run_id AND abs(r.tokens - m.t) <= 20000000)
-    SELECT m.run_id, m.t, c.tokens AS r_tokens, round(c.loss, 6) AS r_loss FROM m LEFT JOIN c ON c.run_id = m.run_id AND c.k = 1""")
+@book(f"""WITH r AS {RUNS}, b AS (SELECT run_id, tokens, arg_min(loss, ledger_offset) AS loss FROM r GROUP BY 1, 2), t AS (SELECT run_id, min(tokens) + k * 1000000 AS t FROM r, range(1, 60, 7) s(k) GROUP BY run_id, k),
+    c AS (SELECT t.run_id, t.t, b.tokens, b.loss, row_number() OVER (PARTITION BY t.run_id, t.t ORDER BY abs(b.tokens - t.t), b.tokens) AS k FROM t JOIN b ON b.run_id = t.run_id) SELECT run_id, t, tokens AS r_tokens, round(loss, 6) AS r_loss FROM c WHERE k = 1""")
 def nearest_by_tokens(spark, d):
-    """The reading of each run that is nearest to a number of tokens (as-of join to either side)."""
+    """The readings of each run that are nearest to some numbers of tokens, however far off (as-of join to either side)."""
     r = runs(spark, d).select("run_id", "tokens", "ledger_offset", "loss")
-    m = r.groupBy("run_id").agg((F.min("tokens") + 1_000_000).alias("t"))
+    steps = F.explode(F.sequence(F.lit(1), F.lit(59), F.lit(7)))
+    m = r.groupBy("run_id").agg(F.min("tokens").alias("least")).withColumn("k", steps).select("run_id", (F.col("least") + F.col("k") * 1_000_000).alias("t"))
     best = r.groupBy("run_id", "tokens").agg(F.min_by("loss", "ledger_offset").alias("loss"))
-    out = stats.nearest(m, best.select("run_id", "tokens", "loss"), ["run_id"], "t", "tokens", 20_000_000)
+    out = series.nearest(m, best, ["run_id"], "t", "tokens")
     return out.select("run_id", "t", "r_tokens", F.round("r_loss", 6).alias("r_loss"))
 
 
