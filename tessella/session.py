@@ -28,15 +28,16 @@ def session(app: str = "tessella", master: str | None = None, **conf: str) -> Sp
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``, or a temporary one where that is unset in local mode (tests); an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     now = sc._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get()
-    folder = named or tempfile.mkdtemp(prefix="tessella-checkpoint-")
-    sc.setCheckpointDir(folder)
-    return folder
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir isn't set; a cluster needs a folder that all its executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessella-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import os
 import re
+import uuid
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tessella.operators.series import running_totals
 from tessella.session import scratch  # noqa: F401
+from tessella.sources.token_files import SCHEMA, TokenFiles
 
 
 def read_parquet_glob(spark: SparkSession, folder: str, glob: str = "*.parquet") -> DataFrame:
@@ -42,28 +44,67 @@ def read_delimited(spark: SparkSession, path: str, mark: str = "<|endoftext|>",
     return t.where("text <> ''").select("file", "k", "text")
 
 
-def write_tokens(df: DataFrame, folder: str, shard: str, order: str, tokens: str, dtype: str = "<i4") -> DataFrame:
-    """Flat little-endian token files, one per shard, and a manifest row each: ``shard, path, n_tokens, sha256``.
+MANIFEST = "shard string, path string, n_tokens long, sha256 string"
 
-    A shard is a file's worth of tokens and is written by one task; documents in order of ``order``.
-    """
-    import hashlib
 
-    os.makedirs(folder.removeprefix("file://").removeprefix("file:"), exist_ok=True)
-    at = folder.removeprefix("file://").removeprefix("file:")
+def laid_out(df: DataFrame, shard: str, order: str, tokens: str) -> DataFrame:
+    """Rows ``s, o, t, start``: documents laid end to end per shard in order of ``order``; ``start`` is a document's place. Null tokens are left out."""
+    x = df.where(F.col(tokens).isNotNull()).select(F.col(shard).cast("string").alias("s"), F.col(order).alias("o"), F.col(tokens).alias("t"))
+    return running_totals(x, ["s"], ["o"], {"start": F.size("t")}).drop("pos")
+
+
+def slices(laid: DataFrame, part: int) -> DataFrame:
+    """Documents cut at the bounds of files of ``part`` tokens: ``s, part, o, place`` (in the file), ``first`` (in the document), ``n``."""
+    n = F.size("t")
+    x = laid.select("s", "o", "t", "start", F.explode(F.sequence(F.floor(F.col("start") / part), F.floor((F.col("start") + F.greatest(n - 1, F.lit(0))) / part))).alias("part"))
+    lo, hi = F.greatest("start", F.col("part") * part), F.least(F.col("start") + n, (F.col("part") + 1) * part)
+    return x.select("s", "part", "o", (lo - F.col("part") * part).alias("place"), (lo - F.col("start")).alias("first"), F.greatest(hi - lo, F.lit(0)).alias("n"), "t")
+
+
+def file_stem(s: Column, part: Column) -> Column:
+    """Name of a file: the shard's for the first part, with the part's number for the others."""
+    return F.when(part == 0, s).otherwise(F.format_string("%s.%05d", s, part))
+
+
+def write_laid_out(laid: DataFrame, folder: str, dtype: str = "<i4", part: int = 1 << 24) -> DataFrame:
+    """Flat little-endian token files and a manifest row each: ``shard, path, n_tokens, sha256``.
+
+    A shard is cut into files of ``part`` tokens, so no task holds more than one of them; the first has the shard's name.
+    """
+    spark = laid.sparkSession
+    spark.dataSource.register(TokenFiles)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("o", kind="stable")
-        flat = np.concatenate([np.asarray(t, dtype=dtype) for t in pdf["t"]]) if len(pdf) else np.empty(0, dtype)
-        path = f"{at}/{pdf['s'].iloc[0]}.bin"
-        data = flat.astype(dtype).tobytes()
-        with open(path + ".part", "wb") as f:
-            f.write(data)
-        os.replace(path + ".part", path)  # a task that is run again writes the same
-        return pd.DataFrame({"shard": [str(pdf["s"].iloc[0])], "path": [path], "n_tokens": [len(flat)], "sha256": [hashlib.sha256(data).hexdigest()]})
+        pdf = pdf.sort_values("place", kind="stable")
+        flat = [np.asarray(t, dtype=dtype) for t in pdf["t"]]
+        return pd.DataFrame({"shard": [pdf["name"].iloc[0]], "data": [np.concatenate(flat).astype(dtype).tobytes() if flat else b""]})
 
-    x = df.where(F.col(tokens).isNotNull()).select(F.col(shard).cast("string").alias("s"), F.col(order).alias("o"), F.col(tokens).alias("t"))
-    return x.groupBy("s").applyInPandas(run, "shard string, path string, n_tokens long, sha256 string")
+    x = slices(laid, part).select(file_stem(F.col("s"), F.col("part")).alias("name"), "place", F.slice("t", (F.col("first") + 1).cast("int"), F.col("n").cast("int")).alias("t"))
+    files = x.groupBy("name").applyInPandas(run, SCHEMA)
+    files.write.format("token_files").mode("append").option("width", np.dtype(dtype).itemsize).save(folder)
+    return spark.read.schema(MANIFEST).json(f"{folder.rstrip('/')}-manifest")
+
+
+def write_tokens(df: DataFrame, folder: str, shard: str, order: str, tokens: str, dtype: str = "<i4", part: int = 1 << 24) -> DataFrame:
+    """Token files of the documents of ``df``; see :func:`write_laid_out`."""
+    return write_laid_out(laid_out(df, shard, order, tokens), folder, dtype, part)
+
+
+def read_documents(laid: DataFrame, folder: str, dtype: str = "<i4", part: int = 1 << 24) -> DataFrame:
+    """``s, o, tokens`` read back from token files by the spans of their documents. A file meets the list of its own spans, so it is read once."""
+    kind = laid.schema["o"].dataType.simpleString()
+    spans = slices(laid, part).select(file_stem(F.col("s"), F.col("part")).alias("name"), "s", "o", "place", "first", "n").groupBy("name").agg(F.first("s").alias("s"), F.collect_list(F.struct("o", "place", "first", "n")).alias("spans"))
+    files = laid.sparkSession.read.format("binaryFile").load(folder).select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), "\\.bin$", "").alias("name"), "content")
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                flat = np.frombuffer(r.content, dtype=dtype)
+                yield pd.DataFrame([(r.s, x["o"], x["first"], flat[x["place"] : x["place"] + x["n"]].astype(np.int32)) for x in r.spans], columns=["s", "o", "first", "t"])
+
+    cut = files.join(spans, "name").select("s", "spans", "content").mapInPandas(run, f"s string, o {kind}, first long, t array<int>")
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first", "t"))), lambda x: x["t"]))
+    return cut.groupBy("s", "o").agg(whole.alias("tokens"))
 
 
 def read_tokens(spark: SparkSession, path: str, dtype: str = "<i4") -> DataFrame:
@@ -104,16 +145,45 @@ def write_manifests(df: DataFrame, folder: str, indent: bool = True) -> None:
     df.select(F.to_json(F.struct(*df.columns), {"pretty": str(indent).lower()}).alias("value")).write.mode("overwrite").option("lineSep", "\n").text(folder)
 
 
-def append_ledger(df: DataFrame, folder: str, order: list[str]) -> None:
-    """Appends rows as JSON lines, with dense offsets that go on from the last one."""
+def read_manifests(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The documents that :func:`write_manifests` wrote, indented or not."""
+    whole = spark.read.text(folder, wholetext=True)
+    return whole.select(F.explode(F.split("value", "\n(?=\\{)")).alias("v")).select(F.from_json("v", schema).alias("r")).where("r is not null").select("r.*")
+
+
+def append_ledger(df: DataFrame, folder: str, order: list[str], tries: int = 20) -> None:
+    """Appends rows as JSON lines, with dense offsets that go on from the last one.
+
+    A batch is written aside and then gets the next free number by a rename that fails if another writer has taken it; then
+    the offsets are assigned anew, so two writers never give the same one.
+    """
     spark = df.sparkSession
-    try:
-        last = spark.read.json(folder).agg(F.max("ledger_offset")).first()[0]
-    except AnalysisException:  # no ledger yet
-        last = None
-    base = -1 if last is None else int(last)
-    x = running_totals(df, [], order, {})
-    x.withColumn("ledger_offset", (F.col("pos") + base + 1).cast("long")).drop("pos").write.mode("append").json(folder)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(folder).toUri(), conf) if "://" in folder else jvm.org.apache.hadoop.fs.FileContext.getFileContext(conf)
+    x = running_totals(df, [], order, {}).checkpoint()
+    none = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    for _ in range(tries):
+        try:
+            last = read_ledger(spark, folder).agg(F.max("ledger_offset"), F.max("batch")).first()
+        except AnalysisException:  # no ledger yet
+            last = (None, None)
+        base, batch = (-1 if last[0] is None else int(last[0])), (0 if last[1] is None else int(last[1]) + 1)
+        aside = f"{folder.rstrip('/')}/_{uuid.uuid4().hex}"
+        x.withColumn("ledger_offset", (F.col("pos") + base + 1).cast("long")).drop("pos").write.json(aside)
+        try:
+            context.rename(path(aside), path(f"{folder.rstrip('/')}/batch={batch:08d}"), none)
+            return
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception.getClass().getName()):
+                raise
+            context.delete(path(aside), True)
+    raise RuntimeError(f"the ledger {folder} is written to by others all the time")
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """A ledger's rows with the number of the ``batch`` that appended them."""
+    return spark.read.json(folder)
 
 
 def write_log(df: DataFrame, folder: str) -> None:

@@ -1,7 +1,9 @@
 """File formats and streams: round trips, order of verdicts, resuming."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +46,18 @@ def test_tokens_and_verdicts(spark, tmp_path):
     assert S.tokenizer_fingerprint("x", 10, [1]) != S.tokenizer_fingerprint("x", 10, [2])
 
 
+@pytest.mark.parametrize("part", [3, 5, 1 << 20])
+def test_large_shards_are_cut(spark, tmp_path, part):
+    docs = [("a", i, list(range(100 * i, 100 * i + n))) for i, n in enumerate([0, 4, 7, 1, 3])] + [("b", 9, [1, 2, 3])]
+    laid = S.laid_out(spark.createDataFrame(docs, "s string, o int, t array<int>"), "s", "o", "t")
+    m = S.write_laid_out(laid, str(tmp_path / "x"), part=part).collect()
+    assert sum(r["n_tokens"] for r in m) == 18 and max(r["n_tokens"] for r in m) <= part and ("a" in {r["shard"] for r in m})
+    flat = b"".join((tmp_path / "x" / f"{r['shard']}.bin").read_bytes() for r in sorted(m, key=lambda r: r["shard"]) if r["shard"].startswith("a"))
+    assert np.frombuffer(flat, "<i4").tolist() == [t for s, _, ts in docs if s == "a" for t in ts]
+    got = {(r["s"], r["o"]): r["tokens"] for r in S.read_documents(laid, str(tmp_path / "x"), part=part).collect()}
+    assert got == {(s, o): t for s, o, t in docs} and not (tmp_path / "x" / "_temporary").exists()
+
+
 def test_ledger_goes_on(spark, tmp_path):
     at = str(tmp_path / "ledger")
     S.append_ledger(spark.range(5).withColumnRenamed("id", "step"), at, ["step"])
@@ -52,6 +66,14 @@ def test_ledger_goes_on(spark, tmp_path):
     assert rows == [(i, i) for i in range(8)]
 
 
+def test_two_writers(spark, tmp_path):
+    at = str(tmp_path / "ledger")
+    with ThreadPoolExecutor(3) as ex:
+        list(ex.map(lambda k: S.append_ledger(spark.range(10 * k, 10 * k + 10).withColumnRenamed("id", "step"), at, ["step"]), range(3)))
+    rows = S.read_ledger(spark, at).collect()
+    assert sorted(r["ledger_offset"] for r in rows) == list(range(30)) and sorted(r["step"] for r in rows) == list(range(30))
+
+
 def test_log_and_tables(spark, tmp_path):
     df = spark.createDataFrame([("one", True, "fine"), ("two", False, None)], "name string, passed boolean, detail string")
     S.write_log(df, str(tmp_path / "log"))
