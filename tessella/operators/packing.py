@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def pack_isolated(docs: DataFrame, draws: DataFrame, needed: int) -> DataFrame:
-    """Sequences of ``needed`` tokens of whole documents, taken round from a drawn one, the last cut off.
+def pieces(docs: DataFrame, first: DataFrame, needed: int) -> DataFrame:
+    """What sequences of ``needed`` tokens from a place ``from`` on take of a shard's documents, going round at its end.
 
-    docs: ``shard_id, doc_id, doc_no`` (dense from 0), ``start, end`` (positions in the shard, documents laid end to end from 0).
-    draws: ``shard_id, seq_id, doc_no``. Instead of walking, the shard's spans are laid out as often as a sequence may go
+    docs: ``shard_id, doc_id``, ``start, end`` (positions in the shard, documents laid end to end from 0); first: ``shard_id, seq_id, from``.
+    Instead of walking, the shard's spans are laid out as often as a sequence may go
     round, and a sequence takes those that its interval meets: prefix sums make the walk a range join. Cells of ``needed``
     tokens keep that join an equi-join.
     """
@@ -17,15 +17,24 @@ def pack_isolated(docs: DataFrame, draws: DataFrame, needed: int) -> DataFrame:
     size = docs.groupBy("shard_id").agg(F.max("end").alias("_size")).where("_size > 0")
     d = docs.where(n > 0).join(size, "shard_id")
     copies = F.sequence(F.lit(0), F.floor(F.lit(needed) / F.col("_size")) + 1)
-    laid = d.withColumn("_k", F.explode(copies)).select("shard_id", "doc_id", "start", "end", (F.col("start") + F.col("_k") * F.col("_size")).alias("lo"), (F.col("end") + F.col("_k") * F.col("_size")).alias("hi"))
-    first = draws.join(docs.select("shard_id", "doc_no", F.col("start").alias("from")), ["shard_id", "doc_no"]).drop("doc_no")
+    laid = d.withColumn("_k", F.explode(copies)).select("shard_id", "doc_id", "start", (F.col("start") + F.col("_k") * F.col("_size")).alias("lo"), (F.col("end") + F.col("_k") * F.col("_size")).alias("hi"))
     cell = lambda c: F.floor(c / needed)
     laid = laid.withColumn("_cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))))
     first = first.withColumn("_cell", F.explode(F.array(cell(F.col("from")), cell(F.col("from")) + 1)))
     to = F.col("from") + needed
     hit = first.join(laid, ["shard_id", "_cell"]).where((F.col("lo") < to) & (F.col("hi") > F.col("from"))).dropDuplicates(["shard_id", "seq_id", "lo"])
-    take = F.least(F.col("hi"), to) - F.col("lo")
-    return hit.select("shard_id", "seq_id", "doc_id", F.col("start").alias("token_start"), (F.col("start") + take).alias("token_end"), (F.col("lo") - F.col("from")).alias("seq_start"), (F.col("lo") - F.col("from") + take).alias("seq_end"))
+    at, end = F.greatest("lo", "from"), F.least(F.col("hi"), to)
+    token = F.col("start") + at - F.col("lo")
+    return hit.select("shard_id", "seq_id", "doc_id", token.alias("token_start"), (token + end - at).alias("token_end"), (at - F.col("from")).alias("seq_start"), (end - F.col("from")).alias("seq_end"))
+
+
+def pack_isolated(docs: DataFrame, draws: DataFrame, needed: int) -> DataFrame:
+    """Sequences of ``needed`` tokens of whole documents, taken round from a drawn one, the last cut off.
+
+    docs: as in :func:`pieces`, with ``doc_no`` (dense from 0); draws: ``shard_id, seq_id, doc_no``.
+    """
+    first = draws.join(docs.select("shard_id", "doc_no", F.col("start").alias("from")), ["shard_id", "doc_no"]).drop("doc_no")
+    return pieces(docs, first, needed)
 
 
 def positions(segments: DataFrame, keep: list[str]) -> DataFrame:

@@ -21,18 +21,6 @@ def jsonl_round_trip(spark, d):
     return S.read_jsonl(spark, at, "doc_id string, source string, text string")
 
 
-@book("SELECT shard_id AS shard, CAST(sum(token_end - token_start) AS BIGINT) AS n_tokens, CAST(count(*) AS BIGINT) AS n_docs FROM (SELECT DISTINCT shard_id, doc_id, token_start, token_end FROM shard_agent WHERE token_end > token_start) GROUP BY 1")
-def token_shards(spark, d):
-    """Flat token files per shard, written, read and counted again."""
-    at = S.scratch(spark, "tokens")
-    docs = table(spark, d, "shard_agent").where("token_end > token_start").select("shard_id", "doc_id", "token_start", "token_end").distinct()
-    tokens = F.transform(F.sequence("token_start", F.col("token_end") - 1), lambda p: F.pmod(p * 7919, F.lit(50257)).cast("int"))
-    S.write_tokens(docs.withColumn("t", tokens), at, "shard_id", "token_start", "t").write.mode("overwrite").format("noop").save()
-    read = S.read_tokens(spark, at).select(F.regexp_replace("file", "\\.bin$", "").alias("shard"), F.size("tokens").cast("long").alias("n_tokens"))
-    n = docs.groupBy(F.col("shard_id").alias("shard")).agg(F.count("*").alias("n_docs"))
-    return read.join(n, "shard")
-
-
 @book("SELECT lane, '| lane | n |' || chr(10) || '|---|---|' || chr(10) || '| ' || lane || ' | ' || n || ' |' AS shown FROM (SELECT lane, count(*) AS n FROM documents GROUP BY 1)")
 def markdown_rows(spark, d):
     """Small tables as Markdown."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["ledger_queries", "corpus_queries", "stats_queries", "sample_queries", "model_queries", "io_queries", "check_queries"]
+MODULES = ["ledger_queries", "corpus_queries", "stats_queries", "sample_queries", "model_queries", "io_queries", "check_queries", "shard_queries"]
 
 
 def core_queries() -> dict:

@@ -206,13 +206,6 @@ def batch_hashes(spark, d):
     return _hashes(spark, d).select("batch_id", "batch_hash", name.alias("name"), "n_segments")
 
 
-@book(f"WITH {BATCH}, r AS (SELECT batch_id, sha256(string_agg(concat_ws(':', shard_id, doc_id, token_start, token_end, seq_start, seq_end), chr(10) ORDER BY seq_start, segment_id)) AS again FROM (SELECT DISTINCT * FROM segments WHERE step BETWEEN 10 AND 200) GROUP BY 1) SELECT h.batch_id, h.step, h.batch_hash = r.again AS match FROM h JOIN r ON h.batch_id = r.batch_id")
-def replay_interval(spark, d):
-    """Batches of a range of steps built again from their spans, against the recorded hashes."""
-    again = K.span_hash(table(spark, d, "segments").where(F.col("step").between(10, 200)).dropDuplicates(["segment_id"])).select("batch_id", F.col("batch_hash").alias("again"))
-    return _hashes(spark, d).join(again, "batch_id").select("batch_id", "step", F.col("batch_hash").eqNullSafe(F.col("again")).alias("match"))
-
-
 @book("""WITH s AS (SELECT DISTINCT * FROM segments WHERE token_end > token_start) SELECT lower(lane) AS lane, count(DISTINCT batch_id) AS n_batches, CAST(sum(token_end - token_start) AS BIGINT) AS n_tokens, round(sum(token_end - token_start) / sum(seq_end - seq_start), 6) AS used_share,
     round(sum(token_end - token_start) / greatest(epoch(max(logged_at)) - epoch(min(logged_at)), 1), 3) AS tok_per_s FROM s GROUP BY 1""")
 def throughput(spark, d):
@@ -239,8 +232,8 @@ EVIDENCE = """WITH s AS (SELECT DISTINCT * FROM segments), a AS (SELECT DISTINCT
 
 
 @book(EVIDENCE + " SELECT name, violations, violations = 0 AS passed FROM c UNION ALL SELECT 'overall', sum(violations)::BIGINT, bool_and(violations = 0) FROM c")
-def evidence_bundle(spark, d):
-    """Checks recomputed from the tables, and whether all hold."""
+def ledger_checks(spark, d):
+    """Structural checks of the ledgers recomputed from the tables, and whether all hold."""
     s, a = table(spark, d, "segments").dropDuplicates(["segment_id"]), table(spark, d, "shard_agent").select("doc_id", F.col("token_start").alias("lo"), F.col("token_end").alias("hi")).distinct()
     raw = table(spark, d, "segments").distinct()
     one = lambda x, name: x.select(F.lit(name).alias("name"), F.col("violations").cast("long").alias("violations"))
