@@ -121,6 +121,23 @@ def tier_rollup(spark, d):
     return docs(spark, d).groupBy(tier.alias("tier"), F.coalesce("lang", F.lit("unknown")).alias("lang")).agg(F.count("*").alias("n_docs"), F.sum(X.tokens(F.col("text"))).alias("n_tokens"))
 
 
+TIERS = ["verified", "unverified", "translated", "synthetic"]
+TIER_SQL = f"CASE WHEN {SRC} = 'aya:verified' THEN 'verified' WHEN {SRC} LIKE '%:mixed' THEN 'translated' ELSE 'unverified' END"
+
+
+@book(f"""WITH x AS (SELECT coalesce(lang, 'unknown') AS lang, {TIER_SQL} AS tier, {TOK} AS t FROM documents), n AS (SELECT lang, tier, count(*) AS n_docs, sum(t) AS n_tokens FROM x GROUP BY 1, 2 UNION ALL SELECT '*', tier, count(*), sum(t) FROM x GROUP BY 2),
+    a AS (SELECT DISTINCT lang, unnest({TIERS}) AS tier FROM n) SELECT a.lang, a.tier, coalesce(n.n_docs, 0) AS n_docs, CAST(coalesce(n.n_tokens, 0) AS BIGINT) AS n_tokens FROM a LEFT JOIN n ON n.lang = a.lang AND n.tier = a.tier""")
+def tier_totals(spark, d):
+    """Documents and tokens of every tier per language and in all, zeros included."""
+    s = source()
+    tier = F.when(s == "aya:verified", "verified").when(s.endswith(":mixed"), "translated").otherwise("unverified")
+    x = docs(spark, d).select(F.coalesce("lang", F.lit("unknown")).alias("lang"), tier.alias("tier"), X.tokens(F.col("text")).alias("t"))
+    sums = [f(F.when(F.col("tier") == k, c)).alias(f"{k}_{n}") for k in TIERS for n, f, c in (("docs", F.count, F.lit(1)), ("tokens", F.sum, F.col("t")))]
+    wide = x.rollup("lang").agg(*sums)
+    rows = F.array(*[F.struct(F.lit(k).alias("tier"), F.col(f"{k}_docs").alias("n_docs"), F.coalesce(f"{k}_tokens", F.lit(0)).alias("n_tokens")) for k in TIERS])
+    return wide.select(F.coalesce("lang", F.lit("*")).alias("lang"), F.explode(rows).alias("r")).select("lang", "r.*").where("lang <> '*' or n_docs is not null")
+
+
 #: Licences that count as allowed.
 ALLOWED = ["mit", "apache-2.0", "bsd-3-clause", "bsd-2-clause", "isc", "cc0-1.0", "unlicense"]
 ALLOWED_SQL = ", ".join(f"'{x}'" for x in ALLOWED)

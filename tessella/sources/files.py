@@ -37,11 +37,12 @@ def read_delimited(spark: SparkSession, path: str, mark: str = "<|endoftext|>",
 
     The mark is the reader's line separator, so a file is read in splits.
     """
-    t = spark.read.option("lineSep", mark).text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k"), F.regexp_replace("value", "^\\s+|\\s+\\z", "").alias("text"))
-    if drop_last:
-        last = t.groupBy("file").agg(F.max("k").alias("last"))
-        t = t.join(last, "file").where(F.col("k") < F.col("last")).drop("last")
-    return t.where("text <> ''").select("file", "k", "text")
+    text = F.regexp_replace("value", "^\\s+|\\s+\\z", "").alias("text")
+    t = spark.read.option("lineSep", mark).text(path).select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i")).alias("k"), text)
+    if drop_last:  # the last that isn't empty, in the file's last split
+        last = t.where("text <> ''").groupBy("path").agg(F.max("k").alias("last"))
+        t = t.join(last, "path").where(F.col("k") < F.col("last"))
+    return t.where("text <> ''").select(F.element_at(F.split("path", "/"), -1).alias("file"), "k.i", "text").withColumnRenamed("i", "k")
 
 
 MANIFEST = "shard string, path string, n_tokens long, sha256 string"
@@ -118,9 +119,10 @@ def read_tokens(spark: SparkSession, path: str, dtype: str = "<i4") -> DataFrame
     return x.select(F.element_at(F.split("path", "/"), -1).alias("file"), decode("content").alias("tokens"), F.sha2("content", 256).alias("sha256"))
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
+def file_digests(spark: SparkSession, path: str, keep: list[str] | None = None) -> DataFrame:
+    """Name, size and SHA-256 of files; ``keep``: partition columns of the folder."""
     x = spark.read.format("binaryFile").load(path)
-    return x.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+    return x.select(*(keep or []), F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
 
 
 def verify_shards(manifest: DataFrame, live: DataFrame, tokenizer: str) -> DataFrame:
@@ -212,13 +214,24 @@ def replace_block(text: str, name: str, block: str) -> str:
     return re.sub(re.escape(begin) + ".*?" + re.escape(end), lambda _: f"{begin}\n{block}\n{end}", text, flags=re.S)
 
 
+BANKS = {
+    "prose": "the river turned slowly past the mill while farmers carried grain over a narrow bridge before evening".split(),
+    "code": "def return for while import value index list range print len self total count".split(),
+    "agent": "please check the order status and tell me when it will arrive at my office".split(),
+}
+BANK_PATTERN = {k: f"^(?:{'|'.join(v)})(?: (?:{'|'.join(v)}))*$" for k, v in BANKS.items()}
+
+
+def block_replaced(text: Column, name: str, block: Column) -> Column:
+    """The same of columns; a text without both markers stays as it is."""
+    begin, end = f"<!-- {name}:begin -->", f"<!-- {name}:end -->"
+    new = F.concat(F.substring_index(text, begin, 1), F.lit(begin + "\n"), block, F.lit("\n" + end), F.substring_index(text, end, -1))
+    return F.when(text.contains(begin) & text.contains(end), new).otherwise(text)
+
+
 def synthetic_corpus(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
     """Documents of three lanes from word banks; words are drawn by hash, so a row is the same on every run and cluster."""
-    banks = {
-        "prose": "the river turned slowly past the mill while farmers carried grain over a narrow bridge before evening".split(),
-        "code": "def return for while import value index list range print len self total count".split(),
-        "agent": "please check the order status and tell me when it will arrive at my office".split(),
-    }
+    banks = BANKS
     lane = F.element_at(F.array(*[F.lit(k) for k in banks]), (F.col("id") % 3 + 1).cast("int"))
     x = spark.range(n).withColumn("lane", lane).withColumn("n_words", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(60)) + 20)
     word = lambda bank: F.transform(F.sequence(F.lit(1), F.col("n_words").cast("int")), lambda i: F.element_at(F.array(*[F.lit(w) for w in bank]), (F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), F.lit(len(bank))) + 1).cast("int")))
