@@ -147,6 +147,14 @@ def stream_windows_hourly(spark, d):
     return T.run_complete(w, S.scratch(spark, "windows")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@book("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2 UNION ALL SELECT date_trunc('hour', ts + INTERVAL 30 MINUTE) - INTERVAL 30 MINUTE, event_type, count(*) FROM events GROUP BY 1, 2")
+def stream_windows_sliding(spark, d):
+    """Windows of an hour every half hour, complete."""
+    e = T.stream_parquet(spark, f"{d}/events.parquet").select("ts", "event_type", "value")
+    w = T.windowed(e, "ts", "1 hour", "30 minutes", "1 day", ["event_type"], "value")
+    return T.run_complete(w, S.scratch(spark, "sliding")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
 @book("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT event_id, user_id FROM events) GROUP BY 1")
 def stream_deduplicated(spark, d):
     """Each event once, by a stream with a watermark."""

@@ -95,41 +95,45 @@ def bias_correction_steps(spark, d):
     return x.select("beta", "within", F.ceil(F.log(1 - 1 / (1 + F.col("within"))) / F.log("beta")).alias("step"))
 
 
-@book("""WITH RECURSIVE g AS (SELECT unnest([1, 2, 3, 4, 5]) AS t, unnest([0.8, -0.3, 0.5, -0.6, 0.2])::DOUBLE AS g), a AS (SELECT 0 AS t, 0.5::DOUBLE AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v
-    UNION ALL SELECT a.t + 1, a.w - 0.1 * ((0.9 * a.m + 0.1 * g.g) / (1 - 0.9 ** (a.t + 1))) / (sqrt((0.999 * a.v + 0.001 * g.g * g.g) / (1 - 0.999 ** (a.t + 1))) + 1e-8), 0.9 * a.m + 0.1 * g.g, 0.999 * a.v + 0.001 * g.g * g.g FROM a JOIN g ON g.t = a.t + 1) SELECT t, round(w, 8) AS w, round(m, 8) AS m, round(v, 8) AS v FROM a""")
+@book("""WITH RECURSIVE g AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS t, unnest(embedding::DOUBLE[]) AS g FROM embeddings), a AS (SELECT vec_id, 0 AS t, 0.5::DOUBLE AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM embeddings
+    UNION ALL SELECT a.vec_id, a.t + 1, a.w - 0.1 * ((0.9 * a.m + 0.1 * g.g) / (1 - 0.9 ** (a.t + 1))) / (sqrt((0.999 * a.v + 0.001 * g.g * g.g) / (1 - 0.999 ** (a.t + 1))) + 1e-8), 0.9 * a.m + 0.1 * g.g, 0.999 * a.v + 0.001 * g.g * g.g FROM a JOIN g ON g.vec_id = a.vec_id AND g.t = a.t + 1)
+    SELECT vec_id, CAST(t AS BIGINT) AS t, round(w, 6) + 0.0 AS w, round(m, 6) + 0.0 AS m, round(v, 6) + 0.0 AS v FROM a WHERE t IN (1, 2, 16, 64)""")
 def adam_trace(spark, d):
-    """Adam as a fold over an array of gradients."""
-    x = spark.createDataFrame([([0.8, -0.3, 0.5, -0.6, 0.2],)], "g array<double>")
-    st = lambda t, w, m, v: F.struct(t.cast("long").alias("t"), w.alias("w"), m.alias("m"), v.alias("v"))
-    zero = F.array(st(F.lit(0), F.lit(0.5), F.lit(0.0), F.lit(0.0)))
+    """Adam as a fold over an array of gradients (each vector's numbers), at some of its steps."""
+    x = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("g"))
+    st = lambda t, w, m, v, kept: F.struct(t.cast("long").alias("t"), w.alias("w"), m.alias("m"), v.alias("v"), kept.alias("kept"))
+    zero = st(F.lit(0), F.lit(0.5), F.lit(0.0), F.lit(0.0), F.array().cast("array<struct<t:bigint,w:double,m:double,v:double>>"))
 
-    def step(acc, g):
-        p = F.element_at(acc, -1)
+    def step(p, g):
         t, m, v = p["t"] + 1, 0.9 * p["m"] + 0.1 * g, 0.999 * p["v"] + 0.001 * g * g
         w = p["w"] - 0.1 * (m / (1 - F.pow(F.lit(0.9), t))) / (F.sqrt(v / (1 - F.pow(F.lit(0.999), t))) + 1e-8)
-        return F.concat(acc, F.array(st(t, w, m, v)))
+        now = F.array(F.struct(t.cast("long").alias("t"), w.alias("w"), m.alias("m"), v.alias("v")))
+        return st(t, w, m, v, F.when(t.isin(1, 2, 16, 64), F.concat(p["kept"], now)).otherwise(p["kept"]))
 
-    r = lambda c: F.round(f"s.{c}", 8).alias(c)
-    return x.select(F.explode(F.aggregate("g", zero, step)).alias("s")).select("s.t", r("w"), r("m"), r("v"))
+    r = lambda c: F.round(f"s.{c}", 6).alias(c)
+    return x.select("vec_id", F.explode(F.aggregate("g", zero, step)["kept"]).alias("s")).select("vec_id", "s.t", r("w"), r("m"), r("v"))
 
 
-@book("""SELECT key, round(additive, 6) AS additive, round(delta, 6) AS delta FROM (VALUES ('A', 95.0::DOUBLE, 55.0::DOUBLE), ('B', 70.0::DOUBLE, 70.0::DOUBLE)) v(key, additive, delta)""")
+@book("""WITH w AS (SELECT vec_id // 64 AS grp, vec_id % 4 AS k, vec_id, embedding[1]::DOUBLE AS v FROM embeddings) SELECT grp, k, round(sum(v), 6) + 0.0 AS additive, round(arg_max(v, vec_id), 6) + 0.0 AS delta FROM w GROUP BY 1, 2""")
 def state_writes(spark, d):
-    """Additive and delta-rule writes to a fixed state, as folds: the second value of a key replaces or adds to the first."""
-    w = [([1.0, 0.0], 40.0), ([0.0, 1.0], 70.0), ([1.0, 0.0], 55.0)]
-    x = spark.createDataFrame([(w,)], "w array<struct<k:array<double>,v:double>>")
-    dot = lambda a, b: a[0] * b[0] + a[1] * b[1]
-    zero = F.array(F.lit(0.0), F.lit(0.0))
+    """Additive and delta-rule writes to a fixed state of four slots, as folds over a group's writes in order: a later value of a key adds to the earlier ones, or replaces them."""
+    w = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("grp"), "vec_id", (F.col("vec_id") % 4).cast("int").alias("k"), F.col("embedding")[0].cast("double").alias("v"))
+    g = w.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("vec_id", "k", "v"))).alias("w"))  # 64 writes a group
+    one_hot = lambda k: [F.when(k == i, 1.0).otherwise(0.0) for i in range(4)]
 
     def write(delta):
         def f(s, x):
-            add = x["v"] - dot(s, x["k"]) if delta else x["v"]
-            return F.array(s[0] + add * x["k"][0], s[1] + add * x["k"][1])
+            key = one_hot(x["k"])
+            held = sum((s[i] * key[i] for i in range(1, 4)), s[0] * key[0])
+            add = x["v"] - held if delta else x["v"]
+            return F.array(*[s[i] + add * key[i] for i in range(4)])
 
         return f
 
-    y = x.select(F.aggregate("w", zero, write(False)).alias("a"), F.aggregate("w", zero, write(True)).alias("b"))
-    return y.select(F.explode(F.array(*[F.struct(F.lit(n).alias("key"), F.round(F.col("a")[i], 6).alias("additive"), F.round(F.col("b")[i], 6).alias("delta")) for i, n in enumerate("AB")])).alias("r")).select("r.*")
+    zero = F.array(*[F.lit(0.0)] * 4)
+    y = g.select("grp", "w", F.aggregate("w", zero, write(False)).alias("a"), F.aggregate("w", zero, write(True)).alias("b"))
+    rows = y.select("grp", "w", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.round(F.col("a")[i], 6).alias("additive"), F.round(F.col("b")[i], 6).alias("delta")) for i in range(4)])).alias("r"))
+    return rows.where(F.exists("w", lambda x: x["k"] == F.col("r.k"))).select("grp", F.col("r.k").cast("long").alias("k"), "r.additive", "r.delta")
 
 
 @book("SELECT n, round(6.0 * 5226752 * n / (5.2e12 * 14 / 16), 6) AS mfu, round((6.0 * 2.1e7 * least(n * 1e4, 1.5e8) + 6.0 * 3.9e7 * greatest(0, n * 1e4 - 1.5e8)) / 1e15, 6) AS pflops FROM (SELECT unnest([10000, 20000, 35907])::BIGINT AS n)")
@@ -151,6 +155,15 @@ def parameter_counts(spark, d):
     return x.select("vocab", "width", body.alias("tied"), (body + v * w).alias("untied"), F.round(v * w / (body + v * w), 6).alias("saved"))
 
 
+@book("SELECT e AS n_experts, k AS top_k, CAST(t AS BIGINT) AS total, CAST(t - 4 * (e - k) * 8 * 256 * 256 AS BIGINT) AS active FROM (SELECT e, k, 8192 * 256 + 128 * 256 + 4 * (4 * 256 * 256 + 13 * 256 + e * 8 * 256 * 256 + e * 256) + 2 * 256 AS t FROM (SELECT unnest([4, 8, 16])::BIGINT AS e), (SELECT unnest([1, 2])::BIGINT AS k))")
+def active_parameters(spark, d):
+    """Weights of a mixture of experts, and those that one token uses: all but the experts that it isn't sent to."""
+    x = spark.createDataFrame([(e, k) for e in (4, 8, 16) for k in (1, 2)], "n_experts long, top_k long")
+    w, layers, expert = 256, 4, 2 * 4 * 256 * 256
+    total = 8192 * w + 128 * w + layers * (4 * w * w + 13 * w + F.col("n_experts") * (expert + w)) + 2 * w
+    return x.select("n_experts", "top_k", total.alias("total"), (total - layers * (F.col("n_experts") - F.col("top_k")) * expert).alias("active"))
+
+
 IJ = "(SELECT i, j FROM range(24) a(i), range(24) b(j) WHERE j <= i)"
 SCORE = "CAST(('0x' || substr(sha256('score:' || i || ':' || j), 1, 13)) AS BIGINT) / 4503599627370496.0"
 
@@ -181,6 +194,13 @@ def mask_blocks(spark, d):
     return M.top_blocks(_scores(spark), 4, 1).select("i", "j", "code")
 
 
+@book(f"""WITH c AS (SELECT i, j, {SCORE} AS s FROM {IJ}), b AS (SELECT i, j // 4 AS k, row_number() OVER (PARTITION BY i ORDER BY avg(s) DESC, j // 4) AS r FROM c WHERE j // 4 < i // 4 GROUP BY 1, 2)
+    SELECT c.i, c.j, CASE WHEN c.i - c.j < 4 THEN 1 WHEN b.r <= 2 THEN 3 ELSE 0 END AS code FROM c LEFT JOIN b ON b.i = c.i AND b.k = c.j // 4""")
+def mask_window_and_blocks(spark, d):
+    """A window and the two best past blocks."""
+    return M.top_blocks(_scores(spark), 4, 2, window=4).select("i", "j", "code")
+
+
 @book()
 def mask_heavy_hitters(spark, d):
     """Greedy eviction over one matrix."""
@@ -204,11 +224,19 @@ def attention_output(spark, d):
     return M.matmul(p, x).select("i", "j", F.round("v", 6).alias("v"))
 
 
-@book("SELECT round(2 * (0.5 * 10 + 1 * 20 + 1.5 * 30), 6) AS direct, round(2 * 0.5 * 10 + 2 * 1 * 20 + 2 * 1.5 * 30, 6) AS regrouped")
+@book("""WITH e AS (SELECT vec_id, vec_id // 64 AS grp, embedding::DOUBLE[] AS k, embedding[1]::DOUBLE AS v FROM embeddings), q AS (SELECT grp, arg_min(k, vec_id) AS q FROM e GROUP BY 1),
+    a AS (SELECT e.grp, sum(list_dot_product(q.q, e.k) * e.v) AS direct FROM e JOIN q ON q.grp = e.grp GROUP BY 1), u AS (SELECT grp, v, unnest(k) AS x, unnest(range(len(k))) AS i FROM e), s AS (SELECT grp, i, sum(x * v) AS s FROM u GROUP BY 1, 2),
+    b AS (SELECT q.grp, list_dot_product(q.q, (SELECT list(s.s ORDER BY s.i) FROM s WHERE s.grp = q.grp)) AS regrouped FROM q) SELECT a.grp, round(direct, 5) + 0.0 AS direct, round(regrouped, 5) + 0.0 AS regrouped, abs(direct - regrouped) < 1e-9 AS same FROM a JOIN b ON b.grp = a.grp""")
 def linear_regrouping(spark, d):
-    """Without softmax the sum can be kept as a state."""
-    x = spark.createDataFrame([(0.5, 10.0), (1.0, 20.0), (1.5, 30.0)], "k double, v double")
-    return x.agg(F.round(F.sum(2 * F.col("k") * F.col("v")), 6).alias("direct"), F.round(2 * F.sum(F.col("k") * F.col("v")), 6).alias("regrouped"))
+    """Without softmax the sum over the past can be kept as a state: (q k) v summed, against q times the sum of k v."""
+    e = table(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 64).alias("grp"), F.col("embedding").cast("array<double>").alias("k")).withColumn("v", F.col("k")[0])
+    q = e.groupBy("grp").agg(F.min_by("k", "vec_id").alias("q"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    direct = e.join(q, "grp").groupBy("grp").agg(F.sum(dot("q", "k") * F.col("v")).alias("direct"))
+    state = e.select("grp", "v", F.posexplode("k").alias("i", "x")).groupBy("grp", "i").agg(F.sum(F.col("x") * F.col("v")).alias("s"))
+    state = state.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]).alias("s"))
+    x = direct.join(q.join(state, "grp").select("grp", dot("q", "s").alias("regrouped")), "grp")
+    return x.select("grp", F.round("direct", 5).alias("direct"), F.round("regrouped", 5).alias("regrouped"), (F.abs(F.col("direct") - F.col("regrouped")) < 1e-9).alias("same"))
 
 
 @book("""WITH t AS (SELECT DISTINCT p_brand AS token FROM part), b AS (SELECT token, unnest(range(least(octet_length(encode(token)), 32))) AS position FROM t) SELECT token, CAST(('0x' || substr(hex(encode(token)), position * 2 + 1, 2)) AS INTEGER) AS byte, CAST(position AS INTEGER) AS position, round(1 / sqrt(least(octet_length(encode(token)), 32)), 9) AS weight FROM b""")
@@ -269,7 +297,8 @@ def group_norm_ratios(spark, d):
     return e.groupBy("grp").agg(F.count("*").alias("n"), F.round(F.sqrt(F.sum(square("w", F.col("vec_id") % 7 / 1000))) / (F.sqrt(F.sum(square("w"))) + 1e-12), 8).alias("ratio"))
 
 
-@book()
+@book("""WITH x AS (SELECT p_partkey, p_retailprice::DOUBLE AS v, floor(log2(p_retailprice::DOUBLE))::BIGINT AS e FROM part WHERE p_retailprice IS NOT NULL), u AS (SELECT p_partkey, (e + 127) * 8388608 + CAST(round_even((v / 2.0 ** e - 1) * 8388608, 0) AS BIGINT) AS u FROM x), h AS (SELECT p_partkey, u, (u + 32767 + (u // 65536) % 2) // 65536 AS h FROM u)
+    SELECT p_partkey, lpad(bin(u), 32, '0') AS b32, lpad(bin(h), 16, '0') AS b16, (1 + (u % 8388608) / 8388608.0::DOUBLE) * 2.0::DOUBLE ** ((u // 8388608) - 127) AS float32, (1 + (h % 128) / 128.0::DOUBLE) * 2.0::DOUBLE ** ((h // 128) - 127) AS bfloat16 FROM h""")
 def float_layouts(spark, d):
     """Bits of two float formats, and the value decoded from them."""
     x = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("v")).where("v is not null")
@@ -277,7 +306,8 @@ def float_layouts(spark, d):
     return y.select("p_partkey", "b32", "b16", N.decode_bits(F.col("b32"), 8, 127).alias("float32"), N.decode_bits(F.col("b16"), 8, 127).alias("bfloat16"))
 
 
-@book()
+@book("""WITH e AS (SELECT label, unnest(embedding::DOUBLE[]) AS x FROM embeddings), t AS (SELECT label, max(abs(x)) AS amax FROM e GROUP BY 1), y AS (SELECT e.label, x, amax, x * (448.0::DOUBLE / amax) AS s FROM e JOIN t ON t.label = e.label), a AS (SELECT *, least(abs(s), 448.0) AS a FROM y),
+    b AS (SELECT *, 2.0::DOUBLE ** (greatest(floor(log2(CASE WHEN a > 0 THEN a ELSE 1.0 END)), -6) - 3) AS step FROM a), q AS (SELECT label, x, sign(s) * least(round_even(a / step, 0) * step, 448.0) * amax / 448.0 AS q FROM b) SELECT label, count(*) AS n, round(max(abs(q - x)), 6) AS worst, round(avg(abs(q - x)), 6) AS mean FROM q GROUP BY 1""")
 def fp8_quantise(spark, d):
     """Scaled to the range of the 8-bit format, rounded, and scaled back, per label."""
     e = table(spark, d, "embeddings").select("label", F.explode(F.col("embedding").cast("array<double>")).alias("x"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tessella.functions import text as X
 from tessella.operators import packing as K, sampling as S, series
 from tessella.plans.base import Book
+from tessella.plans.corpus_queries import ALLOWED, ALLOWED_SQL, N_SHARDS
+from tessella.plans.stats_queries import RUNS, runs
 from tessella.sources.tables import table
 
 book = Book()
@@ -253,12 +255,91 @@ def ledger_checks(spark, d):
     return c.unionByName(c.agg(F.lit("overall").alias("name"), F.sum("violations").alias("violations"), F.bool_and("passed").alias("passed")))
 
 
-@book("""WITH p AS (SELECT v.b, v.mb FROM (VALUES (8, 1300.0), (16, 2100.0), (32, 3700.0), (64, 6900.0)) v(b, mb)), f AS (SELECT regr_slope(mb, b) AS k, regr_intercept(mb, b) AS c FROM p) SELECT round(k, 6) AS slope, round(c, 6) AS base, CAST(floor((16384 - c) / k / 8) * 8 AS BIGINT) AS largest FROM f""")
+PEAKS = "p AS (SELECT CAST(k * 64 AS BIGINT) AS b, CAST(1000000 + sum(n) OVER (ORDER BY k) AS BIGINT) AS peak FROM (SELECT row_no // 64 + 1 AS k, sum(length(text)) AS n, count(*) AS c FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_no, coalesce(text, '') AS text FROM documents) GROUP BY 1) WHERE c = 64)"
+
+
+@book(f"""WITH {PEAKS}, f AS (SELECT regr_slope(peak, b) AS k, regr_intercept(peak, b) AS c FROM p WHERE b IN (64, 256)), m AS (SELECT max(peak) * 0.6 AS budget FROM p)
+    SELECT round(k, 4) AS slope, round(c, 2) AS base, CAST(floor((budget - c) / k / 64) * 64 AS BIGINT) AS predicted, (SELECT max(b) FROM p, m WHERE peak <= budget) AS largest, (SELECT max(peak) FROM p, m WHERE peak <= budget) AS peak FROM f, m""")
 def largest_batch(spark, d):
-    """Linear fit of memory on batch size, and the largest multiple of 8 under a budget."""
-    p = spark.createDataFrame([(8, 1300.0), (16, 2100.0), (32, 3700.0), (64, 6900.0)], "b int, mb double")
-    f = p.agg(F.regr_slope("mb", "b").alias("k"), F.regr_intercept("mb", "b").alias("c"))
-    return f.select(F.round("k", 6).alias("slope"), F.round("c", 6).alias("base"), (F.floor((16384 - F.col("c")) / F.col("k") / 8) * 8).alias("largest"))
+    """Peaks of memory by batch (multiples of 64, here the characters of so many texts): a line through two probes, its prediction under a budget, and the largest batch that fits as measured."""
+    t = table(spark, d, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    rows = series.running_totals(t, [], ["doc_id"], {"before": F.col("n")})
+    full = rows.where((F.col("pos") + 1) % 64 == 0).select((F.col("pos") + 1).cast("long").alias("b"), (F.col("before") + F.col("n") + 1_000_000).alias("peak"))
+    fit = full.agg(F.regr_slope(F.when(F.col("b").isin(64, 256), F.col("peak")), "b").alias("k"), F.regr_intercept(F.when(F.col("b").isin(64, 256), F.col("peak")), "b").alias("c"), (F.max("peak") * 0.6).alias("budget"))
+    best = full.join(F.broadcast(fit), F.col("peak") <= F.col("budget")).agg(F.max("b").alias("largest"), F.max("peak").alias("peak"))
+    predicted = (F.floor((F.col("budget") - F.col("c")) / F.col("k") / 64) * 64).alias("predicted")
+    return fit.join(F.broadcast(best)).select(F.round("k", 4).alias("slope"), F.round("c", 2).alias("base"), predicted, "largest", "peak")
+
+
+@book(f"""WITH r AS {RUNS}, l AS (SELECT run_id, arg_max(loss, ledger_offset) AS final_loss FROM r GROUP BY 1), f AS (SELECT regexp_replace(run_id, '_[0-9]+$', '') AS family, run_id, final_loss FROM l), k AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY final_loss, run_id) AS rank FROM f) SELECT family, run_id AS best_run, round(final_loss, 6) AS final_loss FROM k WHERE rank = 1""")
+def best_config(spark, d):
+    """The run of each family with the lowest final loss."""
+    last = runs(spark, d).groupBy("run_id").agg(F.max_by("loss", "ledger_offset").alias("final_loss"))
+    x = last.groupBy(F.regexp_replace("run_id", "_[0-9]+$", "").alias("family")).agg(F.min(F.struct("final_loss", "run_id")).alias("b"))
+    return x.select("family", F.col("b.run_id").alias("best_run"), F.round("b.final_loss", 6).alias("final_loss"))
+
+
+#: Shares of the lanes in three mixtures of a small proxy model, and its budgets.
+MIXTURES = {
+    "A": ({"indic": 20 / 24, "agent": 2.5 / 24, "reasoning": 0.75 / 24, "longcontext": 0.75 / 24}, False),
+    "B": ({"indic": 25 / 29, "agent": 2.5 / 29, "reasoning": 0.75 / 29, "longcontext": 0.75 / 29}, False),
+    "C": ({"indic": 20 / 24, "agent": 2.5 / 24, "reasoning": 0.75 / 24, "longcontext": 0.75 / 24}, True),
+}
+TRAIN_BUDGET, VAL_BUDGET, CHUNK, LONG = 900_000, 100_000, 256, 2_000
+STAGE = {"indic": 1, "agent": 1, "reasoning": 2, "longcontext": 3}
+PLAN = [(h, lane, int(w * TRAIN_BUDGET), int(w * VAL_BUDGET), STAGE[lane] if ordered else 0) for h, (weights, ordered) in MIXTURES.items() for lane, w in weights.items()]
+PLAN_SQL = "(VALUES " + ", ".join(f"('{h}', '{lane}', {n}, {v}, {g})" for h, lane, n, v, g in PLAN) + ") m(mixture, lane, budget, val_budget, stage)"
+POOLS = f"""x AS (SELECT doc_id, lane, {TOK} AS t, sha256('pool:' || doc_id) AS h FROM documents WHERE lane IN ('indic', 'agent', 'reasoning', 'longcontext')), w AS (SELECT *, lane IN ('reasoning', 'longcontext') AND t >= {LONG} AS withheld FROM x),
+    s AS (SELECT *, row_number() OVER (PARTITION BY lane, withheld ORDER BY h) <= greatest(1, floor(count(*) OVER (PARTITION BY lane, withheld) * 0.1)) AS first FROM w), p AS (SELECT lane, t, doc_id, CASE WHEN withheld THEN 'heldout' WHEN first THEN 'val' ELSE 'train' END AS part FROM s)"""
+
+
+def _pools(spark, d):
+    """Documents of four lanes in training, validation (a tenth of each lane, by hash) and, for long ones of two lanes, held out."""
+    x = _docs(spark, d).where(F.col("lane").isin(*STAGE)).withColumn("h", F.sha2(_key("pool:"), 256)).withColumn("withheld", F.col("lane").isin("reasoning", "longcontext") & (F.col("n_tokens") >= LONG))
+    n = x.groupBy("lane", "withheld").agg(F.greatest(F.lit(1), F.floor(F.count("*") * 0.1)).alias("n_val"))
+    y = series.running_totals(x, ["lane", "withheld"], ["h"], {}).join(F.broadcast(n), ["lane", "withheld"])
+    part = F.when(F.col("withheld"), "heldout").when(F.col("pos") < F.col("n_val"), "val").otherwise("train")
+    return y.select("doc_id", "lane", "n_tokens", part.alias("part"))
+
+
+@book(f"WITH {POOLS} SELECT lane, part, count(*) AS n_docs, CAST(sum(t) AS BIGINT) AS n_tokens, CAST(CASE part WHEN 'val' THEN least(sum(t), max(val_budget)) WHEN 'heldout' THEN sum(t) END AS BIGINT) AS shared FROM p JOIN {PLAN_SQL} USING (lane) WHERE mixture = 'A' GROUP BY 1, 2")
+def lane_pools(spark, d):
+    """Pools per lane, and what of them goes to the validation set that all mixtures share and to the held-out set."""
+    plan = spark.createDataFrame([(lane, v) for h, lane, _, v, _ in PLAN if h == "A"], "lane string, val_budget long")
+    x = _pools(spark, d).groupBy("lane", "part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).join(F.broadcast(plan), "lane")
+    return x.select("lane", "part", "n_docs", "n_tokens", F.when(F.col("part") == "val", F.least("n_tokens", "val_budget")).when(F.col("part") == "heldout", F.col("n_tokens")).alias("shared"))
+
+
+@book(f"""WITH {POOLS}, n AS (SELECT lane, CAST(sum(t) AS BIGINT) AS n FROM p WHERE part = 'train' GROUP BY 1), c AS (SELECT mixture, m.lane, stage, unnest(range(0, greatest(least(n, budget) - {CHUNK}, 0), {CHUNK})) // {CHUNK} AS chunk FROM n JOIN {PLAN_SQL} ON m.lane = n.lane)
+    SELECT mixture, lane, CAST(chunk AS BIGINT) AS chunk, row_number() OVER (PARTITION BY mixture ORDER BY stage, sha256(mixture || ':' || lane || ':' || CAST(chunk AS BIGINT))) - 1 AS pos FROM c""")
+def mixture_chunks(spark, d):
+    """Chunks of 256 tokens of each lane's budget in three mixtures: two shuffled as a whole, one lane after lane as a curriculum."""
+    n = _pools(spark, d).where("part = 'train'").groupBy("lane").agg(F.sum("n_tokens").alias("n"))
+    plan = spark.createDataFrame([(h, lane, b, g) for h, lane, b, _, g in PLAN], "mixture string, lane string, budget long, stage int")
+    take = F.least("n", "budget")
+    c = n.join(F.broadcast(plan), "lane").where(take > CHUNK).select("mixture", "lane", "stage", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil((take - CHUNK) / CHUNK) - 1)).alias("chunk"))
+    c = c.withColumn("h", F.sha2(F.concat_ws(":", "mixture", "lane", F.col("chunk").cast("string")), 256))
+    return series.running_totals(c, ["mixture"], ["stage", "h"], {}).select("mixture", "lane", "chunk", F.col("pos").cast("long").alias("pos"))
+
+
+PERMITTED = f"lower(trim(license)) IN ({ALLOWED_SQL})"
+DEEP = FILL.replace(f"SELECT doc_id, {SRC} AS source", f"SELECT doc_id, 'all' AS source, text").replace("AS t FROM documents)", f"AS t FROM documents WHERE {PERMITTED})").replace("SELECT source, doc_id, rank, t FROM (", "SELECT source, doc_id, rank, t FROM (")
+
+
+@book(f"""{DEEP}, y AS (SELECT coalesce(d.text, '') AS text, f.t, f.rank FROM f JOIN documents d ON d.doc_id = f.doc_id WHERE f.taken), whole AS (SELECT count(*) AS n, sum({TOK}) AS t, count(*) FILTER (WHERE {PERMITTED}) AS pn, sum({TOK}) FILTER (WHERE {PERMITTED}) AS pt FROM documents)
+    SELECT 'rows' AS metric, CAST(n AS VARCHAR) AS value FROM whole UNION ALL SELECT 'tokens', CAST(t AS VARCHAR) FROM whole UNION ALL SELECT 'permitted_rows', CAST(pn AS VARCHAR) FROM whole UNION ALL SELECT 'permitted_tokens', CAST(coalesce(pt, 0) AS VARCHAR) FROM whole UNION ALL SELECT 'tokens_in_all_shards', CAST(t * {N_SHARDS} AS VARCHAR) FROM whole
+    UNION ALL SELECT 'sampled_rows', CAST(count(*) AS VARCHAR) FROM y UNION ALL SELECT 'sampled_tokens', CAST(coalesce(sum(t), 0)::BIGINT AS VARCHAR) FROM y UNION ALL SELECT 'sampled_duplicates', CAST(count(*) - count(DISTINCT sha256(text)) AS VARCHAR) FROM y
+    UNION ALL SELECT 'sampled_emails', CAST(coalesce(sum(len(regexp_extract_all(text, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{{2,}}\\b'))), 0)::BIGINT AS VARCHAR) FROM y UNION ALL SELECT 'sample_digest', sha256(coalesce(string_agg(rank || ':' || t || chr(10), '' ORDER BY rank), '')) FROM y""")
+def licence_audit(spark, d):
+    """One report on licences: what there is and what is permitted, carried on to all shards, and of a sample of the permitted texts duplicates, addresses and the digest of its manifest."""
+    x = table(spark, d, "documents").select("doc_id", "text", X.tokens(F.col("text")).cast("long").alias("n_tokens"), F.coalesce(F.lower(F.trim("license")).isin(*ALLOWED), F.lit(False)).alias("ok"))
+    stats = x.agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens"), F.count_if("ok").alias("permitted_rows"), F.coalesce(F.sum(F.when(F.col("ok"), F.col("n_tokens"))), F.lit(0)).alias("permitted_tokens"), (F.sum("n_tokens") * N_SHARDS).alias("tokens_in_all_shards"))
+    ids = S.greedy_fill(S.rank_candidates(x.where("ok").select("doc_id", "n_tokens", F.lit("all").alias("source")), ["source"], _key("sample:"), F.col("n_tokens"), TARGET), ["source"], TARGET, ["doc_id"])
+    y = ids.join(x.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")  # a sample: bounded by its budget of tokens
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda r: F.concat(r["rank"], F.lit(":"), r["t"].cast("string"), F.lit("\n"))), "")
+    sample = y.agg(F.count("*").alias("sampled_rows"), F.coalesce(F.sum("t"), F.lit(0)).alias("sampled_tokens"), (F.count("*") - F.countDistinct(F.sha2("text", 256))).alias("sampled_duplicates"), F.coalesce(F.sum(X.pattern_count(F.col("text"), X.EMAIL)), F.lit(0)).alias("sampled_emails"), F.sha2(lines, 256).alias("sample_digest"))
+    long = lambda z: z.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("string").alias("value")) for c in z.columns])).alias("r")).select("r.*")
+    return long(stats).unionByName(long(sample))
 
 
 @book(f"SELECT lane, CAST(sum({TOK}) AS BIGINT) AS n_tokens, CAST(least(floor(CASE lane WHEN 'prose' THEN 0.4 WHEN 'code' THEN 0.35 ELSE 0.05 END * 100000), sum({TOK})) AS BIGINT) AS budget FROM documents GROUP BY 1")

@@ -39,6 +39,24 @@ def ledger_range(spark, d):
 # --- joins ---------------------------------------------------------------------------------------------------------
 
 
+@book("SELECT lower(lane) AS lane, count(*) AS n_segments FROM (SELECT DISTINCT * FROM segments) s WHERE NOT EXISTS (SELECT 1 FROM shard_agent a WHERE a.doc_id = s.doc_id AND a.role IS DISTINCT FROM 'train') GROUP BY 1")
+def trainable_segments(spark, d):
+    """Segments without those of documents that may not be trained on (left anti join)."""
+    blocked = table(spark, d, "shard_agent").where(~F.col("role").eqNullSafe(F.lit("train"))).select("doc_id").distinct()
+    s = table(spark, d, "segments").dropDuplicates(["segment_id"])
+    return s.join(blocked, "doc_id", "left_anti").groupBy(F.lower("lane").alias("lane")).agg(F.count("*").alias("n_segments"))
+
+
+@book("""WITH r AS (SELECT DISTINCT * FROM main_midpoint_rev), a AS (SELECT DISTINCT run_id, step FROM r WHERE loss IS NOT NULL), b AS (SELECT DISTINCT run_id, step FROM r WHERE gnorm IS NOT NULL)
+    SELECT coalesce(a.run_id, b.run_id) AS run_id, CAST(count(*) FILTER (WHERE b.run_id IS NULL) AS BIGINT) AS only_first, CAST(count(*) FILTER (WHERE a.run_id IS NULL) AS BIGINT) AS only_second, CAST(count(*) FILTER (WHERE a.run_id IS NOT NULL AND b.run_id IS NOT NULL) AS BIGINT) AS both FROM a FULL JOIN b ON a.run_id = b.run_id AND a.step = b.step GROUP BY 1""")
+def ledger_pairs(spark, d):
+    """Two ledgers of (run, step), one of losses and one of norms, against each other (full outer join): what one has and the other hasn't."""
+    r = table(spark, d, "main_midpoint_rev")
+    one = lambda c, name: r.where(F.col(c).isNotNull()).select("run_id", "step").distinct().withColumn(name, F.lit(True))
+    x = one("loss", "a").join(one("gnorm", "b"), ["run_id", "step"], "full")
+    return x.groupBy("run_id").agg(F.count_if(F.col("b").isNull()).alias("only_first"), F.count_if(F.col("a").isNull()).alias("only_second"), F.count_if(F.col("a") & F.col("b")).alias("both"))
+
+
 @book("SELECT lower(lane) AS lane, count(*) AS n_segments FROM (SELECT DISTINCT * FROM segments) s WHERE NOT EXISTS (SELECT 1 FROM shard_agent a WHERE a.doc_id = s.doc_id) GROUP BY 1")
 def orphan_segments(spark, d):
     """Segments without a document in the manifest (left anti join)."""
@@ -235,6 +253,18 @@ def router_weights(spark, d):
     return table(spark, d, "embeddings").select("vec_id", t.alias("t")).select("vec_id", F.round(1 / (1 + e), 6).alias("w1"), F.round(e / (1 + e), 6).alias("w2"))
 
 
+@book("""WITH e AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings), p AS (SELECT vec_id, i, exp(x) / sum(exp(x)) OVER (PARTITION BY vec_id) AS p FROM e),
+    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p + (i % 5) * 0.01 DESC, i) AS rank FROM p) SELECT vec_id, i, rank, round(p / sum(p) OVER (PARTITION BY vec_id), 6) AS weight FROM r WHERE rank <= 2""")
+def router_with_bias(spark, d):
+    """Experts chosen by probability and a bias that balances their load; their weights are of the probabilities alone."""
+    e = F.transform("embedding", lambda x: F.exp(x.cast("double")))
+    x = table(spark, d, "embeddings").select("vec_id", e.alias("e")).withColumn("sum", F.aggregate("e", F.lit(0.0), lambda a, v: a + v))
+    scored = F.transform("e", lambda v, i: F.struct((-(v / F.col("sum") + i % 5 * 0.01)).alias("s"), i.alias("i"), (v / F.col("sum")).alias("p")))
+    top = x.select("vec_id", F.slice(F.array_sort(scored), 1, 2).alias("t"))
+    total = F.aggregate("t", F.lit(0.0), lambda a, v: a + v["p"])
+    return top.select("vec_id", total.alias("total"), F.posexplode("t").alias("k", "x")).select("vec_id", F.col("x.i").cast("long").alias("i"), (F.col("k") + 1).cast("long").alias("rank"), F.round(F.col("x.p") / F.col("total"), 6).alias("weight"))
+
+
 @book("""WITH e AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings), u AS (SELECT *, (CAST(('0x' || substr(sha256('gumbel:' || vec_id || ':' || i), 1, 13)) AS BIGINT)) / 4503599627370496.0 AS u FROM e),
     r AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY x - ln(-ln(greatest(u, 1e-300))) DESC, i) AS rank FROM u) SELECT vec_id, i, rank FROM r WHERE rank <= 2""")
 def gumbel_top_k(spark, d):
@@ -363,6 +393,17 @@ def peak_of_running_total(spark, d):
     return r.agg(F.max("level").alias("peak"), F.max_by("event_id", F.struct(F.col("level"), -F.col("event_id"))).alias("at_event"))
 
 
+@book("""WITH e AS (SELECT ts, event_id, event_type, CASE WHEN event_id % 3 = 2 THEN -CAST(value AS BIGINT) ELSE CAST(value AS BIGINT) END AS delta FROM events WHERE value IS NOT NULL), r AS (SELECT *, sum(delta) OVER (ORDER BY ts, event_id) AS level FROM e), p AS (SELECT arg_max(ts, (level, -event_id)) AS ts, arg_max(event_id, (level, -event_id)) AS event_id FROM r)
+    SELECT event_type, CAST(sum(delta) AS BIGINT) AS held FROM e, p WHERE (e.ts, e.event_id) <= (p.ts, p.event_id) GROUP BY 1""")
+def peak_breakdown(spark, d):
+    """What each category holds at the peak of the running total."""
+    v = F.rint("value").cast("long")
+    e = table(spark, d, "events").where("value is not null").select("ts", "event_id", "event_type", F.when(F.col("event_id") % 3 == 2, -v).otherwise(v).alias("delta"))
+    r = series.running_totals(e.drop("event_type"), [], ["ts", "event_id"], {"before": F.col("delta")}).withColumn("level", F.col("before") + F.col("delta"))
+    peak = r.agg(F.max_by(F.struct("ts", "event_id"), F.struct(F.col("level"), -F.col("event_id"))).alias("peak"))
+    return e.join(F.broadcast(peak), F.struct("ts", "event_id") <= F.col("peak")).groupBy("event_type").agg(F.sum("delta").alias("held"))
+
+
 @book("""SELECT event_type, get_bit AS k, n FROM (SELECT event_type, coalesce(json_extract_string(props, '$.page'), json_extract_string(props, '$.device'), 'none') AS get_bit, count(*) AS n FROM events GROUP BY 1, 2)""")
 def json_fields(spark, d):
     """Fields out of JSON."""
