@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from tessella.operators.anomalies import Field, SpikeRule, flag_readings, residuals, spike_rates, stuck_length, tail_cutoff
+from tessella.operators.anomalies import Field, SpikeRule, flag_readings, residuals, seasonal, spike_rates, stuck_length, tail_cutoff
 
 SCHEMA = "ledger_offset long, run_id string, step long, loss double, gnorm double, logged_at timestamp, field string"
 START = dt.datetime(2030, 1, 1)
@@ -112,3 +112,73 @@ def test_spikes_near_the_ends(spark, at):
     rows = series(600, "a")
     rows[at][3] = 30.0
     assert found(spark.createDataFrame([tuple(r) for r in rows], SCHEMA)) == {(at, "loss", "spike")}
+
+
+def test_a_season_is_taken_off(spark):
+    """A swing every 25 readings, much larger than the noise: spikes a fraction of its height are found, the swing itself isn't flagged."""
+    rows = series(2000, "a", seed=7)
+    for i, r in enumerate(rows):
+        r[3] = 5.0 + 0.01 * float(np.random.default_rng(i).normal()) + (2.0 if i % 25 == 0 else 0.8 if i % 25 == 1 else 0.0)
+    for i in (512, 1490):  # off the swing's phase
+        rows[i][3] += 0.5
+    rows[1000][3] += 0.5  # on top of it
+    for i in (700, 1200):  # null readings don't shift the phase
+        rows[i][3] = None
+    assert {x for x in found(spark.createDataFrame([tuple(r) for r in rows], SCHEMA)) if x[1] == "loss"} == {(i, "loss", "spike") for i in (512, 1000, 1490)}
+
+
+def test_seasonal():
+    r = np.random.default_rng(1)
+    noise = r.normal(size=3000)
+    assert not seasonal(noise, np.arange(3000), SpikeRule()).any()
+    swing = np.where(np.arange(3000) % 40 == 3, 30.0, 0.0)
+    got = seasonal(noise + swing, np.arange(3000), SpikeRule())
+    assert np.abs(got[np.arange(3000) % 40 == 3] - 30).max() < 1.5 and np.abs(got[np.arange(3000) % 40 == 10]).max() < 1.5
+    assert not seasonal(np.zeros(100), np.arange(100), SpikeRule()).any() and not seasonal(noise[:10], np.arange(10), SpikeRule()).any()
+
+
+@pytest.mark.parametrize("spread", [0, 0.0001])
+def test_burst(spark, spread):
+    """More readings in one hour, or at one moment, than a block holds are cut by rank."""
+    rows = series(1500, "a", seed=8)
+    for i, r in enumerate(rows):
+        r[5] = START + dt.timedelta(seconds=spread * i)
+    for i in (77, 640, 641, 1301):
+        rows[i][3] += 3.0
+    df = spark.createDataFrame([tuple(r) for r in rows], SCHEMA)
+    want = {(i, "loss", "spike") for i in (77, 640, 641, 1301)}
+    assert found(df) == want == found(df, rule=SpikeRule(block=64, halo=32))
+
+
+@pytest.mark.parametrize("n", [40, 300, 900])
+def test_long_stretches(spark, n):
+    """A stretch longer than a margin, over the edges of several blocks, counts whole; a habit of such stretches is no case."""
+    rows = series(2400, "a", seed=9) + series(2400, "b", 5000, seed=10)
+    for i in range(700, 700 + n):
+        rows[i][4] = 1.5
+    for i in range(2400, 4800):
+        rows[i][4] = float(i // n)  # run b holds each value for n readings
+    df = spark.createDataFrame([tuple(r) for r in rows], SCHEMA)
+    want = {(i, "gnorm", "stuck") for i in range(700, 700 + n)}
+    got = found(df, rule=SpikeRule(block=100, halo=32))
+    assert {x for x in got if x[2] == "stuck" and x[0] < 5000} == want == {x for x in found(df) if x[2] == "stuck" and x[0] < 5000}
+    if n < 900:  # two or three stretches are no habit yet
+        assert not {x for x in got if x[2] == "stuck" and x[0] >= 5000}
+
+
+def test_short_tails(spark):
+    """Noise with a bounded tail: its cutoff is that of an exponential one, so beyond the noise, but a spike of a few times its width is found."""
+    rows = series(3000, "a", seed=11)
+    r = np.random.default_rng(12)
+    for x in rows:
+        x[3] = 5 + float(r.uniform(-0.1, 0.1))
+    rows[1234][3] = 6.5
+    assert {x for x in found(spark.createDataFrame([tuple(r) for r in rows], SCHEMA)) if x[1] == "loss"} == {(1234, "loss", "spike")}
+
+
+def test_many_sources(spark):
+    """Tables per source that are too large to broadcast are joined with salt."""
+    rows = [x for k in range(6) for x in series(200, f"r{k}", 1000 * k, seed=k)]
+    rows[150][3] = 50.0
+    df = spark.createDataFrame([tuple(r) for r in rows], SCHEMA)
+    assert found(df) == found(df, rule=SpikeRule(small=0)) == {(150, "loss", "spike")}

@@ -107,6 +107,40 @@ def test_nearest(spark):
     assert got == {("a", 10.0): 1, ("a", 100.0): 3, ("b", 5.0): None}
 
 
+@pytest.mark.parametrize("n", [0, 1, 40])
+def test_nearest_without_a_width(spark, n):
+    r = random.Random(n)
+    left = [(r.choice(["a", "b", "c", None]), float(r.choice([*range(100), 50])), i) for i in range(60)] + [("a", None, 999)]
+    right = [(r.choice(["a", "b", None]), float(r.randrange(0, 100, 3)), i) for i in range(n)]
+    l, g = spark.createDataFrame(left, "g string, t double, u int"), spark.createDataFrame(right, "g string, u double, x int")
+    got = {x["u"]: (x["r_u"], x["r_x"]) for x in series.nearest(l, g, ["g"], "t", "u").collect()}
+    want = {}
+    for k, t, i in left:
+        m = [(abs(u - t), u, x) for kk, u, x in right if kk == k] if t is not None else []
+        want[i] = min(m)[1:] if m else (None, None)
+    assert got == want
+
+
+def test_last_and_next(spark):
+    v = [None, 3, None, None, 5, None, 7, None]
+    df = spark.createDataFrame([("a", i, x) for i, x in enumerate(v)] + [("b", 0, None)], "g string, k int, v int").repartition(3)
+    got = {(r["g"], r["k"]): (r["_last"], r["_next"]) for r in series.last_and_next(df, ["g"], ["k"], F.col("v")).collect()}
+    assert [got["a", i] for i in range(8)] == [(None, 3), (3, 3), (3, 5), (3, 5), (5, 5), (5, 7), (7, 7), (7, None)] and got["b", 0] == (None, None)
+
+
+def test_pieces(spark):
+    """A window from any place: its first document from within, and round at the end."""
+    docs = spark.createDataFrame([("s", "d0", 0, 5), ("s", "d1", 5, 6), ("s", "d2", 6, 20)], "shard_id string, doc_id string, start long, end long")
+    first = spark.createDataFrame([("s", i, i) for i in range(20)], "shard_id string, seq_id long, from long")
+    flat = [(d, k) for d, a, b in (("d0", 0, 5), ("d1", 5, 6), ("d2", 6, 20)) for k in range(a, b)]
+    got = defaultdict(dict)
+    for r in packing.pieces(docs, first, 23).collect():
+        for k in range(r["token_end"] - r["token_start"]):
+            got[r["seq_id"]][r["seq_start"] + k] = (r["doc_id"], r["token_start"] + k)
+    for i in range(20):
+        assert [got[i][k] for k in range(23)] == [flat[(i + k) % 20] for k in range(23)]
+
+
 def test_mean_cosine(spark):
     r = np.random.default_rng(0).normal(size=(30, 5))
     u = r / np.linalg.norm(r, axis=1, keepdims=True)
@@ -126,6 +160,24 @@ def test_heavy_hitters_and_causality(spark):
         assert alive[i] - {i} <= alive[i - 1] and len([j for j in alive[i] if i - j >= 3]) <= 2  # the evicted never come back
 
 
+def test_heavy_hitters_against_a_scan(spark):
+    pairs = masks.causal_pairs(spark, 15).withColumn("score", F.rand(5)).withColumn("m", F.lit(1)).persist()
+    s = {(r["i"], r["j"]): r["score"] for r in pairs.collect()}
+    window, k = 3, 2
+    mass, alive, want = defaultdict(float), set(), set()
+    for i in range(15):
+        alive.add(i)
+        top = max(s[i, j] for j in alive)
+        e = {j: np.exp(s[i, j] - top) for j in alive}
+        for j in alive:
+            mass[j] += e[j] / sum(e.values())
+        old = sorted((j for j in alive if i - j >= window), key=lambda j: (-mass[j], j))
+        alive -= set(old[k:])
+        want |= {(i, j) for j in alive}
+    got = {(r["i"], r["j"]) for r in masks.heavy_hitters(pairs, "m", window, k).where("code > 0").collect()}
+    assert got == want
+
+
 def test_softmax_of_nothing(spark):
     df = spark.createDataFrame([(1, float("-inf")), (1, float("-inf")), (2, 1.0), (2, float("-inf"))], "g int, s double")
     assert sorted((r["g"], r["p"]) for r in masks.softmax(df, ["g"], "s").collect()) == [(1, 0.0), (1, 0.0), (2, 0.0), (2, 1.0)]
