@@ -271,7 +271,7 @@ def flag_readings(
     columns = "".join(f", r{j} float, len{j} long, edge{j} byte, v{j} double" for j in range(len(fields)))
     measured = _written(_blocks(timed, rule).groupBy("src", "block").applyInPandas(_measure(fields, rule), f"src string, key {kind}, block long{columns}"), "measured")
     each = F.array(*[F.struct(F.lit(f.name).alias("field"), F.col(f"r{j}").cast("double").alias("r"), F.col(f"len{j}").alias("len"), F.col(f"edge{j}").alias("edge"), F.col(f"v{j}").alias("v")) for j, f in enumerate(fields)])
-    long = measured.select("src", "key", "block", F.explode(each).alias("x")).select("src", "key", "block", "x.*").where(~F.isnan("r"))
+    long = measured.select("src", "key", "block", F.explode(each).alias("x")).select("src", "key", "block", "x.*").where("len > 0")  # of valid readings
 
     # stretches over the edges of blocks: at most two parts a block and field
     parts = long.where("edge > 0").groupBy("src", "field", "block", "edge", "v").agg(F.count("*").alias("n"))

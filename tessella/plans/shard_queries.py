@@ -190,7 +190,7 @@ def _replayed(recorded: DataFrame, again: DataFrame) -> DataFrame:
 @book(f"WITH {TOKENS_SQL}, {_assembled_sql('a', 'g')}, {_batches_sql('b', 'a')}, {TAMPERED_SQL}, {_assembled_sql('c', 'h')}, {_batches_sql('e', 'c')} SELECT b.lane, b.step, {NAME_B} AS batch_id, b.batch_hash IS NOT DISTINCT FROM e.batch_hash AS match FROM b LEFT JOIN e ON e.lane = b.lane AND e.step = b.step")
 def replay_interval(spark, d):
     """All recorded batches built again from a ledger's pieces, of which some were tampered with: those, and only those, don't match."""
-    chosen = _chosen(spark, d)
+    chosen = _chosen(spark, d).checkpoint()
     return _replayed(_batched(_sequences(spark, d, chosen)), _batched(_sequences(spark, d, _tampered(chosen))))
 
 
@@ -240,8 +240,8 @@ def evidence_bundle(spark, d):
     verified = S.verify_shards(manifest, S.file_digests(spark, at), fingerprint()).groupBy(F.regexp_replace("shard", "\\.\\d{5}$", "").alias("shard")).agg(F.bool_and(F.col("verdict") == "ok").alias("ok"))
     u = table(spark, d, "segments").dropDuplicates(["segment_id"])
     m = table(spark, d, "shard_agent").select("doc_id", "role", F.lit(True).alias("known")).distinct()
-    chosen = _chosen(spark, d)
-    sequences = _sequences(spark, d, chosen)
+    chosen = _chosen(spark, d).checkpoint()  # a drawn number of sequences per shard
+    sequences = _sequences(spark, d, chosen).checkpoint()
     batches = _batched(sequences)
     steps = u.agg(F.min("step").alias("a"), F.max("step").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b")).alias("step"))
     per_step = steps.join(u.select("step", "batch_id").distinct(), "step", "left").groupBy("step").agg(F.count("batch_id").alias("n"))

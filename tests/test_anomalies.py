@@ -77,6 +77,9 @@ def test_habits_are_no_cases(spark):
         r[3] = 5.0 + (3.0 if i % 40 == 0 else 0.0) + 0.01 * (i % 7)  # a regular swing
         r[4] = float(i // 6 % 9 + 1)  # each value is held for six readings
     assert found(spark.createDataFrame([tuple(r) for r in rows], SCHEMA)) == set()
+    for i in range(7, 1200, 50):  # nor do null readings among them change that
+        rows[i][4] = None
+    assert found(spark.createDataFrame([tuple(r) for r in rows], SCHEMA)) == set()
 
 
 def test_cutoff_follows_the_tail():
