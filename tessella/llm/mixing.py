@@ -58,7 +58,8 @@ def _fill(w: np.ndarray, cap: np.ndarray, target: float) -> np.ndarray:
     order = np.argsort(c / x)
     x, c = x[order], c[order]
     held = np.concatenate([[0.0], np.cumsum(c)[:-1]])  # the sum of the caps that are reached first
-    f = (target - held) / np.cumsum(x[::-1])[::-1]
+    with np.errstate(over="ignore", divide="ignore"):  # weights of next to nothing at the end
+        f = (target - held) / np.cumsum(x[::-1])[::-1]
     k = int(np.argmax(f * x <= c * (1 + 1e-12)))
     out[on] = np.minimum(f[k] * w[on], cap[on])
     return out
