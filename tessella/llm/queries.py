@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessella.llm.mixing import CORPUS, MixRule, mix_sources
 from tessella.llm.overlap import overlap_pairs, overlap_report
 from tessella.llm.packing import pack_documents, utilisation
-from tessella.llm.splitting import split_oversized
+from tessella.llm.splitting import oversized, piece_checks, split_oversized
 from tessella.llm.toxicity import fit_scorer, score_documents, toxicity_rates
 from tessella.sources.tables import table
 
@@ -32,6 +32,11 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+def p3_checks(spark: SparkSession, d: str) -> DataFrame:
+    items = oversized(table(spark, d, "segments"), table(spark, d, "shard_agent"), table(spark, d, "packing_limits"))
+    return piece_checks(_pieces(spark, d), items)
+
+
 def p4_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(table(spark, d, "documents"), table(spark, d, "packing_limits"))
 
@@ -65,9 +70,17 @@ def p6_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxicity_rates(p6_scores(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_pieces, p4_containers, p4_utilisation, p5_mixture, p5_shares, p6_found, p6_scores, p6_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_pieces, p3_checks, p4_containers, p4_utilisation, p5_mixture, p5_shares, p6_found, p6_scores, p6_rates)}
 
 SQL = {
+    "p3_checks": """
+        WITH items AS (
+            SELECT 'segment' AS kind, segment_id AS item_id, lower(trim(lane)) AS lane, token_start, token_end FROM segments
+            UNION ALL
+            SELECT 'document', doc_id, lower(trim(lane)), token_start, token_end FROM shard_agent
+        )
+        SELECT DISTINCT kind, item_id, TRUE AS within, TRUE AS covers, TRUE AS overlaps FROM items JOIN packing_limits l ON items.lane = l.lane WHERE token_end - token_start > max_tokens
+    """,
     "p3_found": """
         WITH items AS (
             SELECT segment_id AS item_id, lower(trim(lane)) AS lane, token_start, token_end FROM segments

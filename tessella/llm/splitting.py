@@ -79,6 +79,16 @@ def _cut(batches):
         yield pd.DataFrame(out, columns=["kind", "item_id", "piece", "piece_start", "piece_end", "core_start", "at_turn"])
 
 
+def oversized(segments: DataFrame, shards: DataFrame, limits: DataFrame) -> DataFrame:
+    """The items that are to be cut, each once: ``kind, item_id, lane, lo, hi, doc_id, max_tokens, overlap_tokens``."""
+    clean = lambda c: F.lower(F.trim(F.col(c)))
+    lim = limits.select(clean("lane").alias("lane"), F.col("max_tokens").cast("long").alias("max_tokens"), F.coalesce(F.col("overlap_tokens").cast("long"), F.lit(0)).alias("overlap_tokens")).where("lane is not null and max_tokens is not null").dropDuplicates(["lane"])
+    items = segments.select(F.lit("segment").alias("kind"), F.col("segment_id").alias("item_id"), clean("lane").alias("lane"), F.col("token_start").alias("lo"), F.col("token_end").alias("hi"), "doc_id").unionByName(
+        shards.select(F.lit("document").alias("kind"), F.col("doc_id").alias("item_id"), clean("lane").alias("lane"), F.col("token_start").alias("lo"), F.col("token_end").alias("hi"), "doc_id")
+    )
+    return items.where("item_id is not null").join(F.broadcast(lim), "lane").where(F.col("hi") - F.col("lo") > F.col("max_tokens")).dropDuplicates(["kind", "item_id"])
+
+
 def split_oversized(segments: DataFrame, shards: DataFrame, limits: DataFrame) -> DataFrame:
     """Pieces of every segment and shard document that is longer than ``max_tokens`` of its lane.
 
@@ -94,12 +104,7 @@ def split_oversized(segments: DataFrame, shards: DataFrame, limits: DataFrame) -
     number of segments: one that more than ``HOT`` of them use (more, where a 65,536th of them is more, which bounds the table of such
     documents) is sent in several copies, each for a part of its items. ``limits`` holds a row per lane; it is broadcast as a table of fixed size.
     """
-    clean = lambda c: F.lower(F.trim(F.col(c)))
-    lim = limits.select(clean("lane").alias("lane"), F.col("max_tokens").cast("long").alias("max_tokens"), F.coalesce(F.col("overlap_tokens").cast("long"), F.lit(0)).alias("overlap_tokens")).where("lane is not null and max_tokens is not null").dropDuplicates(["lane"])
-    items = segments.select(F.lit("segment").alias("kind"), F.col("segment_id").alias("item_id"), clean("lane").alias("lane"), F.col("token_start").alias("lo"), F.col("token_end").alias("hi"), "doc_id").unionByName(
-        shards.select(F.lit("document").alias("kind"), F.col("doc_id").alias("item_id"), clean("lane").alias("lane"), F.col("token_start").alias("lo"), F.col("token_end").alias("hi"), "doc_id")
-    )
-    long = items.where("item_id is not null").join(F.broadcast(lim), "lane").where(F.col("hi") - F.col("lo") > F.col("max_tokens")).dropDuplicates(["kind", "item_id"])
+    long = oversized(segments, shards, limits)
     turn = F.filter("turns", lambda t: t["start"].isNotNull() & (t["stop"].isNull() | (t["stop"] > t["start"])) & (t["start"] > 0))
     bounds = F.transform(turn, lambda t: F.struct((F.col("token_start") + t["start"]).alias("p"), F.when(t["role"] == "user", 2).otherwise(1).alias("s")))
     docs = shards.where("doc_id is not null and turns is not null and token_start is not null").select("doc_id", bounds.alias("bounds")).dropDuplicates(["doc_id"])
@@ -113,3 +118,16 @@ def split_oversized(segments: DataFrame, shards: DataFrame, limits: DataFrame) -
     inside = F.filter("bounds", lambda b: (b["p"] > F.col("lo")) & (b["p"] < F.col("hi")))
     ready = joined.select("kind", "item_id", "lo", "hi", "max_tokens", "overlap_tokens", inside.alias("bounds"))
     return ready.mapInPandas(_cut, "kind string, item_id string, piece int, piece_start long, piece_end long, core_start long, at_turn boolean")
+
+
+def piece_checks(pieces: DataFrame, items: DataFrame) -> DataFrame:
+    """Per item of :func:`oversized` whether its pieces are within the limit, cover it from end to end in order, and share just the overlap: ``kind, item_id, within, covers, overlaps``."""
+    p = pieces.groupBy("kind", "item_id").agg(F.array_sort(F.collect_list(F.struct("piece", "piece_start", "piece_end", "core_start"))).alias("p"))
+    x = items.join(p, ["kind", "item_id"], "left")
+    most = F.greatest(F.col("max_tokens"), F.lit(1))
+    share = F.least("overlap_tokens", most - 1)
+    within = F.forall("p", lambda q: (q["piece_end"] > q["piece_start"]) & (q["piece_end"] - q["piece_start"] <= most))
+    steps = F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), lambda a, b: (a["piece_end"] == b["core_start"]) & (a["piece_end"] - b["piece_start"] == share))
+    covers = (F.element_at("p", 1)["piece_start"] == F.col("lo")) & (F.element_at("p", -1)["piece_end"] == F.col("hi")) & (F.size("p") > 1)
+    no = lambda c: F.coalesce(c, F.lit(False))
+    return x.select("kind", "item_id", no(within).alias("within"), no(covers).alias("covers"), no(F.forall(steps, lambda s: s)).alias("overlaps"))

@@ -3,7 +3,7 @@
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from tessella.llm.splitting import cut_span, split_oversized
+from tessella.llm.splitting import cut_span, oversized, piece_checks, split_oversized
 import tessella.llm.splitting as splitting
 
 SEG = "segment_id string, lane string, doc_id string, token_start long, token_end long, kind string"
@@ -43,6 +43,11 @@ def test_tables(spark):
     assert s1[0][0] == 1000 and s1[-1][1] == 1250 and all(b - a <= 100 for a, b, _ in s1)
     assert any(a == 1110 and t for a, _, t in s1)  # the cut is at 1120, the piece reaches back by 10
     assert split_oversized(seg.limit(0), sh.limit(0), lim).count() == 0
+    items, pieces = oversized(seg, sh, lim), split_oversized(seg, sh, lim)
+    assert all(r["within"] and r["covers"] and r["overlaps"] for r in piece_checks(pieces, items).collect())
+    wrong = pieces.withColumn("piece_start", pieces["piece_start"] + (pieces["piece"] == 1).cast("long"))
+    assert {(r["within"], r["covers"], r["overlaps"]) for r in piece_checks(wrong, items).collect()} == {(True, True, False)}
+    assert not any(r["covers"] for r in piece_checks(pieces.where("piece > 0"), items).collect())
 
 
 def test_far_boundaries():
