@@ -106,6 +106,18 @@ def outer_features(spark, d):
     return f.select("vec_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round(F.col("a") * F.col("b"), 6).alias("v"))
 
 
+@book("""WITH a AS (SELECT a.vec_id, a.embedding[1:8]::DOUBLE[] AS x, b.embedding[1:8]::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1), p AS (SELECT vec_id, list_dot_product(x, y) ** 2 AS power, (SELECT sum(x[i + 1] * x[j + 1] * y[i + 1] * y[j + 1]) FROM range(8) r(i), range(8) s(j)) AS products FROM a)
+    SELECT vec_id // 100 AS grp, count(*) AS n, round(sum(power), 4) AS power, round(sum(products), 4) AS products, max(abs(power - products)) < 1e-9 AS same FROM p GROUP BY 1""")
+def bilinear_proof(spark, d):
+    """The square of a product of vectors is the product of their outer products: both sides, and whether they differ at most by rounding."""
+    v = table(spark, d, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("x"))
+    p = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, t: s + t)
+    outer = lambda c: F.flatten(F.transform(c, lambda a: F.transform(c, lambda b: a * b)))
+    p = p.select("vec_id", F.pow(add(F.zip_with("x", "y", lambda a, b: a * b)), F.lit(2.0)).alias("power"), add(F.zip_with(outer("x"), outer("y"), lambda a, b: a * b)).alias("products"))
+    return p.groupBy(F.floor(F.col("vec_id") / 100).alias("grp")).agg(F.count("*").alias("n"), F.round(F.sum("power"), 4).alias("power"), F.round(F.sum("products"), 4).alias("products"), (F.max(F.abs(F.col("power") - F.col("products"))) < 1e-9).alias("same"))
+
+
 @book("SELECT kind, count(*) AS n, CAST(count(DISTINCT id) AS BIGINT) AS n_ids FROM (SELECT 'segment' AS kind, segment_id AS id FROM segments UNION ALL SELECT 'document', doc_id FROM shard_agent UNION ALL SELECT 'record', doc_id FROM code_commitpack_sample) GROUP BY 1")
 def union_all(spark, d):
     """Ledgers put one after another."""

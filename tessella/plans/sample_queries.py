@@ -219,10 +219,26 @@ def throughput(spark, d):
     )
 
 
-@book("""SELECT k.run_id, CAST(r.first AS BIGINT) AS first_offset, CAST(n AS BIGINT) AS n FROM (SELECT run_id, min(ledger_offset) AS first, count(DISTINCT ledger_offset) AS n FROM main_midpoint_rev GROUP BY 1) k JOIN (SELECT run_id, min(ledger_offset) AS first FROM main_midpoint_rev GROUP BY 1) r ON r.run_id = k.run_id""")
+@book("""WITH r AS (SELECT DISTINCT ledger_offset, run_id, step FROM main_midpoint_rev), s AS (SELECT run_id, step, min(ledger_offset) AS first, count(*) AS n FROM r GROUP BY 1, 2)
+    SELECT run_id, min(first) AS first_offset, CAST(sum(n) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE n > 1 AND step > 0) AS BIGINT) AS n_taken_again, min(step) FILTER (WHERE n > 1 AND step > 0) AS forked_at FROM s GROUP BY 1""")
 def run_lineage(spark, d):
-    """Runs with their first offset and readings."""
-    return table(spark, d, "main_midpoint_rev").select("run_id", "ledger_offset").distinct().groupBy("run_id").agg(F.min("ledger_offset").alias("first_offset"), F.count("*").alias("n"))
+    """Runs with their first offset and readings, and where they went on from an earlier step: the first step that was taken again, and how many were."""
+    r = table(spark, d, "main_midpoint_rev").select("run_id", "ledger_offset", "step").distinct()
+    s = r.groupBy("run_id", "step").agg(F.min("ledger_offset").alias("first"), F.count("*").alias("k"))
+    again = (F.col("k") > 1) & (F.col("step") > 0)
+    return s.groupBy("run_id").agg(F.min("first").alias("first_offset"), F.sum("k").alias("n"), F.count_if(again).alias("n_taken_again"), F.min(F.when(again, F.col("step"))).alias("forked_at"))
+
+
+@book("""WITH m AS ({}), s AS (SELECT DISTINCT segment_id, lower(lane) AS lane, step, seq_start, seq_end, logged_at FROM segments WHERE token_end > token_start), x AS (SELECT s.lane, count(DISTINCT s.step) AS n_steps, sum(seq_end - seq_start) AS n_slots, sum(n_loss) AS n_useful, greatest(epoch(max(logged_at)) - epoch(min(logged_at)), 1) AS seconds FROM s JOIN m ON m.segment_id = s.segment_id GROUP BY 1)
+    SELECT lane, n_steps, CAST(n_slots AS BIGINT) AS n_slots, CAST(n_useful AS BIGINT) AS n_useful, round(n_useful / n_slots, 4) AS utilisation, round(n_slots / seconds, 2) AS slots_per_s, round(n_useful / seconds, 2) AS useful_per_s FROM x""".format(SQL["role_loss_mask"]))
+def performance_summary(spark, d):
+    """Slots, tokens that bear a loss, what share they are, and both per second, per lane."""
+    m = role_loss_mask(spark, d).select("segment_id", "n_loss")
+    s = table(spark, d, "segments").where("token_end > token_start").dropDuplicates(["segment_id"]).join(m, "segment_id")
+    sec = F.unix_micros(F.col("logged_at").cast("timestamp")) / 1e6
+    x = s.groupBy(F.lower("lane").alias("lane")).agg(F.countDistinct("step").alias("n_steps"), F.sum(F.col("seq_end") - F.col("seq_start")).alias("n_slots"), F.sum("n_loss").alias("n_useful"), F.greatest(F.max(sec) - F.min(sec), F.lit(1.0)).alias("seconds"))
+    r = lambda a, b, n: F.round(F.col(a) / F.col(b), n)
+    return x.select("lane", "n_steps", "n_slots", "n_useful", r("n_useful", "n_slots", 4).alias("utilisation"), r("n_slots", "seconds", 2).alias("slots_per_s"), r("n_useful", "seconds", 2).alias("useful_per_s"))
 
 
 EVIDENCE = """WITH s AS (SELECT DISTINCT * FROM segments), a AS (SELECT DISTINCT doc_id, token_start, token_end FROM shard_agent),
