@@ -9,7 +9,7 @@ from tessella.llm.overlap import overlap_pairs, overlap_report
 from tessella.llm.packing import pack_documents, utilisation
 from tessella.llm.splitting import oversized, piece_checks, split_oversized
 from tessella.llm.toxicity import fit_scorer, score_documents, toxicity_rates
-from tessella.sources.tables import table
+from tessella.sources.tables import spread, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +38,7 @@ def p3_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_containers(spark: SparkSession, d: str) -> DataFrame:
-    return pack_documents(table(spark, d, "documents"), table(spark, d, "packing_limits"))
+    return pack_documents(spread(table(spark, d, "documents")), table(spark, d, "packing_limits"))
 
 
 def p4_utilisation(spark: SparkSession, d: str) -> DataFrame:
@@ -50,16 +50,16 @@ MIX = MixRule(language_share=CORPUS, topic_share=CORPUS)
 
 
 def p5_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mix_sources(table(spark, d, "documents"), table(spark, d, "mixture_targets"), rule=MIX)[0]
+    return mix_sources(spread(table(spark, d, "documents")), table(spark, d, "mixture_targets"), rule=MIX)[0]
 
 
 def p5_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mix_sources(table(spark, d, "documents"), table(spark, d, "mixture_targets"), rule=MIX)[1]
+    return mix_sources(spread(table(spark, d, "documents")), table(spark, d, "mixture_targets"), rule=MIX)[1]
 
 
 def p6_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return score_documents(docs, fit_scorer(docs, table(spark, d, "review_labels")))
+    return score_documents(spread(docs), fit_scorer(docs, table(spark, d, "review_labels")))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
