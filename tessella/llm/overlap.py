@@ -37,7 +37,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessella.llm.text import NUMBER, TOKEN, WORD, fold
 from tessella.session import ensure_checkpoint_dir
@@ -50,6 +50,7 @@ class OverlapRule:
     short: int = 24  # records under so many words match as they are, or stand whole inside another one
     steps: tuple[int, ...] = (4, 16, 128)  # classes that have a shingle, from which it is of the next step
     heavy: int = 1000
+    small: int = 500_000  # hashes of 8 bytes up to which a set of classes is broadcast as a table
     filter_bits: int = 1 << 28
     evaluation: tuple[str, ...] = ("eval", "valid", "heldout")
     training: tuple[str, ...] = ("code", "prose")
@@ -268,12 +269,16 @@ def _filters_of(paged: DataFrame, pages: int, steps: dict[str, str] | None = Non
     return tables
 
 
-def _is_in(hashes: DataFrame, rule: OverlapRule):
-    """A test whether a hash is among ``h`` of a table, without false negatives."""
+def _among(x: DataFrame, key: Column, hashes: DataFrame, rule: OverlapRule) -> tuple[DataFrame, DataFrame]:
+    """Rows of x whose ``key`` is among ``h`` of a table, and the others. Up to ``small`` hashes are joined, more go into a bit filter, which lets some more in."""
     n = hashes.count()
+    if n <= rule.small:
+        table = F.broadcast(hashes.select(F.col("h").alias("_h")))
+        return x.join(table, key == F.col("_h"), "left_semi"), x.join(table, key == F.col("_h"), "left_anti")
     pages = _pages(n, rule.filter_bits)
-    table = hashes.sparkSession.sparkContext.broadcast(_filters_of(_paged(hashes, pages, 1 + n // 300_000), pages)[0])
-    return F.pandas_udf(lambda h: pd.Series(_passes(table.value, h.to_numpy(np.int64))), "boolean")
+    bits = hashes.sparkSession.sparkContext.broadcast(_filters_of(_paged(hashes, pages, 1 + n // 300_000), pages)[0])
+    passes = F.pandas_udf(lambda h: pd.Series(_passes(bits.value, h.to_numpy(np.int64))), "boolean")(key)
+    return x.where(passes), x.where(~passes)
 
 
 def overlap_classes(df: DataFrame, *, id_: str = "doc_id", text: str = "text", lane: str = "lane", source: str = "source", rule: OverlapRule = OverlapRule()) -> tuple[DataFrame, DataFrame]:
@@ -302,9 +307,9 @@ def overlap_classes(df: DataFrame, *, id_: str = "doc_id", text: str = "text", l
         rows = kept(base.where(F.col("lane").isin(*lanes)).mapInArrow(_sketch(rule, table), schema).where("sig is not null"))
         # only the rows of classes with several records are moved to find one of each
         again = rows.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select(F.xxhash64("sig").alias("h")).checkpoint()
-        several = _is_in(again, rule)(F.xxhash64("sig"))
         of_class = ("sig", "n_words", "n", "s", "at", "tokens")
-        one = rows.where(several).groupBy("sig").agg(*[F.first(c).alias(c) for c in of_class[1:]]).unionByName(rows.where(~several).select(*of_class))
+        several, single = _among(rows.select(*of_class), F.xxhash64("sig"), again, rule)
+        one = several.groupBy("sig").agg(*[F.first(c).alias(c) for c in of_class[1:]]).unionByName(single).coalesce(max(1, base.rdd.getNumPartitions()))
         return rows.select("id", F.lit(side).alias("side"), "lane", "source", "sig", "full"), kept(one.select(F.lit(side).alias("side"), "*"))
 
     # evaluation side: classes, frequencies, filter
@@ -317,7 +322,7 @@ def overlap_classes(df: DataFrame, *, id_: str = "doc_id", text: str = "text", l
     mt, ct = classes("t", rule.training, table_e)
     counts_t = _paged(ct.select(F.explode("s").alias("h")), pages, width).groupBy("page", "h").agg(F.count("*").alias("t"))
     with _joined_in_place(spark):
-        counts = kept(counts_e.join(counts_t, ["page", "h"]).select("page", "h", (F.col("e") + F.col("t")).alias("df")))
+        counts = kept(counts_e.hint("shuffle_hash").join(counts_t, ["page", "h"]).select("page", "h", (F.col("e") + F.col("t")).alias("df")))
         tables = share(_filters_of(counts, pages, {f"step{k}": f"df >= {k}" for k in rule.steps}))
     members = me.unionByName(mt).distinct().checkpoint()
     table_e.unpersist()  # sent again if lost parts have to be made again
@@ -340,8 +345,8 @@ def overlap_classes(df: DataFrame, *, id_: str = "doc_id", text: str = "text", l
     pairs = hit.select("side", "sig", "sig_large").distinct().checkpoint()
 
     # the shingles of those that are in a pair
-    known = pairs.select(F.explode(F.array(F.xxhash64("sig"), F.xxhash64("sig_large"))).alias("h")).distinct()
-    some = found.where(_is_in(known, rule)(F.xxhash64("sig"))).select("side", "sig", "n", "n_words", "s", "at", "tokens")
+    known = pairs.select(F.explode(F.array(F.xxhash64("sig"), F.xxhash64("sig_large"))).alias("h")).distinct().checkpoint()
+    some = _among(found, F.xxhash64("sig"), known, rule)[0].select("side", "sig", "n", "n_words", "s", "at", "tokens")
     large = some.select(F.when(F.col("side") == "e", "t").otherwise("e").alias("side"), *[F.col(c).alias(f"{c}_large") for c in ("sig", "n", "n_words", "s", "tokens")])
     near = pairs.join(some, ["side", "sig"]).join(large, ["side", "sig_large"]).mapInArrow(_verify(rule), "side string, sig binary, sig_large binary, n int, n_large int, overlap int")
     e_small = F.col("side") == "e"
@@ -363,17 +368,16 @@ def overlap_pairs(df: DataFrame, *, id_: str = "doc_id", slice_: int = 5000, **a
     Classes of more than ``slice_`` members are written out slice by slice on either side.
     """
     members, links = overlap_classes(df, id_=id_, **args)
-    out = links.select("sig_e", "sig_t")
+    out, slices = links.select("sig_e", "sig_t"), {}
     for side in "et":
         linked = links.select(F.col(f"sig_{side}").alias("sig")).distinct()
         m = members.where(F.col("side") == side).select("sig", F.col(id_).alias(side)).join(linked, "sig", "left_semi").distinct()
         sizes = m.groupBy("sig").agg(F.ceil(F.count("*") / slice_).cast("int").alias("slices"))
         # the number of slices comes to every member by a join on the class, whose large side AQE may split
-        cut = m.join(sizes, "sig").withColumn("k", F.pmod(F.xxhash64(side), "slices").cast("int")).select(F.col("sig").alias(f"sig_{side}"), F.col("k").alias(f"k_{side}"), side)
+        slices[side] = m.join(sizes, "sig").select(F.col("sig").alias(f"sig_{side}"), F.pmod(F.xxhash64(side), "slices").cast("int").alias(f"k_{side}"), side)
         out = out.join(sizes.withColumnRenamed("sig", f"sig_{side}"), f"sig_{side}").withColumn(f"k_{side}", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-        args[side] = cut
     for side in "et":
-        out = out.join(args[side], [f"sig_{side}", f"k_{side}"])
+        out = out.join(slices[side], [f"sig_{side}", f"k_{side}"])
     out = out.where("e <> t")
     return out.select(F.least("e", "t").alias(f"{id_}_a"), F.greatest("e", "t").alias(f"{id_}_b")).distinct()
 

@@ -82,7 +82,7 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert pairs(df) == want
     assert pairs(df, rule=OverlapRule(filter_bits=1 << 15)) == want  # a filter that lets much through changes nothing
-    assert pairs(df, rule=OverlapRule(heavy=2, steps=(2, 3))) == want  # nor do split shingles and other steps
+    assert pairs(df, rule=OverlapRule(heavy=2, steps=(2, 3), small=0)) == want  # nor do split shingles, other steps and filters in place of tables
     assert pairs(df, slice_=1) == want
 
 
@@ -191,4 +191,4 @@ def test_an_ordinary_word_of_a_hot_group(spark):
     rows += [(f"{s}o{i}", "x", text(r, 60), lane, "") for s, lane in (("e", "eval"), ("t", "code")) for i in range(30)]
     want = brute(rows, OverlapRule())
     df = spark.createDataFrame(rows, SCHEMA)
-    assert len(want) == 1800 and pairs(df) == want == pairs(df, rule=OverlapRule(heavy=5), slice_=7)
+    assert len(want) == 1800 and pairs(df) == want == pairs(df, rule=OverlapRule(heavy=5, small=0), slice_=7)
