@@ -176,6 +176,17 @@ def stream_running_counts(spark, d):
     return spark.read.parquet(f"{at}/data").groupBy("key").agg(F.max("n").alias("n"))
 
 
+@book("SELECT event_type AS key, count(*) AS n, CAST(least(count(*), 500) AS BIGINT) AS n_within, count(*) AS last_place FROM events GROUP BY 1")
+def stream_quota(spark, d):
+    """Rows within a quota per key, by a stateful counter, in two runs of the stream of which the second goes on where the first ended."""
+    source, target = S.scratch(spark, "arriving"), S.scratch(spark, "quota")
+    x = table(spark, d, "events").select("event_id", "event_type")
+    for part in (0, 1):
+        x.where(F.col("event_id") % 2 == part).write.mode("append").parquet(source)
+        out = T.run_to(T.within_quota(T.stream_parquet(spark, source), "event_type", "event_id", 500), target)
+    return out.groupBy("key").agg(F.count("*").alias("n"), F.count_if("within").alias("n_within"), F.max("place").alias("last_place"))
+
+
 @book("SELECT user_id, count(*) AS n_sessions, CAST(sum(n) AS BIGINT) AS n_events FROM (SELECT user_id, sid, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN gap IS NULL OR gap >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM (SELECT user_id, ts, event_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)) GROUP BY 1, 2) GROUP BY 1")
 def stream_sessions(spark, d):
     """Sessions of event time by a stream."""

@@ -61,3 +61,24 @@ def _count(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> It
 def running_counts(df: DataFrame, key: str) -> DataFrame:
     """Running number of rows per key, kept as state across batches; emits the new total of each key that a batch touches."""
     return df.select(F.col(key).alias("key")).groupBy("key").applyInPandasWithState(_count, "key string, n long", "n long", "update", "NoTimeout")
+
+
+def _admitted(quota: int):
+    def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
+        n = state.get[0] if state.exists else 0
+        for b in batches:
+            place = n + b["id"].rank(method="first").astype("int64")
+            n += len(b)
+            yield pd.DataFrame({"key": key[0], "id": b["id"], "place": place, "within": place <= quota})
+        state.update((n,))
+
+    return run
+
+
+def within_quota(df: DataFrame, key: str, id_: str, quota: int) -> DataFrame:
+    """Each row once with its place among those of its key so far, and whether it is within the key's quota; the counter is state across batches.
+
+    Rows of an earlier batch come first; within a batch of Arrow rows the order is that of ``id_``.
+    """
+    kind = df.schema[id_].dataType.simpleString()
+    return df.select(F.col(key).alias("key"), F.col(id_).alias("id")).groupBy("key").applyInPandasWithState(_admitted(quota), f"key string, id {kind}, place long, within boolean", "n long", "append", "NoTimeout")

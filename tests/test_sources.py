@@ -111,6 +111,16 @@ def test_stream_resumes(spark, tmp_path):
     assert T.run_to(read(), out).count() == 15
 
 
+def test_quota_goes_on(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    spark.range(6).selectExpr("id", "if(id % 2 = 0, 'a', 'b') as k").write.parquet(str(src))
+    read = lambda: T.within_quota(T.stream_parquet(spark, str(src)), "k", "id", 4)
+    assert {r["id"]: (r["place"], r["within"]) for r in T.run_to(read(), out).collect()} == {i: (i // 2 + 1, True) for i in range(6)}
+    spark.range(6, 12).selectExpr("id", "if(id % 2 = 0, 'a', 'b') as k").coalesce(1).write.mode("append").parquet(str(src))
+    got = {r["id"]: (r["place"], r["within"]) for r in T.run_to(read(), out).collect()}
+    assert got == {i: (i // 2 + 1, i < 8) for i in range(12)}
+
+
 @pytest.mark.parametrize("slide", [None, "30 minutes"])
 def test_windows(spark, data, tmp_path, slide):
     e = T.stream_parquet(spark, f"{data}/events.parquet").select("ts", "event_type", "value")
