@@ -190,6 +190,31 @@ def _order(tables):
     return run
 
 
+def _tally(pages: int, most: int = 4_000_000):
+    """Shingles of classes with their page and number, counted within a task over up to ``most`` at a time."""
+
+    def counted(held):
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        page, _, _ = _places(h.view(np.uint64), pages)
+        for i in range(0, len(h), 65_536):
+            cut = slice(i, i + 65_536)
+            yield pa.RecordBatch.from_arrays([pa.array(page[cut]), pa.array(h[cut]), pa.array(n[cut].astype(np.int64))], ["page", "h", "n"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            h, _ = _flat(batch.column("s"), np.int64)
+            held.append(h)
+            size += len(h)
+            if size > most:
+                yield from counted(held)
+                held, size = [], 0
+        if size:
+            yield from counted(held)
+
+    return run
+
+
 def _probe(table):
     """Shingles of classes that a prefix has, with their positions in the common order: a row per shingle."""
 
@@ -316,13 +341,13 @@ def overlap_classes(df: DataFrame, *, id_: str = "doc_id", text: str = "text", l
     me, ce = classes("e", rule.evaluation)
     n_shingles = ce.agg(F.sum(F.size("s"))).first()[0] or 0
     pages, width = _pages(n_shingles, rule.filter_bits), 1 + n_shingles // 300_000
-    counts_e = kept(_paged(ce.select(F.explode("s").alias("h")), pages, width).groupBy("page", "h").agg(F.count("*").alias("e")))
+    tally = lambda c, name: c.select("s").mapInArrow(_tally(pages), "page long, h long, n long").repartition(width, "page").groupBy("page", "h").agg(F.sum("n").alias(name))
+    counts_e = kept(tally(ce, "e"))
     table_e = share(_filters_of(counts_e, pages)[0])
     # training side: only what the evaluation side has
     mt, ct = classes("t", rule.training, table_e)
-    counts_t = _paged(ct.select(F.explode("s").alias("h")), pages, width).groupBy("page", "h").agg(F.count("*").alias("t"))
     with _joined_in_place(spark):
-        counts = kept(counts_e.hint("shuffle_hash").join(counts_t, ["page", "h"]).select("page", "h", (F.col("e") + F.col("t")).alias("df")))
+        counts = kept(counts_e.hint("shuffle_hash").join(tally(ct, "t"), ["page", "h"]).select("page", "h", (F.col("e") + F.col("t")).alias("df")))
         tables = share(_filters_of(counts, pages, {f"step{k}": f"df >= {k}" for k in rule.steps}))
     members = me.unionByName(mt).distinct().checkpoint()
     table_e.unpersist()  # sent again if lost parts have to be made again
